@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,21 +96,31 @@ def partitions(frame: DataFrame, floor: int = 1) -> int:
     return max(floor, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def hash_sample(frame: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """At most rows rows, the first by a hash of the keys: the same at every run.
+
+    A cut of the hash range, from the number of rows, leaves about twice the rows wanted before anything is sorted, so
+    what meets in one task does not grow with the table.
+    """
+    total = frame.count()
+    if total > 2 * rows:
+        frame = frame.where(F.pmod(F.xxhash64(*keys), F.lit(1_000_000)) < int(2_000_000 * rows / total) + 1)
+    return frame.orderBy(F.xxhash64(*keys), *keys).limit(rows)
+
+
 def training_ids(labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """At most rows labelled doc_ids outside the held-out fold, in the order of a hash, half of each label at most.
+    """At most rows labelled doc_ids outside the held-out fold, half of each label at most: doc_id, y.
 
     Held out are the rows whose crc32 of the doc_id as text is 2 modulo 4. The bound rows is the documented size of
     the sample that the classifiers are fitted on; scoring covers every row.
     """
     told = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-        .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
+        .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out())
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
-        .where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     )
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    return told.where("y = 1").orderBy(*order).limit(rows // 2).unionAll(told.where("y = 0").orderBy(*order).limit(rows // 2))
+    return hash_sample(told.where("y = 1"), rows // 2, "doc_id").unionAll(hash_sample(told.where("y = 0"), rows // 2, "doc_id"))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[list[str], list[int]]:
@@ -150,7 +161,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start = total = 0
         for i, n in enumerate(lengths):
             if total and total + n > most:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quadrille.llm import exact_dedup, mixing
+from quadrille.llm import exact_dedup, mixing, packing, secrets
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op4_secret_scan": secrets.op4_secret_scan,
+    "op6_packing": packing.op6_packing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
