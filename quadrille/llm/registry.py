@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quadrille.llm import exact_dedup, mixing, packing, secrets
+from quadrille.llm import exact_dedup, mixing, packing, secrets, simhash
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op6_packing": packing.op6_packing,
+    "op8_simhash": simhash.op8_simhash,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
