@@ -156,7 +156,7 @@ class Memo(dict):
         return value
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str | int = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that the texts of a piece have about most bytes, or one text: what bounds a task's memory."""
     for batch in batches:
         if not batch.num_rows:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from quadrille.llm import exact_dedup, mixing, packing, secrets, simhash
+from quadrille.llm import exact_dedup, mixing, packing, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op6_packing": packing.op6_packing,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_simhash": simhash.op8_simhash,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLES = {
