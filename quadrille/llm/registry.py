@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quadrille.llm import exact_dedup, mixing, packing, quality, secrets, simhash, toxicity
+from quadrille.llm import exact_dedup, mixing, packing, quality, secrets, simhash, toxicity, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_mixing": mixing.op2_mixing,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op6_packing": packing.op6_packing,
