@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quadrille.plans import audits, detection, geography, rasters
+
+QUERIES = {**detection.QUERIES, **geography.QUERIES, **rasters.QUERIES, **audits.QUERIES}
+ORACLES = {**detection.ORACLES, **geography.ORACLES, **rasters.ORACLES, **audits.ORACLES}
