@@ -1,11 +1,9 @@
-"""What the training-data operators share: inputs, written tables, memo tables and spill files."""
+"""What the training-data operators share: inputs, samples, memo tables and spill files."""
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -13,6 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrille.sources.shared import drop_written, new_path, written
+
+__all__ = ["Memo", "WORD", "drop_written", "fresh", "hash_sample", "held_out", "new_path", "partitions", "quoted", "read", "scratch", "slices", "training_ids", "training_rows", "written"]
+
 #: ASCII white space: space and U+0009 to U+000D. Words are runs of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,57 +24,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="quadrille-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_folder(spark)}/quadrille-{label}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Remove a path of the shared folder through the file system that Spark uses for it."""
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    if jvm is None or jsc is None or spark.sparkContext._jsc.sc().isStopped():
-        return
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _remove_quietly(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # the session is gone; the cluster's own cleaning of the folder remains
-        return
-
-
-def written(frame: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write a frame once as Parquet in the shared folder and read it back.
-
-    Each partition is computed once, and any executor can reread the files after another is lost. The path is
-    kept in the attribute ``quadrille_path`` so that a loop can drop the table of the round before; what is
-    left goes when the driver ends.
-    """
-    spark = frame.sparkSession
-    path = new_path(spark, label)
-    frame.write.parquet(path)
-    back = spark.read.schema(frame.schema).parquet(path)
-    back.quadrille_path = path
-    atexit.register(_remove_quietly, spark, path)
-    return back
-
-
-def drop_written(frame: DataFrame) -> None:
-    """Remove a table made by written(); nothing may read it afterwards."""
-    remove(frame.sparkSession, frame.quadrille_path)
-
-
 def fresh(frame: DataFrame, *bases: str) -> list[str]:
     """Column names that clash with none in the frame, whatever their case."""
     taken = {c.lower() for c in frame.columns}
