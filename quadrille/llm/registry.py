@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quadrille.llm import exact_dedup, licenses, mixing, packing, quality, secrets, simhash, toxicity, warc
+from quadrille.llm import exact_dedup, licenses, mixing, neighbours, packing, quality, secrets, simhash, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_mixing": mixing.op2_mixing,
+    "op3_nearest": neighbours.op3_nearest,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_packing": packing.op6_packing,
