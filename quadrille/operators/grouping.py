@@ -8,6 +8,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.sources.shared import written
+
 
 def domain(frame: DataFrame, values: dict[str, Sequence[str]]) -> DataFrame:
     """All combinations of the named columns' values: a small table of literals."""
@@ -29,14 +31,42 @@ def with_total(frame: DataFrame, key: str, aggregates: Sequence[Column], total:
     return grouped.withColumn(key, F.when(F.col("_all") == 1, total).otherwise(F.col(key))).drop("_all")
 
 
-def quantiles(value: Column, at: Sequence[float]) -> Column:
-    """Exact quantiles, linear between neighbours, as an array."""
-    return F.percentile(value.cast("double"), F.array(*map(F.lit, at)))
+#: Half the share of rows among which an exact quantile is looked for, and the accuracy of the sketch that says where.
+NEAR, ACCURACY = 1 / 5_000, 20_000
+
+
+def quantiles(frame: DataFrame, value: Column, at: Sequence[float]) -> DataFrame:
+    """One row, q: exact quantiles, linear between neighbours, nulls left out; of no rows they are null.
+
+    A sketch gives each quantile a bracket of values that is sure to hold it; the rows below are counted, and only the
+    distinct values inside, a small share of the rows, are put in order. So no task holds all values.
+    """
+    known = frame.select(value.cast("double").alias("v")).where("v IS NOT NULL")
+    n = known.count()
+    if not n:
+        return frame.sparkSession.createDataFrame([([None] * len(at),)], "q array<double>")
+    room = NEAR + 1.5 / n
+    cuts = [min(1.0, max(0.0, p + side * room)) for p in at for side in (-1, 1)]
+    ends = known.agg(F.percentile_approx("v", F.array(*map(F.lit, cuts)), F.lit(ACCURACY))).first()[0]  # two numbers a quantile
+    spans = [(i, ends[2 * i], ends[2 * i + 1], p * (n - 1)) for i, p in enumerate(at)]
+    below = known.agg(*(F.count_if(F.col("v") < lo).alias(f"b{i}") for i, lo, _, _ in spans))
+    inside = None
+    for i, lo, hi, place in spans:
+        part = known.where(F.col("v").between(lo, hi)).groupBy("v").agg(F.count("*").alias("n")).select(F.lit(i).alias("i"), F.lit(place).alias("place"), "v", "n")
+        inside = part if inside is None else inside.unionAll(part)
+    so_far = F.sum("n").over(Window.partitionBy("i").orderBy("v"))
+    counted = inside.crossJoin(F.broadcast(below)).withColumn("end", so_far + F.element_at(F.array(*(f"b{i}" for i in range(len(at)))), F.col("i") + 1))
+    value_at = lambda rank: F.min(F.when(F.col("end") > rank, F.col("v")))
+    low = F.floor("place")
+    pairs = counted.groupBy("i").agg(value_at(low).alias("a"), value_at(low + 1).alias("b"), F.first("place").alias("place"))
+    between = F.col("a") + (F.coalesce("b", "a") - F.col("a")) * (F.col("place") - F.floor("place"))
+    listed = pairs.select("i", between.alias("x")).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("l"))
+    return listed.select(F.transform("l", lambda s: s["x"]).alias("q"))
 
 
 def quantile_table(frame: DataFrame, value: str, at: dict[str, float], name: str) -> DataFrame:
     """A row for each named quantile: dataset, quantile, value."""
-    one = frame.agg(quantiles(F.col(value), list(at.values())).alias("q"))
+    one = quantiles(frame, F.col(value), list(at.values()))
     pairs = F.arrays_zip(F.array(*map(F.lit, at)).alias("quantile"), F.col("q").alias("value"))
     return one.select(F.explode(pairs).alias("p")).select(F.lit(name).alias("dataset"), F.col("p.quantile").alias("quantile"), F.col("p.value").alias("value"))
 
@@ -71,6 +101,20 @@ def ranked(frame: DataFrame, name: str, *order: Column) -> DataFrame:
     return frame.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
+def numbered(frame: DataFrame, name: str, *order: Column) -> DataFrame:
+    """Row numbers from 1 over a whole table of any size, in a total order.
+
+    The table is range-partitioned by the order and written; a row's number is its number in its partition and the rows
+    of the partitions before, of which there is a row each.
+    """
+    within = Window.partitionBy("_part").orderBy(*order)
+    dealt = written(frame.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))
+    return dealt.join(F.broadcast(offsets), "_part").withColumn(name, F.row_number().over(within) + F.col("_before")).drop("_part", "_before")
+
+
 def stratified(frame: DataFrame, strata: str, key: str, sizes: dict[str, int], seed: int) -> DataFrame:
     """Up to sizes[stratum] rows of each stratum in a seeded hash order, the same at every run."""
     most = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import boxes as B
+from quadrille.operators.grouping import numbered
 from quadrille.operators.spatial import overlap_pairs
 from quadrille.sources.shared import drop_written, written
 
@@ -67,8 +68,8 @@ def candidates(frame: DataFrame, links: DataFrame) -> DataFrame:
     """Kept rows, numbered by confidence, with how many rows each stands for."""
     more = links.groupBy(F.col("kept_id").alias("id")).agg(F.count("*").alias("_n"))
     kept = frame.join(links.select("id"), "id", "left_anti").join(more, "id", "left")
-    rank = F.row_number().over(Window.orderBy(F.col("conf").desc_nulls_last(), "id"))
-    return kept.select("id", "tile", "conf", F.format_string("C%04d", rank).alias("candidate_id"), (1 + F.coalesce("_n", F.lit(0))).alias("source_detection_count"))
+    ranked = numbered(kept, "_rank", F.col("conf").desc_nulls_last(), F.col("id"))
+    return ranked.select("id", "tile", "conf", F.format_string("C%04d", "_rank").alias("candidate_id"), (1 + F.coalesce("_n", F.lit(0))).alias("source_detection_count"))
 
 
 def sweep(frame: DataFrame, thresholds: list[float], *, cell: float = 64.0) -> DataFrame:

@@ -120,7 +120,7 @@ def q_size_quartile(spark, sf):
     t = I.truths(spark, sf)
     found = told(spark, sf).where("status = 'true_positive'").select(F.col("gid").alias("id"), F.lit(True).alias("found"))
     sized = t.select("id", (F.col("x1") - F.col("x0")).alias("width"), B.area(B.box()).alias("area"))
-    q = sized.agg(grouping.quantiles(F.col("area"), [0.25, 0.5, 0.75]).alias("q"))
+    q = grouping.quantiles(sized, F.col("area"), [0.25, 0.5, 0.75])
     bounds = [F.col("q")[i] for i in range(3)]
     grouped = sized.crossJoin(F.broadcast(q)).withColumn("size_group", grouping.by_bounds(F.col("area"), bounds, ["Q1", "Q2", "Q3", "Q4"], right_closed=True)).join(found, "id", "left")
     out = grouped.groupBy("size_group").agg(F.count("*").alias("labelled"), F.count_if("found").alias("detected"), F.round(F.avg("width"), 6).alias("mean_width"), F.round(F.avg("area"), 6).alias("mean_area"))

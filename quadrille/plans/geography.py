@@ -21,7 +21,7 @@ def grid(spark):
 def split(spark, sf):
     """Objects split at the quantiles of all positions, boundary crossers excluded afterwards."""
     o = I.objects(spark, sf).withColumn("cx", (F.col("x0") + F.col("x1")) / 2)
-    q = o.agg(grouping.quantiles(F.col("cx"), [0.7, 0.85]).alias("q"))
+    q = grouping.quantiles(o, F.col("cx"), [0.7, 0.85])
     b1, b2 = F.col("q")[0], F.col("q")[1]
     told = o.crossJoin(F.broadcast(q)).withColumn("split", grouping.by_bounds(F.col("cx"), [b1, b2], ["train", "val", "test"], right_closed=False))
     crossing = B.crosses(F.col("x0"), F.col("x1"), b1) | B.crosses(F.col("x0"), F.col("x1"), b2)
@@ -186,9 +186,9 @@ def q_hidden_positive(spark, sf):
 def q_aoi(spark, sf):
     aoi = tuple(F.lit(v) for v in (20_000.0, 10_000.0, 60_040.0, 30_040.0))
     a = audit.area_of_interest(I.objects(spark, sf), aoi)
-    q = grouping.quantiles(F.col("share"), [0.25, 0.5, 0.75])
-    out = a.agg(*(F.count_if(c).alias(c) for c in ("intersects", "centre_inside", "half_inside", "fully_inside", "outside")), F.count("*").alias("n"), F.round(F.avg("share"), 6).alias("mean"), F.round(F.stddev_samp("share"), 6).alias("sd"), F.min("share").alias("least"), q.alias("q"), F.max("share").alias("most"))
-    return out.select("*", *(F.round(F.col("q")[i], 6).alias(f"q{i + 1}") for i in range(3))).drop("q")
+    q = grouping.quantiles(a, F.col("share"), [0.25, 0.5, 0.75])
+    out = a.agg(*(F.count_if(c).alias(c) for c in ("intersects", "centre_inside", "half_inside", "fully_inside", "outside")), F.count("*").alias("n"), F.round(F.avg("share"), 6).alias("mean"), F.round(F.stddev_samp("share"), 6).alias("sd"), F.min("share").alias("least"), F.max("share").alias("most"))
+    return out.crossJoin(F.broadcast(q)).select("*", *(F.round(F.col("q")[i], 6).alias(f"q{i + 1}") for i in range(3))).drop("q")
 
 
 def q_clean_pool(spark, sf):

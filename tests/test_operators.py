@@ -234,3 +234,23 @@ def test_upsert_is_idempotent(spark):
     n = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     once = selection.upserted(t, n, ["k"])
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, selection.upserted(once, n, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_quantiles_equal_sorted_values(spark):
+    rng = random.Random(4)
+    for values in ([], [3.0], [1.0, 2.0], [rng.choice([1.0, 2.0, 2.5]) for _ in range(101)], [rng.gauss(0, 1) for _ in range(4_001)]):
+        f = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+        at, ordered = [0.0, 0.25, 0.5, 0.7, 0.999, 1.0], sorted(values)
+        want = []
+        for p in at:
+            place = p * (len(ordered) - 1)
+            i = math.floor(place)
+            want.append(None if not ordered else ordered[i] + (ordered[min(i + 1, len(ordered) - 1)] - ordered[i]) * (place - i))
+        assert grouping.quantiles(f, F.col("v"), at).first().q == want
+
+
+def test_numbers_over_partitions(spark):
+    f = spark.range(1_000).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(50))).repartition(7)
+    got = [(r.n, r.k, r.id) for r in grouping.numbered(f, "n", F.col("k").desc(), F.col("id")).orderBy("n").collect()]
+    assert [n for n, _, _ in got] == list(range(1, 1_001)) and [(-k, i) for _, k, i in got] == sorted((-k, i) for _, k, i in got)
+    assert grouping.numbered(f.limit(0), "n", F.col("id")).count() == 0
