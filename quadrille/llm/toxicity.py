@@ -8,7 +8,6 @@ offsets, and a logistic curve over sums of the marginals makes the document's sc
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -24,7 +23,7 @@ from quadrille.llm.common import Memo, fresh, held_out, quoted, read, slices, tr
 from quadrille.llm.simhash import fingerprint
 
 #: Labelled rows that the field is fitted on at most, half of each label; hashed features; passes over the sample.
-SAMPLE_ROWS, BITS, PASSES = 2_000, 18, 25
+SAMPLE_ROWS, BITS, PASSES = 1_600, 18, 25
 #: How unlikely, as a negative logarithm, it must be by chance that a feature's documents are toxic; their share at least.
 SURPRISE, LEAST_SHARE = 10.0, 0.97
 #: Bits in which the fingerprints of sampled texts differ at most for the texts to count as one.
@@ -44,7 +43,10 @@ def features(word: str) -> tuple[int, ...]:
 
 @dataclass
 class Field:
-    """Weights of the features for toxic over clean, log-potentials of the transitions, and the curve of the score."""
+    """Weights of the features for toxic over clean, log-potentials of the transitions, and the curve of the score.
+
+    The last weight stands for no feature and is 0.
+    """
 
     weights: np.ndarray
     bias: float = 0.0
@@ -93,10 +95,13 @@ def marginals(evidence: np.ndarray, lengths: np.ndarray, steps: np.ndarray) -> t
     inner = np.ones(len(evidence), bool)
     inner[last[lengths > 0]] = False
     i = np.nonzero(inner)[0]
-    left, right = ahead[i], evidence[i + 1] + back[i + 1]
-    cells = np.stack([np.full(len(i), s00), s01 + right, s10 + left, s11 + left + right])
-    cells = np.exp(cells - cells.max(0)) if len(i) else cells
-    return p, (cells / cells.sum(0)).sum(1).reshape(2, 2) if len(i) else np.zeros((2, 2))
+    moves = np.zeros(4)
+    for at in (i[j : j + 100_000] for j in range(0, len(i), 100_000)):  # in parts, for the driver's memory
+        left, right = ahead[at], evidence[at + 1] + back[at + 1]
+        cells = np.stack([np.full(len(at), s00), s01 + right, s10 + left, s11 + left + right])
+        cells = np.exp(cells - cells.max(0))
+        moves += (cells / cells.sum(0)).sum(1)
+    return p, moves.reshape(2, 2)
 
 
 def apart(texts: list[str]) -> list[int]:
@@ -109,15 +114,18 @@ def apart(texts: list[str]) -> list[int]:
     return kept
 
 
-def labelled_words(texts: list[list[str]], toxic: list[int]) -> list[np.ndarray]:
-    """1 for each word of a toxic text one of whose features comes from toxic texts only, too often for chance; else 0."""
-    inside, outside = Counter(), Counter()
-    for words, y in zip(texts, toxic, strict=True):
-        (inside if y else outside).update({f for w in set(words) for f in features(w)})
-    base = (sum(inside.values()) + 1) / (sum(inside.values()) + sum(outside.values()) + 2)
-    telling = {f for f, n in inside.items() if n * -np.log(base) >= SURPRISE and n >= LEAST_SHARE * (n + outside[f])}
-    marked = Memo(lambda w: any(f in telling for f in features(w)))
-    return [np.array([y and marked[w] for w in words], np.float64) for words, y in zip(texts, toxic, strict=True)]
+def labelled_words(flat: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """1 for each word of a toxic text one of whose features comes from toxic texts only, too often for chance; else 0.
+
+    table has the features of each word, flat the words of all texts by their row there.
+    """
+    inside, outside = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+    for words, y in zip(np.split(flat, np.cumsum(lengths)[:-1]), toxic, strict=True):
+        (inside if y else outside)[np.unique(table[np.unique(words)])] += 1
+    inside[-1] = outside[-1] = 0
+    base = (inside.sum() + 1) / (inside.sum() + outside.sum() + 2)
+    telling = (inside * -np.log(base) >= SURPRISE) & (inside >= LEAST_SHARE * (inside + outside))
+    return np.repeat(toxic > 0, lengths) & telling[table].any(1)[flat]
 
 
 def summary(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -141,41 +149,42 @@ def summary(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], toxic: list[int], passes: int = PASSES) -> Field:
     """The field by gradient ascent with a step size for each weight, then the curve; the same for the same sample."""
     alone = apart(texts)
-    texts, toxic = [texts[i] for i in alone], [toxic[i] for i in alone]
-    words = [t.split() for t in texts]
-    truth = np.concatenate([*labelled_words(words, toxic), np.zeros(0)])
+    words = [texts[i].split() for i in alone]
+    truly = np.array([toxic[i] for i in alone], np.float64)
     lengths = np.array([len(w) for w in words], np.int64)
     numbers: dict[str, int] = {}
-    flat = np.array([numbers.setdefault(w, len(numbers)) for ws in words for w in ws], np.int64)
-    told = [features(w) for w in numbers]
-    sizes = np.array([len(f) for f in told], np.int64)
-    owner, feats = np.repeat(np.arange(len(told)), sizes), np.array([x for f in told for x in f], np.int64)
-    model = Field(np.zeros(1 << BITS))
+    flat = np.concatenate([np.zeros(0, np.int32), *(np.fromiter((numbers.setdefault(w, len(numbers)) for w in ws), np.int32, len(ws)) for ws in words)])
+    table = np.full((len(numbers), 5), 1 << BITS, np.int32)
+    for w, i in numbers.items():
+        told = features(w)
+        table[i, : len(told)] = told
+    del words, numbers
+    model = Field(np.zeros((1 << BITS) + 1))
+    truth = labelled_words(flat, lengths, truly, table).astype(np.float64) if len(alone) else np.zeros(0)
     if not truth.sum():
         model.bias, model.curve = -8.0, np.array([0.0, 0.0, 0.0, -4.0])
         return model
-    seen, at = np.unique(feats, return_inverse=True)
-    weights, speed = np.zeros(len(seen)), np.full(len(seen), 1e-3)
+    weights, speed = model.weights, np.full((1 << BITS) + 1, 1e-3)
     small, small_speed = np.array([-4.0, 1.0, 0.0, 0.0, 1.0]), np.full(5, 1e-3)
     inner = np.ones(len(flat), bool)
     inner[(np.cumsum(lengths) - 1)[lengths > 0]] = False
     i = np.nonzero(inner)[0]
     moves = np.bincount((2 * truth[i] + truth[i + 1]).astype(int), minlength=4).astype(float)
+    del i, inner
     for _ in range(passes):
-        of_word = np.bincount(owner, weights[at], minlength=len(told)) + small[0]
+        of_word = weights[table].sum(1) + small[0]
         p, expected = marginals(of_word[flat], lengths, small[1:].reshape(2, 2))
-        error = np.bincount(flat, truth - p, minlength=len(told))
-        slope = np.bincount(at, error[owner], minlength=len(seen)) - 0.05 * weights
+        error = np.bincount(flat, truth - p, minlength=len(table))
+        slope = np.bincount(table.ravel(), np.repeat(error, table.shape[1]), minlength=len(weights)) - 0.05 * weights
+        slope[-1] = 0.0
         speed += slope * slope
         weights += 0.6 * slope / np.sqrt(speed)
         slope = np.concatenate([[error.sum()], moves - expected.ravel()]) - 0.05 * small
         small_speed += slope * slope
         small += 0.3 * slope / np.sqrt(small_speed)
-    model.weights[seen] = weights
     model.bias, model.steps = float(small[0]), small[1:].reshape(2, 2)
-    of_word = np.bincount(owner, weights[at], minlength=len(told)) + small[0]
-    p, _ = marginals(of_word[flat], lengths, model.steps)
-    x, y, curve = summary(p, lengths), np.array(toxic, np.float64), np.zeros(4)
+    p, _ = marginals((weights[table].sum(1) + model.bias)[flat], lengths, model.steps)
+    x, y, curve = summary(p, lengths), truly, np.zeros(4)
     for _ in range(60):
         q = 1 / (1 + np.exp(-x @ curve))
         hessian = (x * (q * (1 - q))[:, None]).T @ x + 0.02 * np.eye(4)
