@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import drop_written, quoted, read, written
 
 #: Neighbours of a node, reverse neighbours that a round takes besides, and rounds.
-DEGREE, REVERSE, ROUNDS = 32, 16, 3
+DEGREE, REVERSE, ROUNDS = 32, 16, 5
 #: Sets of hyperplanes, nodes a bucket on average, and nodes that are compared with each other at most.
-TREES, BUCKET, BLOCK = 8, 800, 2_048
+TREES, BUCKET, BLOCK = 4, 400, 1_024
 #: New neighbours that a node gets from one join at most.
 OFFERS = 8
 #: Nodes that a query keeps open, and steps that it takes at most.
