@@ -24,6 +24,8 @@ from quadrille.llm.common import new_path, quoted, read, slices, written
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of an archive at which its writer begins another, and bytes of the range that a reader's task owns.
 FILE_BYTES, SPLIT_BYTES = 512_000_000, 8_000_000
+#: Tasks of a reader at most; beyond, a task takes several ranges.
+MOST_TASKS = 100_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -199,11 +201,12 @@ def _reader(with_payload: bool) -> Callable:
 def read_archives(archives: DataFrame, *, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
     """The records of the archives in a table (path, bytes): one row each, with the place where it starts.
 
-    Each range of split_bytes is a row that a task takes; ranges are dealt anew, so one large archive is read by many.
+    Each range of split_bytes is a row; ranges are dealt to as many tasks, so one large archive is read by many.
     """
+    tasks = max(1, -(-int(archives.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]) // split_bytes))
     step = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))
     ranges = archives.where("bytes > 0").select("path", "bytes", F.explode(step).alias("start")).withColumn("end", F.col("start") + split_bytes)
-    dealt = ranges.repartition(F.col("path"), F.col("start"))
+    dealt = ranges.repartition(min(tasks, MOST_TASKS), F.col("path"), F.col("start"))
     return dealt.mapInArrow(_reader(with_payload), FIELDS)
 
 
