@@ -24,8 +24,8 @@ DEGREE, REVERSE, ROUNDS = 32, 16, 5
 TREES, BUCKET, BLOCK = 4, 400, 1_024
 #: New neighbours that a node gets from one join at most.
 OFFERS = 8
-#: Nodes that a query keeps open, and steps that it takes at most.
-BEAM, STEPS = 128, 6
+#: Nodes that a query keeps open in a graph of up to BEAM_NODES nodes, and the power of the nodes by which they grow beyond.
+BEAM, BEAM_NODES, BEAM_POWER = 128, 25_000, 0.75
 #: Nodes whose joins are one task's group.
 GROUP = 128
 #: Copies of a vector that are told apart: one more than any query returns.
@@ -210,29 +210,31 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("v"), pa.array(((a - b) ** 2).sum(1), pa.float32())], ["q", "v", "d"])
 
 
-def walked(state: DataFrame, queries: DataFrame, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
+def beam_of(nodes: int) -> int:
+    """Nodes that a query keeps open: they grow with the graph, or the walk sees an ever smaller share and recall falls."""
+    return int(np.ceil(BEAM * max(1.0, nodes / BEAM_NODES) ** BEAM_POWER))
+
+
+def walked(state: DataFrame, queries: DataFrame, beam: int) -> DataFrame:
     """(q, v, d): what greedy search of the graph meets from each query node q, which knows its own neighbours at first.
 
-    A step expands each query's nearest beam nodes that are not yet expanded; a query for which there are none is done.
+    A step expands those of each query's nearest beam nodes that are not yet expanded; a query for which there are none
+    is done, and the walk ends when all are.
     """
     halves = state.select(F.col("node").alias("v"), "h")
     links = state.select("node", F.explode("near").alias("e")).select(F.col("node").alias("a"), F.col("e.v").alias("b"))
     around = written(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "around")
     asked = written(queries.join(halves.withColumnRenamed("v", "q"), "q").select("q", F.col("h").alias("qh")), "asked")
-    known = written(asked.select("q", F.col("q").alias("v"), F.lit(0.0).cast("float").alias("d"), F.lit(False).alias("done")), "walk")
-    for _ in range(steps):
-        place = F.row_number().over(Window.partitionBy("q").orderBy("d", "v"))
-        ranked = known.withColumn("n", place)
-        chosen = ranked.where((F.col("n") <= beam) & ~F.col("done")).select("q", "v")
-        marked = ranked.select("q", "v", "d", (F.col("done") | (F.col("n") <= beam)).alias("done"))
+    place = F.row_number().over(Window.partitionBy("q").orderBy("d", "v"))
+    known = written(asked.select("q", F.col("q").alias("v"), F.lit(0.0).cast("float").alias("d"), F.lit(False).alias("done"), F.lit(1).alias("n")), "walk")
+    while not (chosen := known.where((F.col("n") <= beam) & ~F.col("done")).select("q", "v")).isEmpty():
+        marked = known.select("q", "v", "d", (F.col("done") | (F.col("n") <= beam)).alias("done"))
         stepped = chosen.join(around.withColumnRenamed("a", "v"), "v").select("q", F.col("b").alias("v")).distinct()
         fresh = stepped.join(known.select("q", "v"), ["q", "v"], "left_anti").join(halves, "v").join(asked, "q")
         met = fresh.select("q", "v", "qh", "h").mapInArrow(_measured, "q long, v long, d float").withColumn("done", F.lit(False))
-        after = written(marked.unionAll(met.select("q", "v", "d", "done")), "walk")
+        after = written(marked.unionAll(met.select("q", "v", "d", "done")).withColumn("n", place), "walk")
         drop_written(known)
         known = after
-        if known.where(~F.col("done")).isEmpty():
-            break
     return known.select("q", "v", "d")
 
 
@@ -261,7 +263,7 @@ def search(frame: DataFrame, wanted: Column, *, id_col: str = "vec_id", vector_c
     asked = rows.where(wanted).select("id", "vec").distinct()
     packed = asked.mapInArrow(_packed, "id long, vec binary")
     named = written(packed.join(base.select("vec", F.col("node").alias("q")), "vec").select(F.col("id").alias("query_id"), "q"), "queries")
-    met = walked(state, named.select("q").distinct())
+    met = walked(state, named.select("q").distinct(), beam_of(count))
     closest = met.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("d", "v"))).where(F.col("n") <= 4 * k).select("q", "v")
     both = closest.join(base.select(F.col("node").alias("v"), "vec", "ids"), "v").join(base.select(F.col("node").alias("q"), F.col("vec").alias("qvec")), "q")
     scored = both.select("q", "qvec", "vec", "ids").mapInArrow(_scored, "q long, ids array<long>, score double").select("q", "score", F.explode("ids").alias("vec_id"))

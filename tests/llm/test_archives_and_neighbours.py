@@ -118,3 +118,16 @@ def test_search_of_few_and_of_none(spark):
     got = [(r.query_id, r["rank"], r.vec_id) for r in neighbours.search(frame, F.col("id") % 100 == 0).collect()]
     assert sorted(got) == [(0, 1, 3), (0, 2, 100), (100, 1, 3), (100, 2, 0)]
     assert neighbours.search(frame.limit(0), F.col("id") % 100 == 0).count() == 0
+
+
+def test_a_walk_ends_only_when_its_beam_is_expanded(spark):
+    """A chain of 31 nodes, each linked with the next: the other end is 30 steps away."""
+    chain = [(i, bytearray(np.array([i], np.float16).tobytes()), [(1.0, i + 1)] if i < 30 else []) for i in range(31)]
+    state = spark.createDataFrame(chain, f"node long, h binary, near {neighbours.EDGE}")
+    met = neighbours.walked(state, spark.createDataFrame([(0,)], "q long"), 128)
+    assert sorted((r.v, r.d) for r in met.collect()) == [(i, float(i * i)) for i in range(31)]
+
+
+def test_the_beam_grows_with_the_graph():
+    beams = [neighbours.beam_of(n) for n in (0, 1, neighbours.BEAM_NODES, 51_282, 205_000, 10**6)]
+    assert beams[:3] == [neighbours.BEAM] * 3 and beams[2] < beams[3] < beams[4] < beams[5]
