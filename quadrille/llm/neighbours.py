@@ -3,8 +3,8 @@
 Equal vectors are one node. The graph starts from the nearest in random buckets of a few hyperplanes. A round of
 NN-descent joins each node with its neighbours and with those whose neighbour it is, compares these with each other,
 and gives each node the nearest it has met; it takes a few rounds of joins. A query walks the graph: it expands the
-nearest nodes that it knows, all queries at once, until the nearest are all expanded. Distances on the way are of
-16-bit floats; those returned are of the vectors themselves.
+nearest nodes that it knows, all queries at once, until the nearest are all expanded. Distances are in 64-bit floats
+and of the vectors themselves, which travel as 32-bit floats where that loses nothing.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ GROUP = 128
 #: Copies of a vector that are told apart: one more than any query returns.
 COPIES = 101
 
-EDGE = "array<struct<d:float,v:bigint>>"
+EDGE = "array<struct<d:double,v:bigint>>"
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,15 +63,13 @@ def points(rows: DataFrame) -> DataFrame:
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, most, n = None, None, 0
     for batch in batches:
         x = _matrix(batch.column("vec"), np.float64)
         if len(x):
-            total = x.sum(0) if total is None else total + x.sum(0)
-            most = np.abs(x).max(0) if most is None else np.maximum(most, np.abs(x).max(0))
-            n += len(x)
-    if n:
-        yield pa.RecordBatch.from_pydict({"dim": np.arange(len(total)), "total": total, "most": most, "n": np.full(len(total), n)})
+            with np.errstate(over="ignore"):
+                single = bool((x.astype(np.float32) == x).all())
+            dims = x.shape[1]
+            yield pa.RecordBatch.from_pydict({"dim": np.arange(dims), "middle": np.median(x, axis=0), "single": np.full(dims, single), "n": np.full(dims, len(x))})
 
 
 def _matrix(column: pa.Array, kind: type) -> np.ndarray:
@@ -79,15 +77,15 @@ def _matrix(column: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(items), kind).reshape(len(items), -1) if items else np.zeros((0, 1), kind)
 
 
-def _halved(mean: np.ndarray, scale: float, planes: np.ndarray) -> Callable:
-    """(node, h, bucket of each tree): centred and scaled vectors as 16-bit floats."""
+def _placed(centre: np.ndarray, planes: np.ndarray, kind: type) -> Callable:
+    """(node, h, bucket of each tree): vectors as floats of kind, and on which sides of the planes through centre they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = (_matrix(batch.column("vec"), np.float64) - mean) / scale if batch.num_rows else np.zeros((0, len(mean)))
-            bits = np.einsum("nd,tbd->ntb", x, planes) > 0
+            x = _matrix(batch.column("vec"), np.float64) if batch.num_rows else np.zeros((0, len(centre)))
+            bits = np.einsum("nd,tbd->ntb", x - centre, planes) > 0
             buckets = (bits * (1 << np.arange(planes.shape[1]))).sum(2).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()), pa.array(buckets.tolist(), pa.list_(pa.int64()))], ["node", "h", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), pa.array(buckets.tolist(), pa.list_(pa.int64()))], ["node", "h", "buckets"])
 
     return run
 
@@ -99,22 +97,27 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _edges(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> pa.Table:
-    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "d": pa.array(d, pa.float32())})
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "d": pa.array(d, pa.float64())})
 
 
-def _bucket(table: pa.Table) -> pa.Table:
+def _bucket(kind: type) -> Callable:
     """The nearest in a bucket of each of its nodes."""
-    node, x = table.column("node").to_numpy(), _matrix(table.column("h"), np.float16).astype(np.float32)
-    us, vs, ds = [], [], []
-    k = min(DEGREE, len(node) - 1)
-    for i in range(0, len(node) if k > 0 else 0, 256):
-        d = squared(x[i : i + 256], x)
-        d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
-        near = np.argpartition(d, k - 1, axis=1)[:, :k]
-        us.append(np.repeat(node[i : i + 256], k))
-        vs.append(node[near].ravel())
-        ds.append(np.take_along_axis(d, near, 1).ravel())
-    return _edges(*(np.concatenate(c) if c else np.zeros(0) for c in (us, vs, ds)))
+
+    def run(table: pa.Table) -> pa.Table:
+        node, x = table.column("node").to_numpy(), _matrix(table.column("h"), kind).astype(np.float64)
+        x = x - np.median(x, axis=0)
+        us, vs, ds = [], [], []
+        k = min(DEGREE, len(node) - 1)
+        for i in range(0, len(node) if k > 0 else 0, 256):
+            d = squared(x[i : i + 256], x)
+            d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
+            near = np.argpartition(d, k - 1, axis=1)[:, :k]
+            us.append(np.repeat(node[i : i + 256], k))
+            vs.append(node[near].ravel())
+            ds.append(np.take_along_axis(d, near, 1).ravel())
+        return _edges(*(np.concatenate(c) if c else np.zeros(0) for c in (us, vs, ds)))
+
+    return run
 
 
 def best(edges: DataFrame, k: int) -> DataFrame:
@@ -133,69 +136,79 @@ def tags(near: Column) -> Column:
     return F.unhex(F.array_join(F.transform(near, lambda e: F.lpad(F.hex(tag(e["v"])), 4, "0")), ""))
 
 
-def _join(table: pa.Table) -> pa.Table:
-    """What the members of each node's list find in each other: the nearest new ones that beat a member's farthest."""
-    m, w = table.column("m").to_numpy(), table.column("w").to_numpy()
-    order = np.lexsort((w, m))
-    keep = np.ones(len(order), bool)
-    keep[1:] = (m[order][1:] != m[order][:-1]) | (w[order][1:] != w[order][:-1])
-    order = order[keep]
-    m, w = m[order], w[order]
-    x = _matrix(table.column("h"), np.float16)[order].astype(np.float32)
-    far, mine = table.column("far").to_numpy()[order], table.column("mine").to_numpy()[order]
-    had = np.full((len(m), DEGREE), -1, np.int32)
-    told = table.column("tags").to_pylist()
-    for r, i in enumerate(order):
-        had[r, : len(told[i]) // 2] = np.frombuffer(told[i], ">u2")
-    starts = np.nonzero(np.append(True, m[1:] != m[:-1]))[0]
-    sizes = np.diff(np.append(starts, len(m)))
-    us, vs, ds = [], [], []
-    for s in range(0, len(starts), 64):
-        size = sizes[s : s + 64]
-        wide = int(size.max())
-        if wide < 2:
-            continue
-        at = starts[s : s + 64, None] + np.arange(wide)[None]
-        there = np.arange(wide)[None] < size[:, None]
-        at = np.where(there, at, starts[s : s + 64, None])
-        d = squared(x[at], x[at])
-        known = np.zeros(d.shape, bool)
-        for t in range(DEGREE):
-            known |= had[at][:, :, None, t] == mine[at][:, None, :]
-        wrong = known | ~there[:, :, None] | ~there[:, None, :] | (d >= far[at][:, :, None]) | np.eye(wide, dtype=bool)[None]
-        d[wrong] = np.inf
-        k = min(OFFERS, wide - 1)
-        near = np.argpartition(d, k - 1, axis=2)[:, :, :k]
-        got = np.take_along_axis(d, near, 2)
-        g, i, j = np.nonzero(np.isfinite(got))
-        us.append(w[at[g, i]])
-        vs.append(w[at[g, near[g, i, j]]])
-        ds.append(got[g, i, j])
-    return _edges(*(np.concatenate(c) if c else np.zeros(0) for c in (us, vs, ds)))
-
-
-def graph(nodes: DataFrame, rows: int, rounds: int = ROUNDS) -> DataFrame:
+def _join(kind: type) -> Callable:
+    """What the members of each node's list find in each other: the nearest new ones that beat a member's farthest.
+
+    Members lie around their node, so the middle of three of them is a centre that one far member does not move.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        m, w = table.column("m").to_numpy(), table.column("w").to_numpy()
+        order = np.lexsort((w, m))
+        keep = np.ones(len(order), bool)
+        keep[1:] = (m[order][1:] != m[order][:-1]) | (w[order][1:] != w[order][:-1])
+        order = order[keep]
+        m, w = m[order], w[order]
+        x = _matrix(table.column("h"), kind)[order].astype(np.float64)
+        far, mine = table.column("far").to_numpy()[order], table.column("mine").to_numpy()[order]
+        had = np.full((len(m), DEGREE), -1, np.int32)
+        told = table.column("tags").to_pylist()
+        for r, i in enumerate(order):
+            had[r, : len(told[i]) // 2] = np.frombuffer(told[i], ">u2")
+        starts = np.nonzero(np.append(True, m[1:] != m[:-1]))[0]
+        sizes = np.diff(np.append(starts, len(m)))
+        us, vs, ds = [], [], []
+        for s in range(0, len(starts), 64):
+            size = sizes[s : s + 64]
+            wide = int(size.max())
+            if wide < 2:
+                continue
+            at = starts[s : s + 64, None] + np.arange(wide)[None]
+            there = np.arange(wide)[None] < size[:, None]
+            at = np.where(there, at, starts[s : s + 64, None])
+            y = x[at]
+            a, b, c = y[:, 0], y[np.arange(len(size)), size // 2], y[np.arange(len(size)), size - 1]
+            y = y - np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[:, None]
+            d = squared(y, y)
+            known = np.zeros(d.shape, bool)
+            for t in range(DEGREE):
+                known |= had[at][:, :, None, t] == mine[at][:, None, :]
+            wrong = known | ~there[:, :, None] | ~there[:, None, :] | (d >= far[at][:, :, None]) | np.eye(wide, dtype=bool)[None]
+            d[wrong] = np.inf
+            k = min(OFFERS, wide - 1)
+            near = np.argpartition(d, k - 1, axis=2)[:, :, :k]
+            got = np.take_along_axis(d, near, 2)
+            g, i, j = np.nonzero(np.isfinite(got))
+            us.append(w[at[g, i]])
+            vs.append(w[at[g, near[g, i, j]]])
+            ds.append(got[g, i, j])
+        return _edges(*(np.concatenate(c) if c else np.zeros(0) for c in (us, vs, ds)))
+
+    return run
+
+
+def graph(nodes: DataFrame, rows: int, kind: type, rounds: int = ROUNDS) -> DataFrame:
     """(node, h, near): each node's nearest as met in the buckets and then in rounds of NN-descent.
 
-    nodes: (node, h, buckets). A bucket that has more than BLOCK nodes is cut at random, and of a node's reverse
-    neighbours a round takes the nearest REVERSE: the joins stay of one size, whatever the data.
+    nodes: (node, h, buckets), h of floats of kind. A bucket that has more than BLOCK nodes is cut at random, and of a
+    node's reverse neighbours a round takes the nearest REVERSE: the joins stay of one size, whatever the data.
     """
     placed = nodes.select("node", "h", F.posexplode("buckets").alias("tree", "bucket"))
     sizes = placed.groupBy("tree", "bucket").agg(F.count("*").alias("n"))
     cut = placed.join(sizes, ["tree", "bucket"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("n") / BLOCK)))
-    first = best(cut.select("tree", "bucket", "part", "node", "h").groupBy("tree", "bucket", "part").applyInArrow(_bucket, "u long, v long, d float"), DEGREE)
+    first = best(cut.select("tree", "bucket", "part", "node", "h").groupBy("tree", "bucket", "part").applyInArrow(_bucket(kind), "u long, v long, d double"), DEGREE)
     empty = F.array().cast(EDGE)
     state = written(nodes.select("node", "h").join(first.withColumnRenamed("u", "node"), "node", "left").withColumn("near", F.coalesce("near", empty)), "graph")
     groups = max(1, -(-rows // GROUP))
     for _ in range(rounds):
-        far = F.when(F.size("near") < DEGREE, F.lit(float("inf"))).otherwise(F.element_at("near", -1)["d"]).cast("float")
+        far = F.when(F.size("near") < DEGREE, F.lit(float("inf"))).otherwise(F.element_at("near", -1)["d"]).cast("double")
         told = state.select("node", "h", "near", far.alias("far"), tags(F.col("near")).alias("tags"), tag(F.col("node")).alias("mine"))
         links = state.select("node", F.explode("near").alias("e")).select("node", "e.v", "e.d")
         nearest = F.row_number().over(Window.partitionBy("v").orderBy("d", "node"))
         back = links.withColumn("n", nearest).where(F.col("n") <= REVERSE).select(F.col("v").alias("m"), F.col("node").alias("w"))
         lists = links.select(F.col("node").alias("m"), F.col("v").alias("w")).unionAll(back)
         members = lists.join(told.withColumnRenamed("node", "w"), "w").select(F.pmod(F.xxhash64("m"), F.lit(groups)).alias("g"), "m", "w", "h", "far", "tags", "mine")
-        met = best(members.groupBy("g").applyInArrow(_join, "u long, v long, d float"), DEGREE)
+        met = best(members.groupBy("g").applyInArrow(_join(kind), "u long, v long, d double"), DEGREE)
         joined = state.join(met.select(F.col("u").alias("node"), F.col("near").alias("more")), "node", "left")
         both = F.array_distinct(F.array_sort(F.concat("near", F.coalesce("more", empty))))
         after = written(joined.select("node", "h", F.slice(both, 1, DEGREE).alias("near")), "graph")
@@ -204,10 +217,13 @@ def graph(nodes: DataFrame, rows: int, rounds: int = ROUNDS) -> DataFrame:
     return state
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = (_matrix(batch.column(c), np.float16).astype(np.float32) for c in ("qh", "h"))
-        yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("v"), pa.array(((a - b) ** 2).sum(1), pa.float32())], ["q", "v", "d"])
+def _measured(kind: type) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (_matrix(batch.column(c), kind).astype(np.float64) for c in ("qh", "h"))
+            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("v"), pa.array(((a - b) ** 2).sum(1), pa.float64())], ["q", "v", "d"])
+
+    return run
 
 
 def beam_of(nodes: int) -> int:
@@ -215,7 +231,7 @@ def beam_of(nodes: int) -> int:
     return int(np.ceil(BEAM * max(1.0, nodes / BEAM_NODES) ** BEAM_POWER))
 
 
-def walked(state: DataFrame, queries: DataFrame, beam: int) -> DataFrame:
+def walked(state: DataFrame, queries: DataFrame, beam: int, kind: type) -> DataFrame:
     """(q, v, d): what greedy search of the graph meets from each query node q, which knows its own neighbours at first.
 
     A step expands those of each query's nearest beam nodes that are not yet expanded; a query for which there are none
@@ -226,12 +242,12 @@ def walked(state: DataFrame, queries: DataFrame, beam: int) -> DataFrame:
     around = written(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "around")
     asked = written(queries.join(halves.withColumnRenamed("v", "q"), "q").select("q", F.col("h").alias("qh")), "asked")
     place = F.row_number().over(Window.partitionBy("q").orderBy("d", "v"))
-    known = written(asked.select("q", F.col("q").alias("v"), F.lit(0.0).cast("float").alias("d"), F.lit(False).alias("done"), F.lit(1).alias("n")), "walk")
+    known = written(asked.select("q", F.col("q").alias("v"), F.lit(0.0).alias("d"), F.lit(False).alias("done"), F.lit(1).alias("n")), "walk")
     while not (chosen := known.where((F.col("n") <= beam) & ~F.col("done")).select("q", "v")).isEmpty():
         marked = known.select("q", "v", "d", (F.col("done") | (F.col("n") <= beam)).alias("done"))
         stepped = chosen.join(around.withColumnRenamed("a", "v"), "v").select("q", F.col("b").alias("v")).distinct()
         fresh = stepped.join(known.select("q", "v"), ["q", "v"], "left_anti").join(halves, "v").join(asked, "q")
-        met = fresh.select("q", "v", "qh", "h").mapInArrow(_measured, "q long, v long, d float").withColumn("done", F.lit(False))
+        met = fresh.select("q", "v", "qh", "h").mapInArrow(_measured(kind), "q long, v long, d double").withColumn("done", F.lit(False))
         after = written(marked.unionAll(met.select("q", "v", "d", "done")).withColumn("n", place), "walk")
         drop_written(known)
         known = after
@@ -253,18 +269,18 @@ def search(frame: DataFrame, wanted: Column, *, id_col: str = "vec_id", vector_c
     """
     rows = usable(frame, id_col, vector_col)
     base = written(points(rows.distinct()), "points")
-    moments = base.select("vec").mapInArrow(_moments, "dim long, total double, most double, n long").groupBy("dim").agg(F.sum("total").alias("total"), F.max("most").alias("most"), F.sum("n").alias("n")).orderBy("dim").toPandas()
+    moments = base.select("vec").mapInArrow(_moments, "dim long, middle double, single boolean, n long").groupBy("dim").agg(F.median("middle").alias("middle"), F.min("single").alias("single"), F.sum("n").alias("n")).orderBy("dim").toPandas()
     count = int(moments["n"].max()) if len(moments) else 0
-    mean = (moments["total"] / moments["n"]).to_numpy() if count else np.zeros(1)
-    scale = float((moments["most"] + np.abs(mean)).max()) if count else 1.0
-    planes = np.random.default_rng(seed).normal(size=(TREES, max(1, int(np.ceil(np.log2(max(count / BUCKET, 1))))), len(mean)))
-    nodes = written(base.select("node", "vec").mapInArrow(_halved(mean, scale, planes), "node long, h binary, buckets array<long>"), "nodes")
-    state = graph(nodes, count)
+    centre = moments["middle"].to_numpy() if count else np.zeros(1)
+    kind = np.float32 if count and moments["single"].all() else np.float64
+    planes = np.random.default_rng(seed).normal(size=(TREES, max(1, int(np.ceil(np.log2(max(count / BUCKET, 1))))), len(centre)))
+    nodes = written(base.select("node", "vec").mapInArrow(_placed(centre, planes, kind), "node long, h binary, buckets array<long>"), "nodes")
+    state = graph(nodes, count, kind)
     asked = rows.where(wanted).select("id", "vec").distinct()
     packed = asked.mapInArrow(_packed, "id long, vec binary")
     named = written(packed.join(base.select("vec", F.col("node").alias("q")), "vec").select(F.col("id").alias("query_id"), "q"), "queries")
-    met = walked(state, named.select("q").distinct(), beam_of(count))
-    closest = met.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("d", "v"))).where(F.col("n") <= 4 * k).select("q", "v")
+    met = walked(state, named.select("q").distinct(), beam_of(count), kind)
+    closest = met.withColumn("n", F.rank().over(Window.partitionBy("q").orderBy("d"))).where(F.col("n") <= 4 * k).select("q", "v")
     both = closest.join(base.select(F.col("node").alias("v"), "vec", "ids"), "v").join(base.select(F.col("node").alias("q"), F.col("vec").alias("qvec")), "q")
     scored = both.select("q", "qvec", "vec", "ids").mapInArrow(_scored, "q long, ids array<long>, score double").select("q", "score", F.explode("ids").alias("vec_id"))
     few = scored.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1).drop("n")

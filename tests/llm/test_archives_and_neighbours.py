@@ -122,12 +122,33 @@ def test_search_of_few_and_of_none(spark):
 
 def test_a_walk_ends_only_when_its_beam_is_expanded(spark):
     """A chain of 31 nodes, each linked with the next: the other end is 30 steps away."""
-    chain = [(i, bytearray(np.array([i], np.float16).tobytes()), [(1.0, i + 1)] if i < 30 else []) for i in range(31)]
+    chain = [(i, bytearray(np.array([i], np.float32).tobytes()), [(1.0, i + 1)] if i < 30 else []) for i in range(31)]
     state = spark.createDataFrame(chain, f"node long, h binary, near {neighbours.EDGE}")
-    met = neighbours.walked(state, spark.createDataFrame([(0,)], "q long"), 128)
+    met = neighbours.walked(state, spark.createDataFrame([(0,)], "q long"), 128, np.float32)
     assert sorted((r.v, r.d) for r in met.collect()) == [(i, float(i * i)) for i in range(31)]
 
 
 def test_the_beam_grows_with_the_graph():
     beams = [neighbours.beam_of(n) for n in (0, 1, neighbours.BEAM_NODES, 51_282, 205_000, 10**6)]
     assert beams[:3] == [neighbours.BEAM] * 3 and beams[2] < beams[3] < beams[4] < beams[5]
+
+
+def test_a_large_vector_and_near_copies_take_no_precision(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[500:700] = x[500] + rng.normal(size=(200, 16)) * 1e-5
+    x[899] = 1e6
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = defaultdict(set)
+    for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    want = brute(rows, [r for r in rows if r[0] % 20 == 0], 10)
+    assert sum(len(got[q] & {a for a, _ in want[q]}) for q in want) >= 0.95 * 10 * len(want)
+
+
+def test_ties_beyond_those_scored_go_to_the_smaller_id(spark):
+    rows = [(i, [float(i == j) for j in range(60)]) for i in range(60)]
+    found = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect()
+    got = {q: sorted(r.vec_id for r in found if r.query_id == q) for q in (0, 20, 40)}
+    assert got == {0: [*range(1, 11)], 20: [*range(10)], 40: [*range(10)]}
