@@ -273,18 +273,22 @@ def search(frame: DataFrame, wanted: Column, *, id_col: str = "vec_id", vector_c
     count = int(moments["n"].max()) if len(moments) else 0
     centre = moments["middle"].to_numpy() if count else np.zeros(1)
     kind = np.float32 if count and moments["single"].all() else np.float64
-    planes = np.random.default_rng(seed).normal(size=(TREES, max(1, int(np.ceil(np.log2(max(count / BUCKET, 1))))), len(centre)))
+    cuts = int(np.ceil(np.log2(count / BUCKET))) if count > BLOCK else 0
+    planes = np.random.default_rng(seed).normal(size=(TREES if cuts else 1, cuts, len(centre)))
     nodes = written(base.select("node", "vec").mapInArrow(_placed(centre, planes, kind), "node long, h binary, buckets array<long>"), "nodes")
     state = graph(nodes, count, kind)
     asked = rows.where(wanted).select("id", "vec").distinct()
     packed = asked.mapInArrow(_packed, "id long, vec binary")
     named = written(packed.join(base.select("vec", F.col("node").alias("q")), "vec").select(F.col("id").alias("query_id"), "q"), "queries")
     met = walked(state, named.select("q").distinct(), beam_of(count), kind)
+    few = written(met.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") <= min(k, count - 1)).select("q"), "few")
     closest = met.withColumn("n", F.rank().over(Window.partitionBy("q").orderBy("d"))).where(F.col("n") <= 4 * k).select("q", "v")
+    if not few.isEmpty():  # their part of the graph has no k others: they are compared with all nodes
+        closest = closest.join(few, "q", "left_anti").unionAll(F.broadcast(few).crossJoin(base.select(F.col("node").alias("v"))))
     both = closest.join(base.select(F.col("node").alias("v"), "vec", "ids"), "v").join(base.select(F.col("node").alias("q"), F.col("vec").alias("qvec")), "q")
     scored = both.select("q", "qvec", "vec", "ids").mapInArrow(_scored, "q long, ids array<long>, score double").select("q", "score", F.explode("ids").alias("vec_id"))
-    few = scored.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1).drop("n")
-    found = named.join(few, "q").where(F.col("vec_id") != F.col("query_id"))
+    first = scored.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1).drop("n")
+    found = named.join(first, "q").where(F.col("vec_id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

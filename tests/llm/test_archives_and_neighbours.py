@@ -152,3 +152,17 @@ def test_ties_beyond_those_scored_go_to_the_smaller_id(spark):
     found = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect()
     got = {q: sorted(r.vec_id for r in found if r.query_id == q) for q in (0, 20, 40)}
     assert got == {0: [*range(1, 11)], 20: [*range(10)], 40: [*range(10)]}
+
+
+@pytest.mark.parametrize("near,far", [(1, 1), (1_500, 4)])
+def test_small_groups_that_lie_apart_find_each_other(spark, near, far):
+    """Two distinct vectors, and a tight group of four far away from a large one: every query has all k, or all there are."""
+    rng = np.random.default_rng(9)
+    x = np.r_[rng.normal(size=(near, 8)) * 1e-3 + 1, rng.normal(size=(far, 8)) * 1e-3 - 1]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.search(frame, F.col("id") >= near - (near == 1)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    want = brute(rows, rows[near - (near == 1) :], 10)
+    assert dict(got) == {q: [a for a, _ in found] for q, found in want.items()}
