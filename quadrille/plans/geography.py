@@ -159,7 +159,7 @@ def q_coverage(spark, sf):
 
 
 def sparse(spark, sf):
-    """A tenth of the objects, so that some tiles have no label."""
+    """About one in a hundred of the objects (id % 97 = 3), as in the SQL, so that some tiles have no label."""
     return I.split_objects(spark, sf).where("id % 97 = 3")
 
 
