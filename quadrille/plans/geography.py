@@ -192,7 +192,7 @@ def q_aoi(spark, sf):
 
 
 def q_clean_pool(spark, sf):
-    """Windows at every 700th pixel that touch no object, numbered in order: the first 40."""
+    """Windows at every 700th pixel that touch no object with id % 397 = 5, as in the SQL, numbered in order: the first 40."""
     step = F.sequence(F.lit(0).cast("bigint"), F.lit(9_400).cast("bigint"), F.lit(700).cast("bigint"))
     w = spark.range(5).select((F.col("id") * 700).alias("row_start"), F.explode(step).alias("col_start"))
     bounds = B.window_bounds(F.col("row_start"), F.col("col_start"), I.SIZE, I.LEFT, I.TOP, I.RESOLUTION)
