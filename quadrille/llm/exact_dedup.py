@@ -202,7 +202,8 @@ CLASS = "digest binary, content binary, keep_id long, n long, tied long"
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One row for each distinct normalised text: digest, keep_id, n rows and tied rows that have keep_id.
 
-    Two contents of one SHA-256 would show as two classes of a digest; assert_true stops such a run.
+    Two contents of one SHA-256 are two classes of a digest; nothing stops such a run, and joins by digest would double
+    their rows.
     """
     rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
     once = rows.mapInArrow(_local(table_bytes), CLASS)
