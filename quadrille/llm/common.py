@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quadrille.sources.shared import drop_written, new_path, written
 
-__all__ = ["Memo", "WORD", "drop_written", "fresh", "hash_sample", "held_out", "new_path", "partitions", "quoted", "read", "scratch", "slices", "training_ids", "training_rows", "written"]
+__all__ = ["Memo", "WORD", "drop_written", "fresh", "hash_sample", "held_out", "new_path", "partitions", "quoted", "read", "scratch", "slices", "spread_join", "training_ids", "training_rows", "written"]
 
 #: ASCII white space: space and U+0009 to U+000D. Words are runs of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,9 +24,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh(frame: DataFrame, *bases: str) -> list[str]:
-    """Column names that clash with none in the frame, whatever their case."""
-    taken = {c.lower() for c in frame.columns}
+def fresh(frame: DataFrame | list[str], *bases: str) -> list[str]:
+    """Column names that clash with none in the frame, or in a list of names, whatever their case."""
+    taken = {c.lower() for c in (frame if isinstance(frame, list) else frame.columns)}
     out = []
     for base in bases:
         name = f"_{base}"
@@ -93,6 +93,25 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
+#: Keys that are spread over tasks at most: those of more than one in so many of all rows, and of more than HOT_LEAST.
+HOT_KEYS, HOT_LEAST = 1_000, 100
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: Column, counts: DataFrame, total: int) -> DataFrame:
+    """rows joined with table, which has each key once; the rows of a hot key go to many tasks, by a hash of by.
+
+    counts: (key, n), the rows of each key or of some of them, of total in all. Hot keys are at most HOT_KEYS, so the
+    list of them can be broadcast, and table has one row a task for each of them.
+    """
+    found = counts.where((F.col("n") > HOT_LEAST) & (F.col("n") * HOT_KEYS > total)).select(key)
+    salt, is_hot = fresh([*rows.columns, *table.columns], "salt", "hot")
+    hot = F.broadcast(found.withColumn(is_hot, F.lit(True)))
+    ways = partitions(rows)
+    dealt = rows.join(hot, key, "left").withColumn(salt, F.when(F.col(is_hot), F.pmod(F.xxhash64(by), F.lit(ways))).otherwise(0).cast("int")).drop(is_hot)
+    every = F.when(F.col(is_hot), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(table.join(hot, key, "left").withColumn(salt, F.explode(every)).drop(is_hot), [key, salt]).drop(salt)
+
+
 class Memo(dict):
     """A dict that computes missing entries and starts anew when it holds too many characters."""
 

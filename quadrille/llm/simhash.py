@@ -3,8 +3,12 @@
 Two fingerprints that differ in at most four bits differ, in one of four bands of their bits, by no more than that
 band's radius: one bit in the first or none in another. Each band has a vantage-point tree, whose inner nodes split
 fingerprints by their Hamming distance to a vantage point and whose leaves are the shards. A fingerprint lives in one
-shard of each band, and by the triangle bound it also visits those whose boundary lies within the radius. Inside a
-shard all differing bits are counted, so the pairs are exact.
+shard of each band, and by the triangle bound it also visits those whose boundary lies within the radius. Of a pair,
+one has to visit the other, so only the outer side of a boundary visits the inner one. With radius 0 nothing visits,
+and a tree is a partition by the band alone. Inside a shard all differing bits are counted, so the pairs are exact.
+
+A shard that outgrows its bound is split by the same means: whatever its band, its pairs differ in at most four of the
+other bits, which have four bands and trees of their own.
 """
 
 from __future__ import annotations
@@ -17,14 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import fresh, hash_sample, quoted, read, slices, written
+from quadrille.llm.common import fresh, hash_sample, quoted, read, slices, spread_join, written
 from quadrille.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
-#: (first bit, bits, radius) of the bands; the radii and 1 each add up to more than DISTANCE.
-BANDS = ((0, 19, 1), (19, 15, 0), (34, 15, 0), (49, 15, 0))
-#: Fingerprints that the trees are fitted on, and those that live in a shard on average.
-TREE_SAMPLE, SHARD_ROWS = 16_384, 512
+#: Radii of the bands, which and 1 each add up to more than DISTANCE, and how much longer than the others the first is.
+RADII, LONGER = (1, 0, 0, 0), 4
+#: Fingerprints that the trees are fitted on, and those that live in a shard on average and before it is split.
+TREE_SAMPLE, SHARD_ROWS, SPLIT_ROWS = 16_384, 1_024, 32_768
 #: Largest block of a shard's own fingerprints and of all that come to it; larger shards are many pairs of blocks.
 OWN_BLOCK, ALL_BLOCK = 1_024, 4_096
 
@@ -55,17 +59,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_fingerprints, "id long, h long, fp long")
 
 
+def bands(bits: int) -> list[int]:
+    """Masks that part the set bits among the bands, in their order."""
+    places = [i for i in range(64) if bits >> i & 1]
+    short = max(1, (len(places) - LONGER) // len(RADII))
+    ends = [len(places) - short * k for k in range(len(RADII) - 1, -1, -1)]
+    return [sum(1 << i for i in places[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class Tree:
-    """A vantage-point tree over one band; its leaves are numbered from first_leaf."""
+    """A vantage-point tree over the bits of a mask; its leaves are numbered from first_leaf."""
 
-    def __init__(self, sample: np.ndarray, band: tuple[int, int, int], leaf_rows: int, first_leaf: int):
-        self.first, bits, self.radius = band
-        self.mask = np.uint64((1 << bits) - 1)
+    def __init__(self, sample: np.ndarray, mask: int, radius: int, leaf_rows: int, first_leaf: int):
+        self.bits, self.mask, self.radius = mask, np.uint64(mask), radius
         self.leaves, self.first_leaf = 0, first_leaf
-        self.root = self.grow(self.part(sample), max(1, leaf_rows), np.random.default_rng(first_leaf))
-
-    def part(self, fps: np.ndarray) -> np.ndarray:
-        return fps >> np.uint64(self.first) & self.mask
+        self.root = self.grow(sample & self.mask, max(1, leaf_rows), np.random.default_rng(first_leaf))
 
     def grow(self, values: np.ndarray, leaf_rows: int, rng: np.random.Generator) -> tuple | int:
         if len(values) > leaf_rows:
@@ -77,51 +85,70 @@ class Tree:
         self.leaves += 1
         return self.first_leaf + self.leaves - 1
 
-    def route(self, fps: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(leaf, rows that come to it, whether it is their home)."""
-        values = self.part(fps)
-        open_ = [(self.root, np.arange(len(fps)), np.ones(len(fps), bool))]
+    def route(self, fps: np.ndarray, home: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(leaf, rows that come to it, whether it is their home); rows for which home is false only visit.
+
+        Of two rows at home that a boundary parts, the outer one visits the inner side; visitors go to both.
+        """
+        values = fps & self.mask
+        open_ = [(self.root, np.arange(len(fps)), home)]
         while open_:
-            node, rows, home = open_.pop()
+            node, rows, own = open_.pop()
             if not len(rows):
                 continue
             if isinstance(node, int):
-                yield node, rows, home
+                yield node, rows, own
                 continue
             point, middle, near, far = node
             away = np.bitwise_count(values[rows] ^ point).astype(np.int64)
             inside = away <= middle + self.radius
-            outside = away > middle - self.radius
-            open_.append((near, rows[inside], home[inside] & (away[inside] <= middle)))
-            open_.append((far, rows[outside], home[outside] & (away[outside] > middle)))
+            outside = away > np.where(own, middle, middle - self.radius)
+            open_.append((near, rows[inside], own[inside] & (away[inside] <= middle)))
+            open_.append((far, rows[outside], own[outside]))
 
 
-def forest(sample: np.ndarray, rows: int) -> list[Tree]:
-    """A tree for each band; a shard has about SHARD_ROWS of so many rows, and there are at most a quarter as many shards as sampled."""
-    sample = np.unique(sample.astype(np.uint64))
+def forest(sample: np.ndarray, rows: int, bits: int = 2**64 - 1) -> list[Tree]:
+    """A tree for each band of the bits; a shard has about SHARD_ROWS of so many rows, and at least four of the sample."""
+    sample = np.unique(sample.astype(np.uint64) & np.uint64(bits))
     share = max(4, int(len(sample) * SHARD_ROWS / max(rows, 1)))
     trees: list[Tree] = []
-    for band in BANDS:
-        trees.append(Tree(sample, band, share, sum(t.leaves for t in trees)))
+    for mask, radius in zip(bands(bits), RADII, strict=True):
+        trees.append(Tree(sample, mask, radius, share, sum(t.leaves for t in trees)))
     return trees
 
 
 def _routed(trees: list[Tree]) -> Callable:
+    """Rows (fp) to (leaf, fp, home)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             signed = batch.column("fp").to_numpy(zero_copy_only=False)
-            leaf, fp, home = [], [], []
-            for tree in trees:
-                for number, rows, own in tree.route(signed.view(np.uint64)):
-                    leaf.append(np.full(len(rows), number, np.int32))
-                    fp.append(signed[rows])
-                    home.append(own)
-            if leaf:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (leaf, fp, home)], ["leaf", "fp", "home"])
+            yield from _came(signed, np.ones(len(signed), bool), trees, lambda rows: 0)
 
     return run
 
 
+def _split(sample: np.ndarray, trees: list[Tree], largest: int) -> Callable:
+    """Rows (leaf, fp, home) of shards that are split to the same of their parts."""
+    below = [forest(sample, largest, 2**64 - 1 - t.bits) for t in trees]
+    ends = np.cumsum([t.leaves for t in trees])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf, signed, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("leaf", "fp", "home"))
+            for i, parts in enumerate(below):
+                some = np.nonzero(np.searchsorted(ends, leaf, side="right") == i)[0]
+                yield from _came(signed[some], home[some], parts, lambda rows, some=some: (leaf[some][rows] + 1) << 24)
+
+    return run
+
+
+def _came(signed: np.ndarray, home: np.ndarray, trees: list[Tree], base: Callable) -> Iterator[pa.RecordBatch]:
+    found = [(base(rows) + number + np.zeros(len(rows), np.int64), signed[rows], own) for tree in trees for number, rows, own in tree.route(signed.view(np.uint64), home)]
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["leaf", "fp", "home"])
+
+
 def _near(own: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each fingerprint of the two blocks that has a pair across them, with the smallest that its pairs lead to."""
     close = np.empty((len(own), len(others)), bool)
@@ -157,14 +184,22 @@ def links(distinct: DataFrame) -> DataFrame:
 
     In a pair of blocks each fingerprint that has a pair comes once, with the smallest its pairs there lead to: the
     same components as all pairs would give, and no more rows than fingerprints came. The sample on the driver has at
-    most TREE_SAMPLE fingerprints, which bounds the trees and the table of shard sizes too.
+    most TREE_SAMPLE fingerprints, which bounds the trees and the tables of shard sizes that are broadcast.
     """
     rows = distinct.count()
     sample = np.array([r[0] for r in hash_sample(distinct, TREE_SAMPLE, "fp").collect()], np.int64).view(np.uint64)
-    routed = distinct.select("fp").mapInArrow(_routed(forest(sample, rows)), "leaf int, fp long, home boolean")
-    sizes = routed.groupBy("leaf").agg(F.count_if("home").alias("own"), F.count("*").alias("all"))
+    trees, kind = forest(sample, rows), "leaf long, fp long, home boolean"
+    routed = distinct.select("fp").mapInArrow(_routed(trees), kind)
+    counted = lambda f: f.groupBy("leaf").agg(F.count_if("home").alias("own"), F.count("*").alias("all"))
+    sizes = written(counted(routed), "shards")
+    large = sizes.where(F.col("own") > SPLIT_ROWS).select("leaf")
+    if (largest := sizes.agg(F.max("own")).first()[0] or 0) > SPLIT_ROWS:
+        parts = routed.join(F.broadcast(large), "leaf", "left_semi").mapInArrow(_split(sample, trees, largest), kind)
+        routed = routed.join(F.broadcast(large), "leaf", "left_anti").unionAll(parts)
+        sizes = sizes.join(F.broadcast(large), "leaf", "left_anti").unionAll(counted(parts))
     blocks = sizes.select("leaf", F.ceil(F.col("own") / OWN_BLOCK).cast("int").alias("na"), F.ceil(F.col("all") / ALL_BLOCK).cast("int").alias("nb")).where("na > 0")
-    placed = routed.join(F.broadcast(blocks), "leaf").withColumn("hash", F.xxhash64("fp"))
+    placed = routed.join(blocks, "leaf") if largest > SPLIT_ROWS else routed.join(F.broadcast(blocks), "leaf")
+    placed = placed.withColumn("hash", F.xxhash64("fp"))
     block = lambda n: F.pmod(F.col("hash"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     home = placed.where("home").select("leaf", block("na").alias("i"), every("nb").alias("j"), "fp", F.lit(True).alias("own"))
@@ -173,18 +208,18 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def classes(prints: DataFrame) -> DataFrame:
-    """(fp, root, first): of each distinct fingerprint its component and the first row there, by id, then h.
+    """(fp, root, first, n): of each distinct fingerprint its component, the first row there, by id, then h, and its own rows.
 
     first is a struct (missing, id, h, n), n the rows that equal it in id and h; null ids come after all others.
     """
     row = F.struct(F.col("id").isNull().alias("missing"), "id", "h")
     counted = prints.groupBy("fp", "id", "h").agg(F.count("*").alias("n"))
-    distinct = written(counted.groupBy("fp").agg(F.min(F.struct(*(row[k].alias(k) for k in ("missing", "id", "h")), "n")).alias("first")), "fingerprints")
+    distinct = written(counted.groupBy("fp").agg(F.min(F.struct(*(row[k].alias(k) for k in ("missing", "id", "h")), "n")).alias("first"), F.sum("n").alias("n")), "fingerprints")
     joined = components(links(distinct), "simhash")
-    rooted = distinct.join(joined.withColumnRenamed("node", "fp"), "fp")
-    tops = rooted.groupBy("root").agg(F.min("first").alias("top"))
-    found = rooted.join(tops, "root").select("fp", "root", "top")
-    return distinct.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("top", "first").alias("first"))
+    rooted = distinct.select("fp", "first").join(joined.withColumnRenamed("node", "fp"), "fp")
+    tops = rooted.groupBy("root").agg(F.min("first").alias("top"), F.count("*").alias("n"))
+    found = spread_join(rooted, tops.drop("n"), "root", F.col("fp"), tops, distinct.count()).select("fp", "root", "top")
+    return distinct.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("top", "first").alias("first"), "n")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,7 +230,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     columns are not read.
     """
     prints = written(fingerprints(docs, id_col, text_col), "simhash")
-    found = prints.join(classes(prints), "fp")
+    told = written(classes(prints), "simhash-classes")
+    found = spread_join(prints, told.select("fp", "first"), "fp", F.struct("id", "h"), told.select("fp", "n"), prints.count())
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 

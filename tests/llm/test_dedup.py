@@ -7,8 +7,10 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quadrille.llm import exact_dedup, simhash
+from quadrille.llm.common import spread_join
 from quadrille.llm.components import components
 
 
@@ -108,25 +110,64 @@ def test_near_groups_equal_brute_force(spark, odd_docs, no_docs):
     assert simhash.deduplicated(odd_docs).columns == odd_docs.columns
 
 
-def test_trees_lose_no_pair():
-    rng = np.random.default_rng(4)
-    base = rng.integers(0, 2**64, 600, dtype=np.uint64)
+def close_prints(rng, n):
+    """Fingerprints, each with another that differs in at most four bits, and all ways that small clusters chain."""
+    base = rng.integers(0, 2**64, n, dtype=np.uint64)
     flips = np.zeros(len(base), np.uint64)
     for _ in range(4):
         flips |= np.uint64(1) << rng.integers(0, 64, len(base), dtype=np.uint64)
-    fps = np.unique(np.concatenate([base, base ^ flips]))
+    return np.unique(np.concatenate([base, base ^ flips]))
+
+
+def test_bands_part_the_bits():
+    for bits in (2**64 - 1, 2**64 - 1 - (0x7FFFF << 8), 0xFF00FF00FF00FF00):
+        masks = simhash.bands(bits)
+        assert len(masks) == 4 and sum(masks) == bits == masks[0] | masks[1] | masks[2] | masks[3]
+    assert [m.bit_count() for m in simhash.bands(2**64 - 1)] == [19, 15, 15, 15]
+
+
+def test_trees_lose_no_pair():
+    """Of two near fingerprints one meets the other at its home, and no tree makes a fingerprint visit without a radius."""
+    fps = close_prints(np.random.default_rng(4), 600)
     trees = simhash.forest(fps, 40 * len(fps))
     assert max(t.leaves for t in trees) > 20
     home, come = defaultdict(set), defaultdict(set)
     for tree in trees:
-        for leaf, rows, own in tree.route(fps):
+        visits = 0
+        for leaf, rows, own in tree.route(fps, np.ones(len(fps), bool)):
             home[leaf] |= set(rows[own].tolist())
             come[leaf] |= set(rows.tolist())
+            visits += int((~own).sum())
+        assert (visits > 0) == (tree.radius > 0)
     met = {(a, b) for leaf in home for a in home[leaf] for b in come[leaf] if a != b}
     for a in range(len(fps)):
         assert sum(a in home[leaf] for leaf in home) == len(trees)
         for b in np.nonzero(np.bitwise_count(fps ^ fps[a]) <= 4)[0].tolist():
-            assert a == b or (a, b) in met
+            assert a == b or (a, b) in met or (b, a) in met
+
+
+@pytest.mark.parametrize("split", [60, 10**9])
+def test_links_of_split_shards_equal_brute_force(spark, monkeypatch, split):
+    monkeypatch.setattr(simhash, "SPLIT_ROWS", split)
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 40)
+    monkeypatch.setattr(simhash, "OWN_BLOCK", 50)
+    rng = np.random.default_rng(5)
+    spread = close_prints(rng, 400)
+    tight = np.uint64(12345) ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 19, 200, dtype=np.uint64))
+    fps = np.unique(np.concatenate([spread, tight]))
+    found = components(simhash.links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"))).collect()
+    got = {r.node: r.root for r in found}
+    want = near([int(x) for x in fps], [int(x) for x in fps.view(np.int64)])
+    assert [got.get(int(x), int(x)) for x in fps.view(np.int64)] == want
+
+
+def test_a_hot_key_is_spread(spark):
+    rows = spark.range(3_000).selectExpr("id", "if(id % 3 = 0, 7, id) AS k", "1 AS salt")
+    table = spark.range(3_000).selectExpr("id AS k", "id * 2 AS v", "3 AS hot")
+    counts = rows.groupBy("k").count().withColumnRenamed("count", "n")
+    got = spread_join(rows, table, "k", F.col("id"), counts, 3_000)
+    assert got.columns == ["k", "id", "salt", "v", "hot"]
+    assert sorted((r.id, r.k, r.v) for r in got.collect()) == [(i, 7 if i % 3 == 0 else i, 14 if i % 3 == 0 else 2 * i) for i in range(3_000)]
 
 
 def test_blocks_connect_what_pairs_connect():
