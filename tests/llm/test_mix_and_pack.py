@@ -95,6 +95,40 @@ def test_ids_are_the_tokenizer_s(text):
     assert np.frombuffer(ids(text or ""), "<u2").tolist() == plain_ids(text)[:-1]
 
 
+def test_ids_of_any_string():
+    """50,000 strings of all code points, marks and white space, each as the tokenizer gives it."""
+    from tokenizers import Tokenizer
+
+    rng, ids = np.random.default_rng(1), packing.Ids.of(packing.tokenizer_path())
+    whole = Tokenizer.from_file(packing.tokenizer_path())
+    pools = [np.r_[32:127], np.r_[0:0x300], np.r_[0x300:0x370, 0x8D0:0x900, 97:123], np.r_[0x370:0x3000], np.r_[9:14, 28:33, 0x85, 0xA0, 0x2000:0x200C, 0x2028:0x2030, 0x3000, 65:91], np.r_[0x3000:0xD800, 0xE000:0xFFFF], np.r_[0x10000:0x20000]]
+    texts = ["".join(map(chr, rng.choice(pools[rng.integers(len(pools))], 1 + int(rng.integers(4))))) + "".join(map(chr, rng.choice(pools[rng.integers(len(pools))], int(rng.integers(5))))) for _ in range(50_000)]
+    texts += ["\u0301\u08d0", "a\u0301\u08d0 \u0301", "\ua7da", "\U00016eb7 x"]
+    want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, w in zip(texts, want, strict=True) if np.frombuffer(ids(t), "<u2").tolist() != w] == []
+
+
+def test_repeated_rows_are_spread_over_groups(spark):
+    """6,000 equal rows beside 500 others: groups stay near their bound, and none takes all copies."""
+    docs = spark.range(6_500).selectExpr("if(id < 6000, 5, id) AS doc_id", "if(id < 6000, 'the same few words', concat('other ', id)) AS text")
+    rows = packing.pack(docs, packing.tokenizer_path(), length=64, group_docs=100).select("doc_id", "doc_tokens", "sequence_id", "offset", "start", "length").collect()
+    check_pieces(rows, None, 64)
+    firsts = [r for r in rows if r.start == 0]
+    assert sum(r.doc_id == 5 for r in firsts) == 6_000 and len(firsts) == 6_500
+    by = defaultdict(int)
+    for r in firsts:
+        by[r.sequence_id >> 32] += 1
+    assert len(by) >= 60 and max(by.values()) <= 200
+
+
+def test_a_group_that_outgrows_its_bound_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(packing, "HOT_IDS", 1)
+    docs = spark.range(900).selectExpr("1 AS doc_id", "'one text' AS text")
+    rows = packing.pack(docs, packing.tokenizer_path(), length=32, group_docs=50).select("doc_id", "doc_tokens", "sequence_id", "offset", "start", "length").collect()
+    check_pieces(rows, None, 32)
+    assert sum(r.start == 0 for r in rows) == 900
+
+
 def check_pieces(rows, texts, length):
     by, seqs = defaultdict(list), defaultdict(list)
     for r in rows:
