@@ -25,10 +25,12 @@ LENGTH, END, GROUP_DOCS = 4096, 2, 1_000
 #: Groups that one task packs on average, and ids that are dealt copy by copy at most.
 TASK_GROUPS, HOT_IDS = 32, 10_000
 
-# How the tokenizer file cuts an ASCII text into pieces, after lower-casing.
+# How the tokenizer file cuts a text into pieces, after normalisation and lower-casing.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Strings that the tokenizer or Python treats apart: such texts go through the tokenizer itself.
-APART = regex.compile(r"<\||[\x1c-\x1f]")
+APART = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+#: Words of ASCII and of whole Latin, Greek, Cyrillic and Han letters, which no normalisation changes and whose lower case is one letter.
+SIMPLE = regex.compile(r"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e\u0391-\u03a1\u03a4-\u03a9\u03b1-\u03c9\u0410-\u044f\u4e00-\u9fa5]+")
 
 
 def byte_table() -> dict[int, str]:
@@ -42,7 +44,7 @@ class Ids:
     """Token ids of whole texts as little-endian bytes, from memos of words and pieces.
 
     A piece never spans white space, so a text's ids are those of its words, and few words are new. Words that are not
-    ASCII go through the tokenizer itself, so its normalisation and its tables of characters hold. An id takes 16 bits
+    SIMPLE go through the tokenizer itself, so its normalisation and its tables of characters hold. An id takes 16 bits
     where the vocabulary allows and else 32: kind. Each process has one object a tokenizer file; its memos are bounded.
     """
 
@@ -70,7 +72,7 @@ class Ids:
         return array(self.kind, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def of_word(self, word: str) -> bytes:
-        if not word.isascii():
+        if not SIMPLE.fullmatch(word):
             return self.of_text(word)
         low = word.lower()
         if low.isalpha():
@@ -80,7 +82,7 @@ class Ids:
         return b"".join([self.pieces[p] for p in self.cut.findall(low)])
 
     def __call__(self, text: str) -> bytes:
-        if APART.search(text):
+        if any(a in text for a in APART):
             return self.of_text(text)
         return b"".join(map(self.words.__getitem__, text.split()))
 

@@ -104,6 +104,8 @@ def test_ids_of_any_string():
     pools = [np.r_[32:127], np.r_[0:0x300], np.r_[0x300:0x370, 0x8D0:0x900, 97:123], np.r_[0x370:0x3000], np.r_[9:14, 28:33, 0x85, 0xA0, 0x2000:0x200C, 0x2028:0x2030, 0x3000, 65:91], np.r_[0x3000:0xD800, 0xE000:0xFFFF], np.r_[0x10000:0x20000]]
     texts = ["".join(map(chr, rng.choice(pools[rng.integers(len(pools))], 1 + int(rng.integers(4))))) + "".join(map(chr, rng.choice(pools[rng.integers(len(pools))], int(rng.integers(5))))) for _ in range(50_000)]
     texts += ["\u0301\u08d0", "a\u0301\u08d0 \u0301", "\ua7da", "\U00016eb7 x"]
+    simple = [chr(c) for c in range(0x3000) if packing.SIMPLE.fullmatch(chr(c))]
+    texts += ["".join(rng.choice(simple, 1 + int(rng.integers(6)))) for _ in range(10_000)] + [chr(c) for c in range(0x4E00, 0x9FFF)]
     want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
     assert [t for t, w in zip(texts, want, strict=True) if np.frombuffer(ids(t), "<u2").tolist() != w] == []
 
