@@ -6,7 +6,10 @@ enough of the template's five-word shingles, compared word for word.
 
 A window of two blocks of b words holds any passage of b + 1 words, so a template of t words has a window of fewer
 than 4 t words. Where a share c of its n shingles is there, the Jaccard index with that window is at least
-c n / (4 t + (1 - c) n), and BANDS bands of one value each miss it with the chance (1 - index) ** BANDS.
+c n / (4 t + (1 - c) n), and BANDS bands of one value each miss it with the chance (1 - index) ** BANDS: 4e-6 for a
+template of 24 words or more of which 0.8 are there, and less for longer ones. That is no guarantee for templates of few
+shingles. Up to FEW of them, the windows that are retrieved are those around each of the template's shingles, each a
+window of its own whose MinHash is the shingle: no band can miss.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from quadrille.llm.common import Memo, quoted, read, slices
 SHINGLE, CONTAINED, BANDS = 5, 0.8, 64
 #: Words a block, for templates of up to as many words.
 BLOCKS = (8, 16, 32, 64, 128, 256)
+#: Shingles up to which a template is retrieved by each of them.
+FEW = 20
 
 # Notices of common public licenses, as their licensors give them.
 TEMPLATES = (
@@ -58,6 +63,55 @@ TEMPLATES = (
         "notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
         "and/or other materials provided with the distribution.",
     ),
+    (
+        "MIT-disclaimer",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL '
+        "THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "BSD-3-Clause-endorsement",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    (
+        "BSD-disclaimer",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR '
+        "PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF "
+        "SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+        "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY '
+        "SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at "
+        "your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        "GNU Lesser General Public License for more details.",
+    ),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        "GNU Affero General Public License for more details.",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means.",
+    ),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
 
 EDGES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
@@ -103,17 +157,26 @@ class Template:
 
 
 class Index:
-    """Templates by length of block, and for each band the templates of each MinHash value."""
+    """Templates by length of block, and for each band the templates of each MinHash value.
+
+    few: the shingles of templates that have few, in order, and for each the templates and their lengths of block.
+    """
 
     def __init__(self, templates: list[tuple[str, str]], blocks: tuple[int, ...] = BLOCKS):
         self.tables: dict[int, list[tuple[np.ndarray, dict[int, list[Template]]]]] = {}
+        self.few: dict[int, list[tuple[int, Template]]] = defaultdict(list)
         by_block = defaultdict(list)
         for name, text in templates:
             words = tuple(p for w in (text or "").split() if (p := plain(w)))
             grams = frozenset(words[i : i + SHINGLE] for i in range(len(words) - SHINGLE + 1))
             if grams:
-                numbers = np.unique(shingles(np.array([hashed(w) for w in words], np.uint64)))
-                by_block[next((b for b in blocks if b >= len(words)), len(words))].append(Template(name, words, numbers, grams))
+                template = Template(name, words, np.unique(shingles(np.array([hashed(w) for w in words], np.uint64))), grams)
+                block = next((b for b in blocks if b >= len(words)), len(words))
+                if len(grams) > FEW:
+                    by_block[block].append(template)
+                for number in template.numbers.tolist() if len(grams) <= FEW else ():
+                    self.few[number].append((block, template))
+        self.values = np.array(sorted(self.few), np.uint64)
         for block, found in by_block.items():
             bands = []
             for band in range(BANDS):
@@ -141,11 +204,22 @@ class Blocks:
 
 
 def retrieved(numbers: list[np.ndarray], index: Index) -> dict[tuple[int, int], tuple[int, Template, set[int]]]:
-    """By text and template: the length of the blocks, the template, and the windows that share a MinHash value with it."""
+    """By text and template: the length of the blocks, the template, and the windows that share a MinHash value with it.
+
+    A shingle of a template that has few retrieves the two windows it begins in.
+    """
     sizes, flat = np.array([len(x) for x in numbers], np.int64), np.concatenate(numbers)
     out: dict[tuple[int, int], tuple[int, Template, set[int]]] = {}
     if not len(flat):
         return out
+    if len(index.values):
+        begins = np.cumsum(sizes) - sizes
+        at = np.minimum(np.searchsorted(index.values, flat), len(index.values) - 1)
+        for p in np.nonzero(index.values[at] == flat)[0].tolist():
+            text = int(np.searchsorted(begins, p, side="right")) - 1
+            for block, t in index.few[int(flat[p])]:
+                number = (p - int(begins[text])) // block
+                out.setdefault((text, id(t)), (block, t, set()))[2].update({number, max(number - 1, 0)})
     places = {block: Blocks(sizes, block) for block in index.tables}
     for band in range(BANDS):
         mixed = permuted(flat, band)

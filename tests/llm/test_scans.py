@@ -81,6 +81,31 @@ def test_license_scan_equals_brute_force(spark, odd_docs, no_docs):
     assert licenses.scan(odd_docs).count() == licenses.scan(no_docs).count() == 0
 
 
+def planted_copies(rng, template, n):
+    """Texts of other words that hold the template once, anywhere."""
+    words = template.split()
+    for _ in range(n):
+        own = [f"w{i}" for i in rng.integers(0, 5_000, rng.integers(0, 80))]
+        at = int(rng.integers(len(own) + 1))
+        yield " ".join([*own[:at], *words, *own[at:]])
+
+
+@pytest.mark.parametrize(("name", "template"), licenses.TEMPLATES)
+def test_no_planted_copy_is_missed(name, template):
+    index, word = licenses.Index(list(licenses.TEMPLATES)), Memo(licenses.hashed)
+    texts = list(planted_copies(np.random.default_rng(3), template, 300))
+    found = {(i, t) for i, t, share, *_ in licenses.found_in(texts, index, word) if share == 1.0}
+    assert {(i, name) for i in range(len(texts))} <= found
+
+
+def test_templates_of_few_shingles_need_no_band():
+    """A template of five words is one shingle; of a longer one, 0.8 of the shingles are enough."""
+    index, word = licenses.Index([("five", "one two three four five"), ("nine", "a b c d e f g h i")]), Memo(licenses.hashed)
+    texts = ["x " * 100 + "One, two three (four) five! " + "y " * 50, "one two three four", "q a b c d e f g h z", "a b c d e f g", ""]
+    found = licenses.found_in(texts, index, word)
+    assert [(i, n, share) for i, n, share, *_ in found] == [(0, "five", 1.0), (2, "nine", 0.8)]
+
+
 def test_windows_are_of_one_text_only():
     numbers = [np.array([5, 9, 1], np.uint64), np.array([7], np.uint64), np.array([8, 2, 4, 6, 3], np.uint64)]
     blocks = licenses.Blocks(np.array([3, 1, 5]), 2)
