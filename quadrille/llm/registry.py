@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_warc": warc.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }

@@ -2,7 +2,8 @@
 
 The reader's tasks own byte ranges. A task looks for gzip's magic bytes in its range, takes a place for the start of a
 record only if what decompresses there begins with WARC headers, and reads to its end each record that starts inside,
-past the end of the range if need be. So files of any size are read by many tasks, without an index.
+past the end of the range if need be. So files of any size are read by many tasks, without an index. It reads the
+archives of other writers too: WARC 1.0 and 1.1, all types of record, header names in any case.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import new_path, quoted, read, slices, written
+from quadrille.llm.common import new_path, quoted, read, slices, spread_join, written
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of an archive at which its writer begins another, and bytes of the range that a reader's task owns.
@@ -94,8 +95,9 @@ def write_archives(pages: DataFrame, folder: str, *, file_bytes: int = FILE_BYTE
     returned table count: what a lost or repeated task left is no part of the archives. An empty table gives no archive.
     """
     rows = pages.select(quoted("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"))
-    first = rows.groupBy("digest").agg(F.max("page_id").alias("first"))
-    typed = rows.join(first, "digest").withColumn("revisit", ~F.col("page_id").eqNullSafe(F.col("first")))
+    told = written(rows.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")), "digests")
+    total = int(told.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    typed = spread_join(rows, told.select("digest", "first"), "digest", F.struct("page_id", "url"), told.select("digest", "n"), total).withColumn("revisit", ~F.col("page_id").eqNullSafe(F.col("first")))
     return written(typed.select("page_id", "url", "html", "first", "revisit").mapInArrow(_writer(folder, file_bytes), "path string, bytes long, records long"), "archives")
 
 
@@ -124,7 +126,7 @@ class Range:
                 part = bytes(self.data[at : at + 65_536])
                 out.append(unpack.decompress(part))
                 at += len(part) - len(unpack.unused_data)
-                if size < 8 and out[0][:8] != b"WARC/1.1"[: len(out[0])]:
+                if size < 7 and b"".join(out)[:7] != b"WARC/1."[: size + len(out[-1])]:
                     return None
                 size += len(out[-1])
         except zlib.error:
@@ -145,25 +147,55 @@ def members(file, start: int, end: int, size: int) -> Iterator[tuple[int, bytes]
             i = found[1]
 
 
+def fields_of(head: bytes) -> dict[str, str]:
+    """Header fields by their names in lower case; of a name that repeats the first, and folded lines are joined."""
+    out: dict[str, str] = {}
+    for line in head.decode("utf-8", "replace").replace("\r\n ", " ").replace("\r\n\t", " ").split("\r\n")[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            out.setdefault(name.strip().lower(), value.strip())
+    return out
+
+
+def number(text: str | None) -> int | None:
+    """A field's whole number, None where it is missing or none."""
+    return int(text) if text and text.removeprefix("-").isdecimal() else None
+
+
 def parsed(whole: bytes) -> dict:
-    """A record's fields; a response's payload is checked against the digest in its header."""
+    """A record's fields.
+
+    The payload of an HTTP block, by its media type or that of a response or revisit, is what follows the HTTP headers;
+    that of other records is the block. A revisit has none, and its payload_bytes are those that its HTTP headers state,
+    null if they do not. A missing digest is computed from the payload, and is null for a revisit; a SHA-1 that is there
+    must fit a whole payload.
+    """
     head, _, rest = whole.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = next(int(x.split(b":", 1)[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    if fields["WARC-Type"] == "response" and (len(payload) != length or base32_sha1(payload) != digest):
-        raise ValueError(f"payload of {fields['WARC-Record-ID']} does not match its digest")
-    number = lambda k: int(fields[k]) if k in fields else None
+    fields = fields_of(head)
+    size = number(fields.get("content-length"))
+    block = rest.removesuffix(b"\r\n\r\n") if size is None else rest[:size]
+    kind = fields.get("warc-type", "").lower() or None
+    revisit, length, payload = kind == "revisit", len(block), block
+    if kind == "revisit" or (kind in ("response", "request") and (block[:5] == b"HTTP/" or fields.get("content-type", "").lower().startswith("application/http"))):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        stated = number(fields_of(http).get("content-length"))
+        length = stated if revisit else len(payload)
+        if kind == "response" and stated is not None and stated > len(payload) and "warc-truncated" not in fields:
+            raise ValueError(f"payload of {fields.get('warc-record-id')} is shorter than its headers state")
+    digest = fields.get("warc-payload-digest", "")
+    method, _, digest = digest.rpartition(":")
+    if not digest and not revisit:
+        digest = base32_sha1(payload)
+    elif method.lower() in ("", "sha1") and len(digest) == 32 and kind == "response" and "warc-truncated" not in fields and base32_sha1(payload) != digest.upper():
+        raise ValueError(f"payload of {fields.get('warc-record-id')} does not match its digest")
     return {
-        "page_id": number("Page-Id"),
+        "page_id": number(fields.get("page-id")),
         "payload_bytes": length,
-        "payload_digest": digest,
-        "record_type": fields["WARC-Type"],
-        "refers_to": number("Refers-To-Page-Id"),
-        "target_uri": fields.get("WARC-Target-URI"),
-        "payload": payload if fields["WARC-Type"] == "response" else None,
+        "payload_digest": digest or None,
+        "record_type": kind,
+        "refers_to": number(fields.get("refers-to-page-id")),
+        "target_uri": fields.get("warc-target-uri", "").removeprefix("<").removesuffix(">") or None,
+        "payload": None if revisit else payload,
     }
 
 
@@ -201,7 +233,8 @@ def _reader(with_payload: bool) -> Callable:
 def read_archives(archives: DataFrame, *, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
     """The records of the archives in a table (path, bytes): one row each, with the place where it starts.
 
-    Each range of split_bytes is a row; ranges are dealt to as many tasks, so one large archive is read by many.
+    Each range of split_bytes is a row; ranges are dealt to as many tasks, so one large archive is read by many. Records
+    of other writers have null where they lack a field, page_id above all; further columns of the table are not read.
     """
     tasks = max(1, -(-int(archives.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]) // split_bytes))
     step = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))
@@ -213,3 +246,17 @@ def read_archives(archives: DataFrame, *, split_bytes: int = SPLIT_BYTES, with_p
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_archives(read(spark, sf_dir, "pages"), new_path(spark, "warc"))
     return read_archives(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+WITH p AS (
+  SELECT page_id::BIGINT AS page_id, coalesce(html, '') AS payload FROM pages
+), f AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload) AS first, sha1(payload) AS hex FROM p
+)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f
+"""

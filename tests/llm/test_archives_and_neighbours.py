@@ -79,6 +79,49 @@ def test_a_changed_payload_is_refused():
         warc.parsed(whole)
 
 
+def member(lines, block, version="WARC/1.0"):
+    return gzip.compress("\r\n".join([version, *lines, "", ""]).encode() + block + b"\r\n\r\n")
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """WARC 1.0, all types, header names in other cases, lines that go on, no lengths, digests of other kinds or none."""
+    http = b"HTTP/1.0 200 OK\r\ncontent-type: text/html\r\n\r\n<p>one</p>"
+    known = b"HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\ntwo"
+    data = [
+        member(["WARC-Type: warcinfo", "Content-Type: application/warc-fields", "Content-Length: 10"], b"software:x"),
+        member(["warc-type: Response", "warc-target-uri: <http://a/>", "content-type: application/http;", " msgtype=response", f"CONTENT-LENGTH: {len(http)}"], http),
+        member(["WARC-Type: request", "Content-Type: application/http; msgtype=request", "Content-Length: 18"], b"GET / HTTP/1.1\r\n\r\n"),
+        member(["WARC-Type: metadata", "Content-Length: 4", "Page-Id: x1"], b"a: b", "WARC/1.1"),
+        member(["WARC-Type: response", f"Content-Length: {len(known)}", f"WARC-Payload-Digest: SHA1:{sha(b'two')}"], known),
+        member(["WARC-Type: response", f"Content-Length: {len(known)}", "WARC-Payload-Digest: md5:abc"], known),
+        member(["WARC-Type: resource"], b"no length"),
+        member(["WARC-Type: revisit", "Content-Length: 0"], b""),
+        member(["WARC-Type: response", "Content-Length: 12", "WARC-Target-URI: dns:a"], b"not by HTTP!"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(data))
+    archives = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", sum(map(len, data)), 1)], "path string, bytes long, page_id int")
+    for step in (37, 10**6):
+        got = [(r.record_type, r.payload and bytes(r.payload), r.payload_bytes, r.payload_digest) for r in warc.read_archives(archives, split_bytes=step).orderBy("at").collect()]
+        assert got == [
+            ("warcinfo", b"software:x", 10, sha(b"software:x")),
+            ("response", b"<p>one</p>", 10, sha(b"<p>one</p>")),
+            ("request", b"", 0, sha(b"")),
+            ("metadata", b"a: b", 4, sha(b"a: b")),
+            ("response", b"two", 3, sha(b"two")),
+            ("response", b"two", 3, "abc"),
+            ("resource", b"no length", 9, sha(b"no length")),
+            ("revisit", None, None, None),
+            ("response", b"not by HTTP!", 12, sha(b"not by HTTP!")),
+        ]
+    assert {r.target_uri for r in warc.read_archives(archives).collect()} == {None, "http://a/", "dns:a"}
+
+
+def test_pages_with_clashing_columns(spark):
+    frame = spark.createDataFrame([(1, "u", "x", 5, 6, "d"), (2, "u", "x", 5, 6, "d")], "page_id long, url string, html string, first long, n long, digest string")
+    got = warc.read_archives(warc.write_archives(frame, new_path(spark, "warc-test")))
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got.collect()) == [(1, "revisit", 2), (2, "response", None)]
+
+
 def brute(rows, queries, k):
     """(query, rank, id, distance) over distinct rows."""
     ids = np.array([i for i, _ in rows])
