@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quadrille.sources.shared import drop_written, new_path, written
 
-__all__ = ["Memo", "WORD", "drop_written", "fresh", "hash_sample", "held_out", "new_path", "partitions", "quoted", "read", "scratch", "slices", "spread_join", "training_ids", "training_rows", "written"]
+__all__ = ["Memo", "WORD", "check_new", "drop_written", "fresh", "hash_sample", "held_out", "new_path", "partitions", "quoted", "read", "scratch", "slices", "spread_join", "training_ids", "training_rows", "written"]
 
 #: ASCII white space: space and U+0009 to U+000D. Words are runs of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,6 +37,13 @@ def fresh(frame: DataFrame | list[str], *bases: str) -> list[str]:
     return out
 
 
+def check_new(frame: DataFrame, *names: str | None) -> None:
+    """An error if a column of one of the names, whatever their case, is there already; None is no name."""
+    there = {c.lower() for c in frame.columns}
+    if clash := [n for n in names if n and n.lower() in there]:
+        raise ValueError(f"columns that are there already: {', '.join(clash)}")
+
+
 def quoted(name: str) -> Column:
     """A top-level column whose name may hold dots."""
     return F.col(f"`{name}`")
@@ -74,18 +81,20 @@ def training_ids(labels: DataFrame, label: str, rows: int) -> DataFrame:
     return hash_sample(told.where("y = 1"), rows // 2, "doc_id").unionAll(hash_sample(told.where("y = 0"), rows // 2, "doc_id"))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[list[str], list[int]]:
-    """The texts and labels of training_ids(), on the driver: bounded by rows, ordered by doc_id."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, stated: str | None = None) -> tuple[list[str], list[int], list[int | None]]:
+    """The texts and labels of training_ids(), and a whole-number column of theirs, on the driver: bounded by rows, ordered by doc_id."""
     ids = training_ids(labels, label, rows)
+    told = F.col(stated).cast("long") if stated else F.lit(None).cast("long")
     got = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.coalesce("text", F.lit("")).alias("text"), told.alias("stated")).alias("row"))
         .join(F.broadcast(ids), "doc_id")
         .groupBy("doc_id", "y")
-        .agg(F.min("text").alias("text"))
+        .agg(F.min("row").alias("row"))
+        .select("doc_id", "y", "row.text", "row.stated")
         .toPandas()
         .sort_values("doc_id", kind="stable")
     )
-    return list(got["text"]), [int(y) for y in got["y"]]
+    return list(got["text"]), [int(y) for y in got["y"]], [None if n != n or n is None else int(n) for n in got["stated"]]
 
 
 def held_out() -> Column:

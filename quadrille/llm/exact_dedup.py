@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.llm.common import fresh, quoted, read, scratch
+from quadrille.llm.common import fresh, quoted, read, scratch, spread_join, written
 
 #: Bytes of distinct content that one table holds.
 TABLE_BYTES = 48_000_000
@@ -218,7 +218,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tabl
     them). An empty table gives no rows; columns other than the id and the text are not read.
     """
     members = hashed(docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text")), "text", "digest")
-    found = members.select("doc_id", "digest").join(classes(docs, id_col, text_col, table_bytes), "digest")
+    told = written(classes(docs, id_col, text_col, table_bytes), "classes")
+    total = int(told.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    found = spread_join(members.select("doc_id", "digest"), told.select("digest", "keep_id", F.col("n").alias("rows")), "digest", F.col("doc_id"), told.select("digest", "n"), total).withColumnRenamed("rows", "n")
     return found.select(
         "doc_id",
         "keep_id",
@@ -231,12 +233,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tabl
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """The rows of docs that stay, with all their columns: of equal texts the one with the largest id.
 
-    Of rows that repeat both id and text one stays. Further columns come along whatever their names.
+    Of rows that repeat both id and text one stays. Further columns come along whatever their names. The join is by
+    digest and id, so that a large group of copies is no hot key.
     """
     digest, keep, tied = fresh(docs, "digest", "keep", "tied")
     rows = hashed(docs, text_col, digest)
     kept = classes(docs, id_col, text_col, table_bytes).select(F.col("digest").alias(digest), F.col("keep_id").alias(keep), F.col("tied").alias(tied))
-    stay = rows.join(kept, digest).where(quoted(id_col).cast("long").eqNullSafe(F.col(keep)))
+    stay = rows.join(kept, (rows[digest] == kept[digest]) & rows[f"`{id_col}`"].cast("long").eqNullSafe(kept[keep])).drop(kept[digest])
     once = stay.where(F.col(tied) == 1).select(*map(quoted, docs.columns))
     several = stay.where(F.col(tied) > 1).dropDuplicates([digest]).select(*map(quoted, docs.columns))
     return once.unionAll(several)

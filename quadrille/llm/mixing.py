@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import WORD, fresh, quoted, read
+from quadrille.llm.common import WORD, fresh, quoted, read, written
 
-#: Documents that a range of keys holds on average.
-RANGE_ROWS = 1_000
+#: Documents that a range of keys holds on average, and ids whose copies have keys of their own at most.
+RANGE_ROWS, HOT_IDS = 1_000, 10_000
 
 
 def words(text: Column) -> Column:
@@ -41,20 +41,40 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int =
     return ranked.withColumn("level", level).withColumn("target", F.least(F.col("cap").cast("double"), F.col("w") * F.max("level").over(whole))).select("key", "source_size", "target")
 
 
+def _numbered(docs: DataFrame, id_col: str, nth: str, total: int) -> DataFrame:
+    """docs with a column nth: null, and for rows of an id that would fill ranges by itself their number among equal rows.
+
+    Such an id has more than RANGE_ROWS rows and more than one in HOT_IDS of all. Its rows that are equal in all columns
+    are counted, which Spark does inside each partition first, and numbered by exploding the count.
+    """
+    most = max(RANGE_ROWS, total // HOT_IDS)
+    hot, many = fresh([*docs.columns, nth], "hot", "many")
+    ids = written(docs.groupBy(quoted(id_col).alias(hot)).agg(F.count("*").alias(many)).where(F.col(many) > most).select(hot), "mix-hot")
+    if ids.isEmpty():
+        return docs.withColumn(nth, F.lit(None).cast("long"))
+    listed = F.broadcast(ids.withColumn(many, F.lit(True)))
+    marked = docs.join(listed, quoted(id_col).eqNullSafe(F.col(hot)), "left")
+    few = marked.where(F.col(many).isNull()).select(*map(quoted, docs.columns), F.lit(None).cast("long").alias(nth))
+    counted = marked.where(F.col(many)).groupBy(*map(quoted, docs.columns)).agg(F.count("*").alias(many))
+    return few.unionAll(counted.select(*map(quoted, docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), F.col(many))).alias(nth)))
+
+
 def mix(docs: DataFrame, size: Column, *, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> tuple[DataFrame, dict[str, str]]:
     """docs with what the mix takes of each row; the names of the added columns, which clash with none of docs.
 
     Added: size (the given expression), source_size, target, taken (words, repeats counted) and epochs (whole epochs of
     the source). Rows of a source are ordered by the MD5 of the id as text, then id, then size; rows equal in all these
-    take interchangeable shares. Null ids share one key; null sources are one source, after all others. A source whose
-    size is 0 takes 0, and an empty table gives no rows.
+    take interchangeable shares. An id that very many rows repeat, null too, has a key for each of its equal rows, so
+    that no range is larger than others. Null sources are one source, after all others. A source whose size is 0 takes
+    0, and an empty table gives no rows.
     """
     names = dict(zip(["size", "source_size", "target", "taken", "epochs"], fresh(docs, "size", "source_size", "target", "taken", "epochs"), strict=True))
-    key, order, bucket, ahead = fresh(docs, "key", "order", "bucket", "ahead")
-    ranges = max(1, -(-docs.count() // RANGE_ROWS))
+    key, order, bucket, ahead, nth = fresh(docs, "key", "order", "bucket", "ahead", "nth")
+    total = docs.count()
+    ranges = max(1, -(-total // RANGE_ROWS))
     source = quoted(source_col)
-    digest = F.md5(F.coalesce(quoted(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.withColumns(
+    digest = F.md5(F.concat(F.coalesce(quoted(id_col).cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("/"), F.col(nth)), F.lit(""))).cast("binary"))
+    rows = _numbered(docs, id_col, nth, total).withColumns(
         {
             names["size"]: size,
             key: F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n")),

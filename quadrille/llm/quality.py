@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.llm.common import Memo, held_out, read, slices, training_rows
+from quadrille.llm.common import Memo, check_new, held_out, read, slices, training_rows
 
 #: Labelled rows that the machine is fitted on at most, half of each label; hashed words; length of the vectors; passes.
 SAMPLE_ROWS, BITS, RANK, PASSES = 3_000, 15, 6, 30
@@ -96,15 +96,18 @@ def read_text(text: str, stated: int | None, word: Memo) -> tuple[np.ndarray, li
     return np.unique(np.fromiter(map(word.__getitem__, distinct), np.int64, len(distinct))), structure(text, words, len(distinct), stated)
 
 
-def fit(texts: list[str], good: list[int], passes: int = PASSES, seed: int = 7) -> Machine:
-    """Stochastic gradient with a step size for each weight, in a fixed order; classes count alike in sum."""
+def fit(texts: list[str], good: list[int], stated: list[int | None] | None = None, passes: int = PASSES, seed: int = 7) -> Machine:
+    """Stochastic gradient with a step size for each weight, in a fixed order; classes count alike in sum.
+
+    stated: the lengths as the metadata state them, None for the texts' own.
+    """
     rng = np.random.default_rng(seed)
     memo = Memo(hashed)
     base = 1 << BITS
     machine = Machine(0.0, np.zeros(base + STATISTICS), rng.normal(0, 0.05, (base + STATISTICS, RANK)), np.zeros(STATISTICS), np.ones(STATISTICS))
     if not texts:
         return machine
-    words, stats = zip(*(read_text(t, None, memo) for t in texts), strict=True)
+    words, stats = zip(*(read_text(t, n, memo) for t, n in zip(texts, stated or [None] * len(texts), strict=True)), strict=True)
     stats = np.array(stats)
     machine.mean, machine.spread = stats.mean(0), stats.std(0) + 0.05
     y = np.array(good, np.float64)
@@ -154,8 +157,9 @@ def score(docs: DataFrame, machine: Machine, *, text_col: str = "text", stated_c
 
     Null and empty texts have no words; their score comes from the statistics alone. stated_col is an integer column
     with the length as the metadata state it, null for the text's own. Rows that repeat score alike; other columns come
-    along and are no input; name must be a new one.
+    along and are no input; name must be a new one, or it is an error.
     """
+    check_new(docs, name)
     sent = docs.sparkSession.sparkContext.broadcast(machine)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     at = docs.columns.index(stated_col) if stated_col else None
@@ -164,7 +168,7 @@ def score(docs: DataFrame, machine: Machine, *, text_col: str = "text", stated_c
 
 def trained(spark: SparkSession, sf_dir: str, rows: int = SAMPLE_ROWS) -> Machine:
     """The machine for a folder of tables: labelled rows outside the held-out fold, at most rows of them."""
-    return fit(*training_rows(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "quality", rows))
+    return fit(*training_rows(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "quality", rows, "n_chars"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

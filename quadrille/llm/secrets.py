@@ -85,19 +85,20 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def transitions(samples: DataFrame) -> DataFrame:
-    """Log-likelihood ratio, random over ordinary, of each transition seen: (at, llr), at = row of the models' table.
+    """Log-likelihood ratio, random over ordinary, of every transition: (at, llr), at = row of the models' table.
 
-    At most 67 by 67 rows plus those of other characters; a transition seen in neither sample has no row and counts as
-    the ratio of the smoothed models.
+    Both models are smoothed by half a count a cell. 68 by 68 rows: a transition that neither sample has tells nothing
+    and counts 0, so that lines of dashes, say, are no random strings.
     """
     side = len(ALPHABET) + 1
     steps = F.sequence(F.lit(1), F.length("value") - 1)
     pairs = samples.where(F.length("value") > 1).select("random", F.explode(F.transform(steps, lambda i: _cell(F.col("value"), i))).alias("at"))
     counted = pairs.groupBy("at").agg(F.count_if("random").alias("r"), F.count_if(~F.col("random")).alias("o"))
-    rows = counted.withColumn("row", F.floor(F.col("at") / side))
+    every = samples.sparkSession.range(side * side).select(F.col("id").cast("int").alias("at")).join(counted, "at", "left")
+    rows = every.select("at", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("r", "o")), F.floor(F.col("at") / side).alias("row"))
     whole = Window.partitionBy("row")
     ratio = lambda n: F.log((F.col(n) + 0.5) / (F.sum(n).over(whole) + 0.5 * side))
-    return rows.select(F.col("at").cast("int").alias("at"), (ratio("r") - ratio("o")).alias("llr"))
+    return rows.select("at", F.when(F.col("r") + F.col("o") > 0, ratio("r") - ratio("o")).otherwise(0.0).alias("llr"))
 
 
 def _place(char: Column) -> Column:
@@ -117,11 +118,8 @@ def score(value: Column, model: Column) -> Column:
 
 
 def fitted(samples: DataFrame) -> Column:
-    """The models as one constant array; at most 68 by 68 numbers come to the driver."""
-    side = len(ALPHABET) + 1
-    table = [0.0] * (side * side)
-    for at, llr in transitions(samples).collect():
-        table[at] = llr
+    """The models as one constant array; 68 by 68 numbers come to the driver."""
+    table = [llr for _, llr in sorted(transitions(samples).collect())]
     return F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
 
 

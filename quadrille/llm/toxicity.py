@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.llm.common import Memo, fresh, held_out, quoted, read, slices, training_rows
+from quadrille.llm.common import Memo, check_new, fresh, held_out, quoted, read, slices, training_rows
 from quadrille.llm.simhash import fingerprint
 
 #: Labelled rows that the field is fitted on at most, half of each label; hashed features; passes over the sample.
@@ -247,8 +247,10 @@ def tag(docs: DataFrame, model: Field, *, text_col: str = "text", score: str = "
     """docs with each whole text's score and, unless found is None, its toxic spans (start, end, p).
 
     Null and empty texts have no words: their score is that of a text without evidence, and no span. Rows that repeat
-    score alike; other columns come along and are no input. score and found must be new names, see fresh().
+    score alike; other columns come along and are no input. score and found must be new names, see fresh(): a name that is
+    there already is an error.
     """
+    check_new(docs, score, found)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     more = [T.StructField(score, T.DoubleType())] + ([T.StructField(found, SPANS)] if found else [])
     schema = T.StructType([*docs.schema.fields, *more])
@@ -257,7 +259,7 @@ def tag(docs: DataFrame, model: Field, *, text_col: str = "text", score: str = "
 
 def trained(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, rows: int = SAMPLE_ROWS) -> Field:
     """The field for a folder of tables: labelled rows outside the held-out fold, at most rows of them."""
-    texts, toxic = training_rows(read(spark, sf_dir, "documents") if docs is None else docs, read(spark, sf_dir, "labels"), "toxic", rows)
+    texts, toxic, _ = training_rows(read(spark, sf_dir, "documents") if docs is None else docs, read(spark, sf_dir, "labels"), "toxic", rows)
     return fit(texts, toxic)
 
 
@@ -270,4 +272,5 @@ def clean(docs: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = tag(docs, trained(spark, sf_dir))
-    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
+    offsets = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"), offsets.alias("spans"))

@@ -65,6 +65,24 @@ def test_mix_equals_plain_computation(sources, odd_docs, no_docs, monkeypatch):
     assert all(taken <= 3 * n for _, n, _, _, taken in got)
 
 
+def test_rows_of_a_hot_id_are_spread(spark, monkeypatch):
+    """4,000 equal rows with a null id, and 600 others: the whole budget is taken, in ranges of about the same size."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 50)
+    monkeypatch.setattr(mixing, "HOT_IDS", 10)
+    docs = spark.range(4_600).selectExpr("if(id < 4000, null, id) AS doc_id", "'a b c' AS text", "if(id % 2 = 0, 's', 't') AS source", "map('k', id % 2) AS more")
+    out, names = mixing.mix(docs, mixing.words(F.col("text")))
+    got = out.collect()
+    assert len(got) == 4_600 and sum(r.doc_id is None for r in got) == 4_000 and out.columns[:4] == docs.columns
+    taken = defaultdict(int)
+    for r in got:
+        taken[r.source] += r[names["taken"]]
+        assert r[names["taken"]] <= 9
+    assert dict(taken) == {"s": 4_600, "t": 9_200}
+    numbered = mixing._numbered(docs, "doc_id", "nth", 4_600)
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("/"), F.col("nth")), F.lit(""))).cast("binary"))
+    assert max(r["count"] for r in numbered.groupBy("source", F.substring(digest, 1, 1)).count().collect()) < 400
+
+
 def test_mixed_rows_hold_the_words_taken(sources, odd_docs, no_docs):
     rows, docs = sources
     words = defaultdict(int)

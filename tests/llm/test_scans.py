@@ -51,6 +51,30 @@ def test_models_tell_random_strings_from_identifiers(spark, model):
     assert [got[i] for i in range(len(random_ + plain))] == [1] * len(random_) + [0] * len(plain)
 
 
+def test_planted_secrets_are_found(spark, model):
+    """300 random strings of forms that no base pattern knows, and 300 long identifiers, each alone in a text."""
+    rng = random.Random(12)
+    digits, base64 = "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    words = ["account", "handler", "request", "version", "library", "document", "customer", "settings", "position", "transfer"]
+    made = ["".join(rng.choice((digits, base64, base64[:62])[i % 3]) for _ in range(rng.randrange(24, 44))) for i in range(300)]
+    plain = [("_", "-", "/", "")[i % 4].join((w.title() if i % 4 == 3 else w) for w in rng.sample(words, 4)) for i in range(300)]
+    docs = spark.createDataFrame([(i, f"see {v} there") for i, v in enumerate(made + plain)], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.random] for r in secrets.scan(docs, model).collect()}
+    assert sum(got[i] == [(4, 4 + len(v))] for i, v in enumerate(made)) >= 0.95 * len(made)
+    assert sum(bool(got[300 + i]) for i in range(len(plain))) <= 0.02 * len(plain)
+
+
+def test_every_transition_has_a_ratio(spark):
+    samples = spark.createDataFrame([("aab", True), ("aa", False), ("b", False), (None, True), ("", False)], "value string, random boolean")
+    side = len(secrets.ALPHABET) + 1
+    got = {r["at"]: r.llr for r in secrets.transitions(samples).collect()}
+    a, b = secrets.ALPHABET.index("a"), secrets.ALPHABET.index("b")
+    ratio = lambda r, o: np.log((r + 0.5) / (2 + side / 2)) - np.log((o + 0.5) / (1 + side / 2))
+    assert sorted(got) == list(range(side * side))
+    assert np.isclose(got[a * side + a], ratio(1, 1)) and np.isclose(got[a * side + b], ratio(1, 0))
+    assert all(got[i] == 0 for i in range(side * side) if i not in (a * side + a, a * side + b))
+
+
 def brute_licenses(text):
     words = [p for w in (text or "").split() if (p := licenses.plain(w))]
     grams = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
@@ -163,6 +187,23 @@ def test_toxicity_on_held_out_texts_and_spans(spark, odd_docs, no_docs):
     assert toxicity.clean(odd_docs, model).columns == odd_docs.columns and toxicity.tag(no_docs, model).count() == 0
 
 
+def test_names_that_are_there_are_refused(spark, odd_docs):
+    model = toxicity.fit([], [])
+    with pytest.raises(ValueError, match="there already: Size"):
+        toxicity.tag(odd_docs, model, score="Size")
+    with pytest.raises(ValueError, match="there already: text"):
+        quality.score(odd_docs, quality.fit([], []), name="text")
+
+
+def test_quality_learns_from_the_stated_length():
+    texts = ["same words in all of them"] * 60
+    machine = quality.fit(texts, [i % 2 for i in range(60)], [10 if i % 2 else 100_000 for i in range(60)])
+    memo = Memo(quality.hashed)
+    words, stats = zip(*(quality.read_text(texts[0], n, memo) for n in (10, 100_000)), strict=True)
+    good, bad = machine.score(list(words), np.array(stats))
+    assert good > 0.9 and bad < 0.1
+
+
 def test_toxicity_without_labels():
     for texts, labels in (([], []), (["a b c"], [0])):
         model = toxicity.fit(texts, labels)
