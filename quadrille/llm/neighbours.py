@@ -2,9 +2,10 @@
 
 Equal vectors are one node. The graph starts from the nearest in random buckets of a few hyperplanes. A round of
 NN-descent joins each node with its neighbours and with those whose neighbour it is, compares these with each other,
-and gives each node the nearest it has met; it takes a few rounds of joins. A query walks the graph: it expands the
-nearest nodes that it knows, all queries at once, until the nearest are all expanded. Distances are in 64-bit floats
-and of the vectors themselves, which travel as 32-bit floats where that loses nothing.
+and gives each node the nearest it has met; it takes a few rounds of joins. A query walks the graph: in a step it
+expands the nearest nodes that it knows and has not expanded, all queries at once, until those in its beam are all
+expanded. Distances are in 64-bit floats and of the vectors themselves, which travel as 32-bit floats where that loses
+nothing.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ TREES, BUCKET, BLOCK = 4, 400, 1_024
 #: New neighbours that a node gets from one join at most.
 OFFERS = 8
 #: Nodes that a query keeps open in a graph of up to BEAM_NODES nodes, and the power of the nodes by which they grow beyond.
-BEAM, BEAM_NODES, BEAM_POWER = 128, 25_000, 0.75
+BEAM, BEAM_NODES, BEAM_POWER = 128, 25_000, 0.5
+#: The part of its beam that a query expands in a step: fewer nodes are met if a step is small, and more steps are taken.
+STEP = 1 / 4
 #: Nodes whose joins are one task's group.
 GROUP = 128
 #: Copies of a vector that are told apart: one more than any query returns.
@@ -127,13 +130,16 @@ def best(edges: DataFrame, k: int) -> DataFrame:
 
 
 def tag(node: Column) -> Column:
-    """16 bits of a hash of a node, by which a join knows a neighbour that another node has already."""
-    return F.pmod(F.xxhash64(node), F.lit(65_536)).cast("int")
+    """32 bits of a node's number, itself a hash, by which a join knows a neighbour that another node has already.
+
+    Two of a list's nodes share one by chance in 1 of 1e8 lists, which costs one offer of one join.
+    """
+    return node.bitwiseAND(F.lit(0xFFFFFFFF)).cast("long")
 
 
 def tags(near: Column) -> Column:
-    """The tags of a node's neighbours, two bytes each."""
-    return F.unhex(F.array_join(F.transform(near, lambda e: F.lpad(F.hex(tag(e["v"])), 4, "0")), ""))
+    """The tags of a node's neighbours, four bytes each."""
+    return F.unhex(F.array_join(F.transform(near, lambda e: F.lpad(F.hex(tag(e["v"])), 8, "0")), ""))
 
 
 def _join(kind: type) -> Callable:
@@ -151,10 +157,10 @@ def _join(kind: type) -> Callable:
         m, w = m[order], w[order]
         x = _matrix(table.column("h"), kind)[order].astype(np.float64)
         far, mine = table.column("far").to_numpy()[order], table.column("mine").to_numpy()[order]
-        had = np.full((len(m), DEGREE), -1, np.int32)
+        had = np.full((len(m), DEGREE), -1, np.int64)
         told = table.column("tags").to_pylist()
         for r, i in enumerate(order):
-            had[r, : len(told[i]) // 2] = np.frombuffer(told[i], ">u2")
+            had[r, : len(told[i]) // 4] = np.frombuffer(told[i], ">u4")
         starts = np.nonzero(np.append(True, m[1:] != m[:-1]))[0]
         sizes = np.diff(np.append(starts, len(m)))
         us, vs, ds = [], [], []
@@ -231,27 +237,38 @@ def beam_of(nodes: int) -> int:
     return int(np.ceil(BEAM * max(1.0, nodes / BEAM_NODES) ** BEAM_POWER))
 
 
-def walked(state: DataFrame, queries: DataFrame, beam: int, kind: type) -> DataFrame:
-    """(q, v, d): what greedy search of the graph meets from each query node q, which knows its own neighbours at first.
+def walked(state: DataFrame, queries: DataFrame, beam: int, kind: type, width: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """What greedy search of the graph finds from each query node q, and the tables (q, v) of all that it met.
 
-    A step expands those of each query's nearest beam nodes that are not yet expanded; a query for which there are none
-    is done, and the walk ends when all are.
+    Found: (q, v, d), each query's nearest beam nodes and those tied with the last. A step expands those of them that
+    are not yet expanded, the nearest width at most; a query for which there are none is done, and the walk ends when
+    all are.
     """
+    width = width or max(1, int(np.ceil(beam * STEP)))
     halves = state.select(F.col("node").alias("v"), "h")
     links = state.select("node", F.explode("near").alias("e")).select(F.col("node").alias("a"), F.col("e.v").alias("b"))
     around = written(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "around")
     asked = written(queries.join(halves.withColumnRenamed("v", "q"), "q").select("q", F.col("h").alias("qh")), "asked")
-    place = F.row_number().over(Window.partitionBy("q").orderBy("d", "v"))
-    known = written(asked.select("q", F.col("q").alias("v"), F.lit(0.0).alias("d"), F.lit(False).alias("done"), F.lit(1).alias("n")), "walk")
-    while not (chosen := known.where((F.col("n") <= beam) & ~F.col("done")).select("q", "v")).isEmpty():
-        marked = known.select("q", "v", "d", (F.col("done") | (F.col("n") <= beam)).alias("done"))
+    front = written(asked.select("q", F.col("q").alias("v"), F.lit(0.0).alias("d"), F.lit(False).alias("done"), F.lit(1).alias("turn")), "front")
+    met = [written(asked.select("q", F.col("q").alias("v")), "met")]
+    place, turn = F.rank().over(Window.partitionBy("q").orderBy("d")), F.row_number().over(Window.partitionBy("q", "done").orderBy("d", "v"))
+    while not (chosen := front.where((F.col("turn") <= width) & ~F.col("done")).select("q", "v")).isEmpty():
+        before = met[0]
+        for more in met[1:]:
+            before = before.unionAll(more)
         stepped = chosen.join(around.withColumnRenamed("a", "v"), "v").select("q", F.col("b").alias("v")).distinct()
-        fresh = stepped.join(known.select("q", "v"), ["q", "v"], "left_anti").join(halves, "v").join(asked, "q")
-        met = fresh.select("q", "v", "qh", "h").mapInArrow(_measured(kind), "q long, v long, d double").withColumn("done", F.lit(False))
-        after = written(marked.unionAll(met.select("q", "v", "d", "done")).withColumn("n", place), "walk")
-        drop_written(known)
-        known = after
-    return known.select("q", "v", "d")
+        unknown = stepped.join(before, ["q", "v"], "left_anti").join(halves, "v").join(asked, "q")
+        new = written(unknown.select("q", "v", "qh", "h").mapInArrow(_measured(kind), "q long, v long, d double"), "met")
+        met.append(new.select("q", "v"))
+        met[-1].quadrille_path = new.quadrille_path
+        marked = front.select("q", "v", "d", (F.col("done") | (F.col("turn") <= width)).alias("done"))
+        nearest = marked.unionAll(new.withColumn("done", F.lit(False))).withColumn("place", place).where(F.col("place") <= beam).drop("place")
+        after = written(nearest.withColumn("turn", turn), "front")
+        drop_written(front)
+        front = after
+    drop_written(around)
+    drop_written(asked)
+    return front.select("q", "v", "d"), met
 
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +286,7 @@ def search(frame: DataFrame, wanted: Column, *, id_col: str = "vec_id", vector_c
     """
     rows = usable(frame, id_col, vector_col)
     base = written(points(rows.distinct()), "points")
-    moments = base.select("vec").mapInArrow(_moments, "dim long, middle double, single boolean, n long").groupBy("dim").agg(F.median("middle").alias("middle"), F.min("single").alias("single"), F.sum("n").alias("n")).orderBy("dim").toPandas()
+    moments = base.select("vec").mapInArrow(_moments, "dim long, middle double, single boolean, n long").groupBy("dim").agg(F.percentile_approx("middle", 0.5).alias("middle"), F.min("single").alias("single"), F.sum("n").alias("n")).orderBy("dim").toPandas()
     count = int(moments["n"].max()) if len(moments) else 0
     centre = moments["middle"].to_numpy() if count else np.zeros(1)
     kind = np.float32 if count and moments["single"].all() else np.float64
@@ -280,17 +297,19 @@ def search(frame: DataFrame, wanted: Column, *, id_col: str = "vec_id", vector_c
     asked = rows.where(wanted).select("id", "vec").distinct()
     packed = asked.mapInArrow(_packed, "id long, vec binary")
     named = written(packed.join(base.select("vec", F.col("node").alias("q")), "vec").select(F.col("id").alias("query_id"), "q"), "queries")
-    met = walked(state, named.select("q").distinct(), beam_of(count), kind)
-    few = written(met.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") <= min(k, count - 1)).select("q"), "few")
-    closest = met.withColumn("n", F.rank().over(Window.partitionBy("q").orderBy("d"))).where(F.col("n") <= 4 * k).select("q", "v")
-    if not few.isEmpty():  # their part of the graph has no k others: they are compared with all nodes
-        closest = closest.join(few, "q", "left_anti").unionAll(F.broadcast(few).crossJoin(base.select(F.col("node").alias("v"))))
+    found, met = walked(state, named.select("q").distinct(), beam_of(count), kind)
+    for table in met:
+        drop_written(table)
+    few = written(found.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") <= min(k, count - 1)).select("q"), "few")
+    closest = found.withColumn("n", F.rank().over(Window.partitionBy("q").orderBy("d"))).where(F.col("n") <= 4 * k).select("q", "v")
+    if not few.isEmpty():  # their part of the graph has no k others: these queries are compared with all nodes
+        closest = closest.join(few, "q", "left_anti").unionAll(few.crossJoin(base.select(F.col("node").alias("v"))))
     both = closest.join(base.select(F.col("node").alias("v"), "vec", "ids"), "v").join(base.select(F.col("node").alias("q"), F.col("vec").alias("qvec")), "q")
     scored = both.select("q", "qvec", "vec", "ids").mapInArrow(_scored, "q long, ids array<long>, score double").select("q", "score", F.explode("ids").alias("vec_id"))
     first = scored.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1).drop("n")
-    found = named.join(first, "q").where(F.col("vec_id") != F.col("query_id"))
+    told = named.join(first, "q").where(F.col("vec_id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return told.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -167,8 +167,11 @@ def test_a_walk_ends_only_when_its_beam_is_expanded(spark):
     """A chain of 31 nodes, each linked with the next: the other end is 30 steps away."""
     chain = [(i, bytearray(np.array([i], np.float32).tobytes()), [(1.0, i + 1)] if i < 30 else []) for i in range(31)]
     state = spark.createDataFrame(chain, f"node long, h binary, near {neighbours.EDGE}")
-    met = neighbours.walked(state, spark.createDataFrame([(0,)], "q long"), 128, np.float32)
-    assert sorted((r.v, r.d) for r in met.collect()) == [(i, float(i * i)) for i in range(31)]
+    found, met = neighbours.walked(state, spark.createDataFrame([(0,)], "q long"), 128, np.float32)
+    assert sorted((r.v, r.d) for r in found.collect()) == [(i, float(i * i)) for i in range(31)]
+    assert sum(m.count() for m in met) == 31
+    found, met = neighbours.walked(state, spark.createDataFrame([(15,)], "q long"), 4, np.float32, 1)
+    assert sorted(r.v for r in found.collect()) == [15, 16, 17, 18] or sorted(r.v for r in found.collect()) == [13, 14, 15, 16, 17]
 
 
 def test_the_beam_grows_with_the_graph():
