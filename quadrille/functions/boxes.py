@@ -58,6 +58,11 @@ def covers(outer: Box, inner: Box) -> Column:
     return (outer[0] <= inner[0]) & (outer[1] <= inner[1]) & (inner[2] <= outer[2]) & (inner[3] <= outer[3])
 
 
+def within(inner: Box, outer: Box) -> Column:
+    """The inner box lies in the outer one and not on its edge alone: covers() without contact of the boundary only."""
+    return covers(outer, inner) & (inner[0] < outer[2]) & (outer[0] < inner[2]) & (inner[1] < outer[3]) & (outer[1] < inner[3])
+
+
 def holds_point(a: Box, x: Column, y: Column) -> Column:
     return (a[0] <= x) & (x <= a[2]) & (a[1] <= y) & (y <= a[3])
 
@@ -93,6 +98,13 @@ def clip_unit(c: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
 
 
+def clip_label(x: Column, y: Column, w: Column, h: Column) -> Column:
+    """A label line's centre and size cut to the image, as a struct; null where nothing of it is left."""
+    x0, y0, x1, y1 = (clip_unit(c) for c in unit_to_pixel(x, y, w, h, 1.0, 1.0))
+    cut = F.struct(((x0 + x1) / 2).alias("x_center"), ((y0 + y1) / 2).alias("y_center"), (x1 - x0).alias("width"), (y1 - y0).alias("height"))
+    return F.when((x1 > x0) & (y1 > y0), cut)
+
+
 def clip(a: Box, window: Box) -> Box:
     return F.greatest(a[0], window[0]), F.greatest(a[1], window[1]), F.least(a[2], window[2]), F.least(a[3], window[3])
 

@@ -66,3 +66,94 @@ def centroid(wkb: pd.Series) -> pd.DataFrame:
         return (sx / (3 * sa), sy / (3 * sa)) if sa else (None, None)
 
     return pd.DataFrame([of(b) for b in wkb], columns=["x", "y"])
+
+
+Edge = tuple[float, float, float, float]
+
+
+def edges_of(all_rings: list[Ring]) -> list[Edge]:
+    """Edges of rings from left to right; vertical ones bound no area between two x and are left out."""
+    out = []
+    for ring in all_rings:
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+            if ax != bx:
+                out.append((ax, ay, bx, by) if ax < bx else (bx, by, ax, ay))
+    return out
+
+
+def height(edge: Edge, x: float) -> float:
+    return edge[1] + (edge[3] - edge[1]) * (x - edge[0]) / (edge[2] - edge[0])
+
+
+def crossing(a: Edge, b: Edge) -> float | None:
+    """The x at which two edges cross inside both."""
+    low, high = max(a[0], b[0]), min(a[2], b[2])
+    if low >= high:
+        return None
+    left, right = height(a, low) - height(b, low), height(a, high) - height(b, high)
+    return low + (high - low) * left / (left - right) if left * right < 0 else None
+
+
+def common_area(a: list[Ring], b: list[Ring]) -> float:
+    """The area two polygons share, holes and all, by even-odd rule.
+
+    Between two neighbouring x at which an edge ends or two edges cross, edges do not cross, so each piece between two
+    of them is a trapezoid, which counts if it is inside both.
+    """
+    ea, eb = edges_of(a), edges_of(b)
+    every = [(e, 0) for e in ea] + [(e, 1) for e in eb]
+    cuts = {x for e, _ in every for x in (e[0], e[2])}
+    for i, (e, _) in enumerate(every):
+        cuts |= {x for f, _ in every[:i] if (x := crossing(e, f)) is not None}
+    total, xs = 0.0, sorted(cuts)
+    for left, right in zip(xs, xs[1:], strict=False):
+        middle = (left + right) / 2
+        inside, below = [False, False], None
+        for y, side in sorted((height(e, middle), side) for e, side in every if e[0] <= left and right <= e[2]):
+            if inside[0] and inside[1]:
+                total += (y - below) * (right - left)
+            inside[side], below = not inside[side], y
+    return total
+
+
+def fault(all_rings: list[Ring]) -> str | None:
+    """Why a polygon is not valid: empty, a ring of under three corners, no area, or edges that cross; None if it is."""
+    if not all_rings:
+        return "empty"
+    for ring in all_rings:
+        corners = ring[:-1] if ring[0] == ring[-1] else ring
+        if len(set(corners)) < 3:
+            return "too few corners"
+        if shoelace(ring) == 0:
+            return "no area"
+    edges = edges_of(all_rings)
+    if any(crossing(e, f) is not None for i, e in enumerate(edges) for f in edges[:i]):
+        return "edges cross"
+    return None
+
+
+@F.pandas_udf(T.DoubleType())
+def shared_area(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The area that two polygons share."""
+    return pd.Series([None if p is None or q is None else common_area(rings(bytes(p)), rings(bytes(q))) for p, q in zip(a, b, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def polygon_iou(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Shared area over that of the union; 0.0 where neither has any."""
+
+    def of(p, q) -> float | None:
+        if p is None or q is None:
+            return None
+        p, q = rings(bytes(p)), rings(bytes(q))
+        both = common_area(p, q)
+        union = common_area(p, p) + common_area(q, q) - both
+        return both / union if union else 0.0
+
+    return pd.Series([of(p, q) for p, q in zip(a, b, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.StringType())
+def polygon_fault(wkb: pd.Series) -> pd.Series:
+    """See fault(); null is empty."""
+    return wkb.map(lambda b: "empty" if b is None else fault(rings(bytes(b))))

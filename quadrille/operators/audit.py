@@ -112,3 +112,10 @@ def area_of_interest(frame: DataFrame, aoi: B.Box) -> DataFrame:
     meets = B.overlaps(b, aoi, closed=True)
     share = B.visible(b, aoi)
     return frame.withColumns({"intersects": meets, "centre_inside": B.holds_point(aoi, x, y), "half_inside": share >= 0.5, "fully_inside": B.covers(aoi, b), "outside": ~meets, "share": share})
+
+
+def decoded(value: Column, known: dict) -> Column:
+    """What a map says of a value; null stays null, and a value that the map lacks is an error."""
+    of = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    told = F.try_element_at(of, value)
+    return F.when(value.isNull(), None).when(told.isNotNull(), told).otherwise(F.raise_error(F.concat(F.lit("unknown value: "), value.cast("string"))))

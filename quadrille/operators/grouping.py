@@ -31,37 +31,40 @@ def with_total(frame: DataFrame, key: str, aggregates: Sequence[Column], total:
     return grouped.withColumn(key, F.when(F.col("_all") == 1, total).otherwise(F.col(key))).drop("_all")
 
 
-#: Half the share of rows among which an exact quantile is looked for, and the accuracy of the sketch that says where.
-NEAR, ACCURACY = 1 / 5_000, 20_000
+#: Half the share of rows among which an exact quantile is looked for, the accuracy of the sketch that says where, and
+#: rows up to which the values of a group are put in order at once, over 8,000 as a bracket has to hold neighbours.
+NEAR, ACCURACY, FEW = 1 / 4_000, 20_000, 200_000
 
 
-def quantiles(frame: DataFrame, value: Column, at: Sequence[float]) -> DataFrame:
+def quantiles(frame: DataFrame, value: Column, at: Sequence[float], by: str | None = None) -> DataFrame:
     """One row, q: exact quantiles, linear between neighbours, nulls left out; of no rows they are null.
 
-    A sketch gives each quantile a bracket of values that is sure to hold it; the rows below are counted, and only the
-    distinct values inside, a small share of the rows, are put in order. So no task holds all values.
+    by: a row (by, q) for each value of a column that has few of them. Two passes: a sketch gives each quantile a bracket
+    of values that is sure to hold it; then the rows below are counted, and only the distinct values inside, a small
+    share of the rows, are put in order. So no task holds all values of a large table.
     """
-    known = frame.select(value.cast("double").alias("v")).where("v IS NOT NULL")
-    n = known.count()
-    if not n:
-        return frame.sparkSession.createDataFrame([([None] * len(at),)], "q array<double>")
-    room = NEAR + 1.5 / n
-    cuts = [min(1.0, max(0.0, p + side * room)) for p in at for side in (-1, 1)]
-    ends = known.agg(F.percentile_approx("v", F.array(*map(F.lit, cuts)), F.lit(ACCURACY))).first()[0]  # two numbers a quantile
-    spans = [(i, ends[2 * i], ends[2 * i + 1], p * (n - 1)) for i, p in enumerate(at)]
-    below = known.agg(*(F.count_if(F.col("v") < lo).alias(f"b{i}") for i, lo, _, _ in spans))
-    inside = None
-    for i, lo, hi, place in spans:
-        part = known.where(F.col("v").between(lo, hi)).groupBy("v").agg(F.count("*").alias("n")).select(F.lit(i).alias("i"), F.lit(place).alias("place"), "v", "n")
-        inside = part if inside is None else inside.unionAll(part)
-    so_far = F.sum("n").over(Window.partitionBy("i").orderBy("v"))
-    counted = inside.crossJoin(F.broadcast(below)).withColumn("end", so_far + F.element_at(F.array(*(f"b{i}" for i in range(len(at)))), F.col("i") + 1))
-    value_at = lambda rank: F.min(F.when(F.col("end") > rank, F.col("v")))
-    low = F.floor("place")
-    pairs = counted.groupBy("i").agg(value_at(low).alias("a"), value_at(low + 1).alias("b"), F.first("place").alias("place"))
-    between = F.col("a") + (F.coalesce("b", "a") - F.col("a")) * (F.col("place") - F.floor("place"))
-    listed = pairs.select("i", between.alias("x")).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("l"))
-    return listed.select(F.transform("l", lambda s: s["x"]).alias("q"))
+    key = F.col(by) if by else F.lit(0)
+    known = frame.select(key.alias("k"), value.cast("double").alias("v")).where("v IS NOT NULL")
+    cuts = [min(1.0, max(0.0, p + side * NEAR)) for p in at for side in (-1, 1)]
+    ends = written(known.groupBy("k").agg(F.count("*").alias("n"), F.percentile_approx("v", F.array(*map(F.lit, cuts)), F.lit(ACCURACY)).alias("e")), "brackets")
+    if (ends.agg(F.max("n")).first()[0] or 0) <= FEW:
+        found = known.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, at))).alias("q"))
+    else:
+        spans = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), F.get("e", F.lit(2 * i)).alias("lo"), F.get("e", F.lit(2 * i + 1)).alias("hi")) for i, p in enumerate(at)))
+        met = F.explode(F.filter(spans, lambda s: F.col("v") <= s["hi"])).alias("s")
+        parts = known.join(F.broadcast(ends), "k").select("k", "n", "v", met).select("k", "n", "s.i", "s.p", F.when(F.col("v") >= F.col("s.lo"), F.col("v")).alias("v"))
+        counted = parts.groupBy("k", "n", "i", "p", "v").agg(F.count("*").alias("rows"))
+        end = counted.withColumn("end", F.sum("rows").over(Window.partitionBy("k", "i").orderBy(F.col("v").asc_nulls_first())))
+        place = F.col("p") * (F.col("n") - 1)
+        value_at = lambda rank: F.min(F.when(F.col("end") > rank, F.col("v")))
+        pairs = end.groupBy("k", "i", place.alias("place")).agg(value_at(F.floor(place)).alias("a"), value_at(F.floor(place) + 1).alias("b"))
+        between = F.col("a") + (F.coalesce("b", "a") - F.col("a")) * (F.col("place") - F.floor("place"))
+        listed = pairs.select("k", "i", between.alias("x")).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("l"))
+        found = listed.select("k", F.transform("l", lambda s: s["x"]).alias("q"))
+    if by:
+        return found.withColumnRenamed("k", by)
+    none = frame.sparkSession.createDataFrame([(0, [None] * len(at))], "k int, none array<double>")
+    return none.join(found, "k", "left").select(F.coalesce("q", "none").alias("q"))
 
 
 def quantile_table(frame: DataFrame, value: str, at: dict[str, float], name: str) -> DataFrame:
@@ -118,5 +121,5 @@ def numbered(frame: DataFrame, name: str, *order: Column) -> DataFrame:
 def stratified(frame: DataFrame, strata: str, key: str, sizes: dict[str, int], seed: int) -> DataFrame:
     """Up to sizes[stratum] rows of each stratum in a seeded hash order, the same at every run."""
     most = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
-    order = Window.partitionBy(strata).orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
+    order = Window.partitionBy(strata).orderBy(F.md5(F.concat(F.lit(f"{seed}/"), F.col(key).cast("string")).cast("binary")), F.col(key))
     return frame.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.coalesce(F.element_at(most, F.col(strata)), F.lit(0))).drop("_n")

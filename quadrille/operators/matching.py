@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import boxes as B
 from quadrille.operators.spatial import overlap_pairs
-from quadrille.sources.shared import drop_written, written
+from quadrille.sources.shared import written
 
 
 def edges(detections: DataFrame, truths: DataFrame, *, cell: float) -> DataFrame:
@@ -21,34 +21,28 @@ def edges(detections: DataFrame, truths: DataFrame, *, cell: float) -> DataFrame
     return pairs.select(F.col("l_tile").alias("tile"), F.col("l_id").alias("pid"), F.col("l_conf").alias("conf"), F.col("r_id").alias("gid"), B.iou(B.box("l_"), B.box("r_")).alias("iou"))
 
 
-def greedy(pairs: DataFrame, least: float) -> DataFrame:
-    """The edges of at least that overlap which a greedy scan takes: tile, pid, conf, gid, iou.
+def greedy(pairs: DataFrame, least: float, by: str | None = None) -> DataFrame:
+    """The edges of at least that overlap which a greedy scan takes: tile, pid, conf, gid, iou and by.
 
-    Order: confidence falling, pid, overlap falling, gid; null confidence last. Ids are unique over all tiles. One
-    window a round and end; no tile is gathered into a row.
+    Order: confidence falling, pid, overlap falling, gid; null confidence last. Ids are unique over all tiles; by names
+    a column whose values are scenes of their own. A round is one job, with one window an end; it writes the edges it
+    takes and those that stay open. No tile is gathered into a row.
     """
+    keys = [by] if by else []
     left = written(pairs.where(F.col("iou") >= least), "match-edges")
+    columns, out = left.columns, left.limit(0)
     order = [F.col("conf").desc_nulls_last(), F.col("pid"), F.col("iou").desc(), F.col("gid")]
-    taken: list[DataFrame] = []
     while not left.isEmpty():
-        place = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(*order))
-        first = written(left.withColumn("_p", place("pid")).where("_p = 1").drop("_p").join(_firsts(left), ["pid", "gid"], "left_semi"), "match-taken")
-        taken.append(first)
-        rest = written(left.join(first.select("pid"), "pid", "left_anti").join(first.select("gid"), "gid", "left_anti").select(left.columns), "match-edges")
-        drop_written(left)
-        left = rest
-    out = left
-    for frame in taken:
-        out = out.unionAll(frame.select(left.columns))
+        first = lambda end: F.row_number().over(Window.partitionBy(*keys, end).orderBy(*order)) == 1
+        flagged = left.withColumn("_p", first("pid")).withColumn("_g", first("gid")).withColumn("_taken", F.col("_p") & F.col("_g")).drop("_p", "_g")
+        took = lambda end: F.max("_taken").over(Window.partitionBy(*keys, end))
+        told = flagged.withColumn("_pid", took("pid")).withColumn("_gid", took("gid"))
+        after = written(told.where(F.col("_taken") | ~(F.col("_pid") | F.col("_gid"))).select(*columns, "_taken"), "match-edges")
+        out = out.unionAll(after.where("_taken").select(columns))
+        left = after.where("NOT _taken").select(columns)
     return out
 
 
-def _firsts(left: DataFrame) -> DataFrame:
-    """Each truth's first edge in the order of greedy()."""
-    key = F.struct(F.col("conf").isNull(), -F.col("conf"), F.col("pid"), -F.col("iou"))
-    return left.groupBy("gid").agg(F.min_by("pid", key).alias("pid"))
-
-
 def outcomes(detections: DataFrame, truths: DataFrame, *, least: float = 0.5, cell: float = 64.0) -> DataFrame:
     """Each detection's fate: id, tile, conf, status, gid, best_iou.
 
@@ -82,11 +76,46 @@ def precision_recall(told: DataFrame, truths: DataFrame) -> DataFrame:
     )
 
 
-def average_precision(told: DataFrame, truths: DataFrame) -> DataFrame:
-    """Area under the precision envelope over recall, and the counts it comes from."""
-    up = Window.orderBy(F.col("conf").desc_nulls_last(), "id")
-    running = told.withColumn("tp", F.sum(F.when(F.col("status") == "true_positive", 1).otherwise(0)).over(up)).withColumn("n", F.row_number().over(up))
-    envelope = running.withColumn("precision", F.col("tp") / F.col("n")).withColumn("best", F.max("precision").over(up.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    gained = envelope.where(F.col("status") == "true_positive").agg(F.sum("best").alias("total"), F.count("*").alias("true_positives"))
+def average_precision(told: DataFrame, truths: DataFrame, by: str | None = None) -> DataFrame:
+    """Area under the precision envelope over recall, and the counts it comes from; by: a row for each value of a column.
+
+    Rows are dealt to ranges of confidence; a range's numbers continue those before it, and its envelope is the larger
+    of its own and the ranges' after it, of which there is a row each. A value of by without rows has no row.
+    """
+    key = (F.col(by) if by else F.lit(0)).alias("k")
+    order = [F.col("conf").desc_nulls_last(), F.col("id")]
+    hit = (F.col("status") == "true_positive").alias("hit")
+    dealt = written(told.select(key, "id", "conf", hit).repartitionByRange(F.col("k"), *order).withColumn("part", F.spark_partition_id()), "precision")
+    before = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("k", "part").agg(F.count("*").alias("rows"), F.count_if("hit").alias("hits"))
+    offsets = sizes.select("k", "part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("rows", "hits")))
+    within = Window.partitionBy("k", "part").orderBy(*order)
+    run = dealt.join(F.broadcast(offsets), ["k", "part"]).select("k", "part", "hit", (F.col("rows") + F.row_number().over(within)).alias("n"), (F.col("hits") + F.sum(F.col("hit").cast("long")).over(within)).alias("tp"))
+    hits = written(run.where("hit").select("k", "part", "n", (F.col("tp") / F.col("n")).alias("precision")), "precision")
+    after = Window.partitionBy("k").orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    later = hits.groupBy("k", "part").agg(F.max("precision").alias("top")).select("k", "part", F.max("top").over(after).alias("later"))
+    own = F.max("precision").over(Window.partitionBy("k", "part").orderBy("n").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    best = hits.withColumn("own", own).join(F.broadcast(later), ["k", "part"]).select("k", F.greatest("own", F.coalesce("later", F.lit(0.0))).alias("best"))
+    gained = best.groupBy("k").agg(F.sum("best").alias("total"), F.count("*").alias("true_positives"))
+    keys = sizes.select("k").distinct() if by else told.sparkSession.createDataFrame([(0,)], "k int")
     t = truths.agg(F.count("*").alias("truths"))
-    return gained.crossJoin(F.broadcast(t)).select("true_positives", "truths", F.round(B.ratio(F.coalesce("total", F.lit(0.0)), F.col("truths").cast("double")), 6).alias("average_precision"))
+    all_ = keys.join(F.broadcast(gained), "k", "left").crossJoin(F.broadcast(t))
+    area = F.round(B.ratio(F.coalesce("total", F.lit(0.0)), F.col("truths").cast("double")), 6)
+    return all_.select(*([F.col("k").alias(by)] if by else []), F.coalesce("true_positives", F.lit(0)).alias("true_positives"), "truths", area.alias("average_precision"))
+
+
+#: The overlaps over which the mean average precision is taken.
+THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
+
+
+def mean_average_precision(detections: DataFrame, truths: DataFrame, *, thresholds: tuple[float, ...] = THRESHOLDS, cell: float = 64.0) -> DataFrame:
+    """Average precision at each least overlap, and the mean of all at each row: iou_threshold, true_positives, truths, average_precision, mean_ap.
+
+    The overlaps are found once, and the thresholds' matchings share their rounds.
+    """
+    every = F.array(*(F.lit(t) for t in thresholds))
+    pairs = edges(detections, truths, cell=cell).withColumn("t", F.explode(F.filter(every, lambda t: F.col("iou") >= t)))
+    taken = greedy(pairs, min(thresholds), "t").select("t", F.col("pid").alias("id"), F.lit("true_positive").alias("status"))
+    told = detections.select("id", "conf", F.explode(every).alias("t")).join(taken, ["t", "id"], "left")
+    rows = average_precision(told, truths, "t").withColumnRenamed("t", "iou_threshold")
+    return rows.withColumn("mean_ap", F.round(F.avg("average_precision").over(Window.partitionBy()), 6))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import floor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +55,22 @@ def pixel_at(x: Column, y: Column, left: float, top: float, resolution: float) -
     return F.floor((F.lit(float(top)) - y) / resolution), F.floor((x - F.lit(float(left))) / resolution)
 
 
+def pixel_of(x: float, y: float, left: float, top: float, resolution: float) -> tuple[int, int]:
+    """Row and column of the pixel that holds a map point, as numbers."""
+    return floor((top - y) / resolution), floor((x - left) / resolution)
+
+
+def write_raster(frame: DataFrame, path: str, descriptions: dict[int | str, str] | None = None) -> None:
+    """A raster as a Parquet table by raster and band, rows in order inside a file, so that a window reads few row groups.
+
+    descriptions: a text for each band, in a column of its own.
+    """
+    if descriptions is not None:
+        told = F.create_map(*[F.lit(x) for pair in descriptions.items() for x in pair])
+        frame = frame.withColumn("description", F.try_element_at(told, F.col("band")))
+    frame.repartition("raster_id", "band", F.floor(F.col("row") / 256)).sortWithinPartitions("raster_id", "band", "row", "col").write.mode("overwrite").partitionBy("raster_id", "band").parquet(path)
+
+
 def constant_blocks(frame: DataFrame, side: int = 3) -> DataFrame:
     """For each of the side x side phases: whole blocks, those of one value, and their percentage.
 
@@ -66,7 +84,11 @@ def constant_blocks(frame: DataFrame, side: int = 3) -> DataFrame:
     return total.withColumn("constant_percentage", F.round(B.ratio(100.0 * F.col("constant_blocks"), F.col("total_blocks").cast("double")), 6))
 
 
-def metadata(frame: DataFrame, resolution: float, left: float, top: float) -> DataFrame:
-    """A row a raster: bands, height, width and map bounds."""
+def metadata(frame: DataFrame, resolution: float, left: float, top: float, crs: str | None = None) -> DataFrame:
+    """A row a raster: bands, height, width, type of the values, resolution, reference system and map bounds."""
     size = frame.groupBy("raster_id").agg(F.count_distinct("band").alias("bands"), (F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
-    return size.select("raster_id", "bands", "height", "width", F.lit(left).alias("left"), (F.lit(top) - F.col("height") * resolution).alias("bottom"), (F.lit(left) + F.col("width") * resolution).alias("right"), F.lit(top).alias("top"))
+    kind, res = F.lit(dict(frame.dtypes)["value"]), F.lit(float(resolution))
+    return size.select(
+        "raster_id", "bands", "height", "width", kind.alias("dtype"), res.alias("resolution"), F.lit(crs).cast("string").alias("crs"),
+        F.lit(left).alias("left"), (F.lit(top) - F.col("height") * resolution).alias("bottom"), (F.lit(left) + F.col("width") * resolution).alias("right"), F.lit(top).alias("top"),
+    )

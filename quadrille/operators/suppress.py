@@ -6,13 +6,14 @@ conflict above it, and all that lie below those; the work is in the conflicts on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadrille.functions import boxes as B
 from quadrille.operators.grouping import numbered
 from quadrille.operators.spatial import overlap_pairs
-from quadrille.sources.shared import drop_written, written
+from quadrille.sources.shared import written
 
 
 def conflicts(frame: DataFrame, measure, least: float, *, cell: float, strict: bool = False, across: str | None = "tile") -> DataFrame:
@@ -30,22 +31,22 @@ def conflicts(frame: DataFrame, measure, least: float, *, cell: float, strict: b
     return pairs.where(F.col("value") > least if strict else F.col("value") >= least)
 
 
-def suppressed(pairs: DataFrame) -> DataFrame:
-    """Ids that a scan by rank suppresses, from conflicts (hi, lo)."""
-    left = written(pairs.select("hi", "lo").distinct(), "conflicts")
-    out = [written(left.limit(0).select(F.col("lo").alias("id")), "suppressed")]
+def suppressed(pairs: DataFrame, by: str | None = None) -> DataFrame:
+    """Ids that a scan by rank suppresses, from conflicts (hi, lo); by: a column whose values are scenes of their own.
+
+    A round is one job: it writes the conflicts that are open after it and those whose lower end fell in it.
+    """
+    keys = [by] if by else []
+    left = written(pairs.select(*keys, "hi", "lo").distinct(), "conflicts")
+    found = left.limit(0).select(*keys, F.col("lo").alias("id"))
     while not left.isEmpty():
-        tops = left.select("hi").distinct().join(left.select(F.col("lo").alias("hi")), "hi", "left_anti")
-        fallen = written(left.join(tops, "hi", "left_semi").select(F.col("lo").alias("id")).distinct(), "suppressed")
-        out.append(fallen)
-        gone = fallen.withColumnRenamed("id", "lo")
-        rest = left.join(tops, "hi", "left_anti").join(gone, "lo", "left_anti").join(fallen.withColumnRenamed("id", "hi"), "hi", "left_anti")
-        after = written(rest.select("hi", "lo"), "conflicts")
-        drop_written(left)
-        left = after
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionAll(more)
+        lows = left.select(*keys, F.col("lo").alias("hi")).distinct().withColumn("_low", F.lit(True))
+        flagged = left.join(lows, [*keys, "hi"], "left")
+        fallen = flagged.where("_low IS NULL").select(*keys, "lo").distinct()
+        told = flagged.join(fallen.withColumn("_fell", F.lit(True)), [*keys, "lo"], "left").join(fallen.select(*keys, F.col("lo").alias("hi"), F.lit(True).alias("_out")), [*keys, "hi"], "left")
+        after = written(told.where("_fell OR _out IS NULL").select(*keys, "hi", "lo", F.col("_fell").isNotNull().alias("fell")), "conflicts")
+        found = found.unionAll(after.where("fell").select(*keys, F.col("lo").alias("id")).distinct())
+        left = after.where("NOT fell").drop("fell")
     return found
 
 
@@ -73,29 +74,57 @@ def candidates(frame: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def sweep(frame: DataFrame, thresholds: list[float], *, cell: float = 64.0) -> DataFrame:
-    """Rows kept and suppressed at each threshold; the conflicts are found once, at the lowest."""
-    pairs = written(conflicts(frame, B.iou, min(thresholds), cell=cell), "sweep")
-    total = frame.agg(F.count("*").alias("raw"))
-    out = None
-    for t in thresholds:
-        n = suppressed(pairs.where(F.col("value") >= t)).agg(F.count("*").alias("suppressed"))
-        row = n.crossJoin(F.broadcast(total)).select(F.lit(float(t)).alias("iou_threshold"), "raw", (F.col("raw") - F.col("suppressed")).alias("kept"), "suppressed", F.round(B.ratio(100.0 * F.col("suppressed"), F.col("raw").cast("double")), 6).alias("percent_suppressed"))
-        out = row if out is None else out.unionAll(row)
-    return out
-
-
-def diverse(frame: DataFrame, k: int, *, most: float, tile_area: float, cell: float, seeds: DataFrame | None = None) -> DataFrame:
+    """Rows kept and suppressed at each threshold; the conflicts are found once, and all thresholds share the rounds."""
+    pairs = conflicts(frame, B.iou, min(thresholds), cell=cell)
+    every = F.array(*(F.lit(float(t)) for t in thresholds))
+    dealt = pairs.withColumn("t", F.explode(F.filter(every, lambda t: F.col("value") >= t)))
+    n = suppressed(dealt, "t").groupBy(F.col("t").alias("iou_threshold")).agg(F.count("*").alias("suppressed"))
+    total = frame.agg(F.count("*").alias("raw")).select("raw", F.explode(every).alias("iou_threshold"))
+    told = total.join(F.broadcast(n), "iou_threshold", "left").withColumn("suppressed", F.coalesce("suppressed", F.lit(0)))
+    percent = F.round(B.ratio(100.0 * F.col("suppressed"), F.col("raw").cast("double")), 6)
+    return told.select("iou_threshold", "raw", (F.col("raw") - F.col("suppressed")).alias("kept"), "suppressed", percent.alias("percent_suppressed"))
+
+
+#: Rows that a selection looks at in one step at most.
+STEP_ROWS = 4_096
+
+
+def diverse(frame: DataFrame, k: int, *, most: float, tile_area: float, seeds: DataFrame | None = None) -> DataFrame:
     """The first k rows by confidence none of which overlaps one before it by more than a share of a tile.
 
-    seeds: rows that are chosen already; what conflicts with them is out, and they count towards k.
+    Added: rank, and max_overlap, the largest share that a row has in common with one chosen before it. seeds: rows that
+    are chosen already, at most k; what conflicts with them is out, they count towards k, and they are not returned. A
+    step takes from all rows the next STEP_ROWS in order that conflict with no row chosen so far, and the driver scans
+    them; so it holds the chosen and those, whatever the table. Rows with a null corner overlap nothing.
     """
-    share = lambda a, b: B.overlap_share(a, b, tile_area)
-    room = k
-    if seeds is not None:
-        room = max(0, k - seeds.count())  # seeds are at most k rows
-        hit = overlap_pairs(frame, seeds, cell=cell).where(share(B.box("l_"), B.box("r_")) > most).select(F.col("l_id").alias("id"))
-        frame = frame.join(hit, "id", "left_anti").join(seeds.select("id"), "id", "left_anti")
-    gone = suppressed(conflicts(frame, share, most, cell=cell, strict=True, across=None))
-    order = [F.col("conf").desc_nulls_last(), F.col("id")]
-    top = frame.join(gone, "id", "left_anti").orderBy(*order).limit(room)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    spark, columns = frame.sparkSession, ("x0", "y0", "x1", "y1")
+    corners = lambda r: tuple(r[c] for c in columns)
+    taken = [corners(r) for r in seeds.select(*columns).limit(k).collect()] if seeds is not None else []
+    rows = frame.join(F.broadcast(seeds.select("id")), "id", "left_anti") if seeds is not None else frame
+    room, chosen, last = max(0, k - len(taken)), [], None
+    conf, key = F.col("conf"), [F.col("conf").desc_nulls_last(), F.col("id")]
+    while len(chosen) < room:
+        open_ = rows
+        if last is not None:
+            tie = F.col("id") > last["id"]
+            open_ = open_.where((conf < last["conf"]) | ((conf == last["conf"]) & tie) | conf.isNull() if last["conf"] is not None else conf.isNull() & tie)
+        for a in taken:
+            open_ = open_.where(F.coalesce(B.overlap_share(B.box(), tuple(F.lit(x) for x in a), tile_area) <= most, F.lit(True)))
+        step = open_.orderBy(*key).limit(STEP_ROWS).collect()
+        for r in step:
+            share = max((_shared(corners(r), a) / tile_area for a in taken), default=0.0)
+            if share <= most and len(chosen) < room:
+                chosen.append((*r, len(chosen) + 1, share))
+                taken.append(corners(r))
+        if len(step) < STEP_ROWS:
+            break
+        last = step[-1]
+    schema = T.StructType([*frame.schema.fields, T.StructField("rank", T.IntegerType()), T.StructField("max_overlap", T.DoubleType())])
+    return spark.createDataFrame(chosen, schema)
+
+
+def _shared(a: tuple, b: tuple) -> float:
+    """The area that two boxes share; corners that are null share none."""
+    if None in a or None in b:
+        return 0.0
+    return max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))

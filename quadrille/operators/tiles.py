@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import boxes as B
-from quadrille.operators.spatial import overlap_pairs
+from quadrille.operators.spatial import overlap_pairs, without_overlap
 
 
 def grid(regions: DataFrame, *, height: int, width: int, size: int, step: int, left: float, top: float, resolution: float, clip_columns: bool = True) -> DataFrame:
@@ -60,6 +60,20 @@ def counts(tiles: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def mined(spark: SparkSession, tries: int, seed: int, *, width: int, height: int, size: int) -> DataFrame:
-    """Candidate windows at hashed origins, numbered in the order tried; the same for the same seed."""
-    place = lambda salt, most: F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(salt)), F.lit(most - size + 1))
-    return spark.range(tries).select(F.col("id").alias("attempt"), place(1, height).alias("row_start"), place(2, width).alias("col_start"))
+    """Windows at hashed origins, each place once: attempt, the first of those that gave it, row_start, col_start."""
+    number = lambda salt: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/{salt}/"), F.col("id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    tried = spark.range(tries).select(F.col("id").alias("attempt"), (number(1) % (height - size + 1)).alias("row_start"), (number(2) % (width - size + 1)).alias("col_start"))
+    return tried.groupBy("row_start", "col_start").agg(F.min("attempt").alias("attempt"))
+
+
+def clean_windows(windows: DataFrame, objects: DataFrame, k: int, *, region: tuple[float, float], size: int, left: float, top: float, resolution: float, cell: float, used: DataFrame | None = None) -> DataFrame:
+    """The first k windows by attempt that lie in a region along x, touch no object and are not used (row_start, col_start).
+
+    Rejection sampling, all tries at once; fewer than k if the tries do not give as many.
+    """
+    bounds = B.window_bounds(F.col("row_start"), F.col("col_start"), size, left, top, resolution)
+    placed = windows.select("attempt", "row_start", "col_start", *(c.alias(n) for c, n in zip(bounds, ("x0", "y0", "x1", "y1"), strict=True)))
+    inside = placed.where((F.col("x0") >= region[0]) & (F.col("x1") <= region[1]))
+    if used is not None:
+        inside = inside.join(used.select("row_start", "col_start"), ["row_start", "col_start"], "left_anti")
+    return without_overlap(inside, objects, "attempt", cell=cell).orderBy("attempt").limit(k)

@@ -69,7 +69,7 @@ def q_label_lint(spark, sf):
 
 def q_label_text(spark, sf):
     """The label file of each tile that has one: its lines and size."""
-    text = tiles.label_text(tiles.labels(geography.grid(spark), geography.sparse(spark, sf), cell=geography.CELL))
+    text = tiles.label_text(tiles.labels(geography.grid(spark), I.split_objects(spark, sf), cell=geography.CELL))
     return text.select("tile_name", F.size(F.split("text", "\n")).cast("long").alias("lines"), F.length("text").cast("long").alias("characters"))
 
 
@@ -95,17 +95,14 @@ def q_argmax(spark, sf):
     return c.groupBy("c_nationkey").agg(*grouping.argmax(c, "c_acctbal", "c_custkey", ["c_custkey", "c_acctbal"]), F.max_by("c_acctbal", "c_custkey").alias("last_acctbal"))
 
 
-def chosen(spark, sf):
-    d = I.detections(spark, sf).where("tile = 1").select("id", "conf")
-    return d.orderBy(F.col("conf").desc_nulls_last(), "id").limit(24).withColumn("decision", F.lit(selection.KEEP)), d
-
-
 def q_qc_lock(spark, sf):
-    """A selection through review: exclusions, refill, lock, new ranks."""
+    """A selection of 24 in each tile through review: exclusions, refill, lock, new ranks."""
     order = [F.col("conf").desc_nulls_last(), F.col("id")]
-    first, pool = chosen(spark, sf)
-    reviewed = first.withColumn("decision", F.when(F.col("id") % 5 == 0, selection.EXCLUDE).otherwise(F.col("decision")))
-    return selection.locked(selection.refilled(reviewed, pool, 24, order), order).select("id", "conf", F.col("final_rank").cast("long").alias("final_rank"), "decision")
+    pool = I.detections(spark, sf).select("tile", "id", "conf")
+    first = selection.top(pool, 24, order, ["tile"])
+    reviewed = first.withColumn("decision", F.when(F.col("id") % 5 == 0, selection.EXCLUDE).otherwise(selection.KEEP))
+    filled = selection.refilled(reviewed, pool, 24, order, by=["tile"])
+    return selection.locked(filled, order, by=["tile"]).select("tile", "id", "conf", F.col("final_rank").cast("long").alias("final_rank"), "decision")
 
 
 def q_upsert(spark, sf):
@@ -139,15 +136,15 @@ UNION ALL SELECT 'labels without documents', count(*) FROM labels WHERE doc_id N
 SELECT stem, 'first' AS side FROM a WHERE stem NOT IN (SELECT stem FROM b) UNION ALL SELECT stem, 'second' FROM b WHERE stem NOT IN (SELECT stem FROM a)""",
     "q_label_lint": f"""WITH {LINES} SELECT tile, count(*) AS lines, count(*) FILTER (fault = 'tokens') AS n_tokens, count(*) FILTER (fault = 'class') AS n_class, count(*) FILTER (fault = 'number') AS n_number, count(*) FILTER (fault = 'centre') AS n_centre,
   count(*) FILTER (fault = 'size') AS n_size, count(*) FILTER (fault = 'corner') AS n_corner, count(*) FILTER (fault IS NULL) AS good, count(*) FILTER (fault IS NULL) <> count(*) AS mismatch FROM ln GROUP BY tile""",
-    "q_label_text": f"""WITH {geography.SPARSE}, {geography.LAB} SELECT tile_name, count(*) AS lines, count(*) * 38 - 1 AS characters FROM (SELECT tile_name FROM lab) GROUP BY tile_name""",
+    "q_label_text": f"""WITH {geography.SEEN}, {geography.LAB} SELECT tile_name, count(*) AS lines, count(*) * 38 - 1 AS characters FROM (SELECT tile_name FROM lab) GROUP BY tile_name""",
     "q_bool_decode": """WITH t AS (SELECT ['True', 'False', 'true', 'false', '1.0'][c_custkey % 5 + 1] AS raw FROM customer)
 SELECT raw, count(*) AS rows, count(*) FILTER (lower(raw) = 'true') AS yes, count(*) FILTER (raw = '1.0') AS unknown FROM t GROUP BY raw""",
     "q_json_props": """WITH e AS (SELECT event_type, json_extract(props, '$.k')::BIGINT AS k FROM events) SELECT event_type, count(k) AS rows, sum(k)::BIGINT AS total, max(k) AS largest FROM e GROUP BY event_type""",
     "q_argmax": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS a, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) AS z FROM customer)
 SELECT c_nationkey, max(c_custkey) FILTER (a = 1) AS best_c_custkey, max(c_acctbal) FILTER (a = 1) AS best_c_acctbal, max(c_acctbal) FILTER (z = 1) AS last_acctbal FROM r GROUP BY c_nationkey""",
-    "q_qc_lock": f"""WITH {I.DETECTIONS}, p AS (SELECT id, conf FROM det WHERE tile = 1), f AS (SELECT * FROM p ORDER BY conf DESC NULLS LAST, id LIMIT 24), k AS (SELECT * FROM f WHERE id % 5 <> 0),
-x AS (SELECT * FROM p WHERE id NOT IN (SELECT id FROM f) ORDER BY conf DESC NULLS LAST, id LIMIT (SELECT 24 - count(*) FROM k)), a AS (SELECT * FROM k UNION ALL SELECT * FROM x)
-SELECT id, conf, row_number() OVER (ORDER BY conf DESC NULLS LAST, id) AS final_rank, 'keep' AS decision FROM a""",
+    "q_qc_lock": f"""WITH {I.DETECTIONS}, f AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY conf DESC NULLS LAST, id) AS n FROM det), k AS (SELECT * FROM f WHERE n <= 24 AND id % 5 <> 0), kn AS (SELECT tile, count(*) AS kept FROM k GROUP BY tile),
+x AS (SELECT f.* FROM f LEFT JOIN kn USING (tile) WHERE n > 24 AND n - 24 <= 24 - coalesce(kept, 0)), a AS (SELECT tile, id, conf FROM k UNION ALL SELECT tile, id, conf FROM x)
+SELECT tile, id, conf, row_number() OVER (PARTITION BY tile ORDER BY conf DESC NULLS LAST, id) AS final_rank, 'keep' AS decision FROM a""",
     "q_upsert": """WITH n AS (SELECT CASE WHEN s_suppkey % 8 = 0 THEN s_suppkey + 1000000 ELSE s_suppkey END AS s_suppkey, s_acctbal * 2 AS s_acctbal FROM supplier WHERE s_suppkey % 4 = 0)
 SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM n) UNION ALL SELECT * FROM n""",
     "q_ratio_defaults": """WITH c AS (SELECT c_nationkey, count(*) AS n, count(*) FILTER (c_acctbal > 9900) AS a FROM customer GROUP BY c_nationkey)

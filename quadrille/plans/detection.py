@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quadrille.functions import boxes as B
 from quadrille.operators import grouping, matching, selection, spatial, suppress
 from quadrille.plans import inputs as I
+from quadrille.sources.shared import written
 
 LEAST, CELL = 0.5, 64.0
 
@@ -27,10 +28,16 @@ def q_ap(spark, sf):
     return matching.average_precision(told(spark, sf), I.truths(spark, sf))
 
 
+def q_map(spark, sf):
+    """Average precision at overlaps from 0.5 to 0.95, and their mean."""
+    return matching.mean_average_precision(I.detections(spark, sf), I.truths(spark, sf), cell=CELL)
+
+
 def q_dup_pairs(spark, sf):
     pairs = spatial.self_pairs(I.detections(spark, sf), cell=CELL, also=F.col("l_tile") != F.col("r_tile")).select(F.round(B.iou(B.box("l_"), B.box("r_")), 6).alias("iou"))
-    pairs = pairs.where("iou > 0")
-    return pairs.agg(F.count("*").alias("pairs"), F.min("iou").alias("min_iou"), F.median("iou").alias("median_iou"), F.max("iou").alias("max_iou"))
+    pairs = written(pairs.where("iou > 0"), "pairs")
+    middle = grouping.quantiles(pairs, F.col("iou"), [0.5]).select(F.col("q")[0].alias("median_iou"))
+    return pairs.agg(F.count("*").alias("pairs"), F.min("iou").alias("min_iou"), F.max("iou").alias("max_iou")).crossJoin(F.broadcast(middle))
 
 
 def q_nms(spark, sf):
@@ -57,13 +64,15 @@ def windows(spark, sf):
 
 
 def q_diverse(spark, sf):
-    return suppress.diverse(windows(spark, sf), 30, most=0.25, tile_area=4096.0, cell=CELL).select(F.col("rank").cast("long").alias("rank"), "id", "conf")
+    found = suppress.diverse(windows(spark, sf), 30, most=0.25, tile_area=4096.0)
+    return found.select(F.col("rank").cast("long").alias("rank"), "id", "conf", "max_overlap")
 
 
 def q_refill(spark, sf):
+    """A selection of 30 of which the five windows of the smallest ids are chosen already."""
     w = windows(spark, sf)
-    seeds = w.where("id % 1000 = 7").orderBy("id").limit(5)
-    return suppress.diverse(w.where("id % 7 <> 0"), 30, most=0.25, tile_area=4096.0, cell=CELL, seeds=seeds).select(F.col("rank").cast("long").alias("rank"), "id", "conf")
+    found = suppress.diverse(w, 30, most=0.25, tile_area=4096.0, seeds=w.orderBy("id").limit(5))
+    return found.select(F.col("rank").cast("long").alias("rank"), "id", "conf", "max_overlap")
 
 
 def q_threshold_sweep(spark, sf):
@@ -83,13 +92,15 @@ def q_tile_scores(spark, sf):
 
 
 def q_topk(spark, sf):
-    d = I.detections(spark, sf)
-    return d.where("tile = 3").orderBy(F.col("conf").desc_nulls_last(), "id").limit(12).select("id", "conf", "x0", "y0")
+    """The twelve detections of the highest confidence in each tile."""
+    return selection.top(I.detections(spark, sf), 12, [F.col("conf").desc_nulls_last(), F.col("id")], ["tile"]).select("tile", "id", "conf", "x0", "y0")
 
 
 def q_pages(spark, sf):
-    d = I.detections(spark, sf).where("tile = 2").orderBy(F.col("conf").desc_nulls_last(), "id").limit(50)
-    return selection.paged(d, 10, [F.col("conf").desc_nulls_last(), F.col("id")]).select("id", "page", F.col("place").cast("long").alias("place"))
+    """The first five pages of ten in each tile."""
+    order = [F.col("conf").desc_nulls_last(), F.col("id")]
+    d = selection.top(I.detections(spark, sf), 50, order, ["tile"])
+    return selection.paged(d, 10, order, ["tile"]).select("tile", "id", "page", F.col("place").cast("long").alias("place"))
 
 
 def q_georef(spark, sf):
@@ -127,22 +138,30 @@ def q_size_quartile(spark, sf):
     return out.withColumn("recall", F.round(B.ratio(F.col("detected").cast("double"), F.col("labelled").cast("double")), 6))
 
 
-QUERIES = {f.__name__: f for f in (q_pr, q_match, q_ap, q_dup_pairs, q_nms, q_lineage, q_candidates, q_nms_sweep, q_diverse, q_refill, q_threshold_sweep, q_tile_scores, q_topk, q_pages, q_georef, q_positional, q_size_quartile)}
+QUERIES = {f.__name__: f for f in (q_pr, q_match, q_ap, q_map, q_dup_pairs, q_nms, q_lineage, q_candidates, q_nms_sweep, q_diverse, q_refill, q_threshold_sweep, q_tile_scores, q_topk, q_pages, q_georef, q_positional, q_size_quartile)}
 
 D, T = I.DETECTIONS, I.TRUTHS
 
-MATCHED = f"""WITH RECURSIVE {D}, {T},
+PAIRS = f"""WITH RECURSIVE {D}, {T},
 pairs AS MATERIALIZED (SELECT d.tile, d.id AS pid, d.conf, g.id AS gid, {I.iou("d", "g")} AS iou FROM det d JOIN gt g ON d.tile = g.tile AND {I.apart("d", "g")}),
-s AS MATERIALIZED (SELECT tile, pid, gid, row_number() OVER (PARTITION BY tile ORDER BY conf DESC NULLS LAST, pid, iou DESC, gid) AS k FROM pairs WHERE iou >= {LEAST}),
-r(tile, k, up, ug) AS (
-  SELECT tile, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM s GROUP BY tile
+"""
+
+
+def taken_sql(least: float, s: str = "s", r: str = "r", taken: str = "taken") -> str:
+    """The edges that a greedy scan takes, by a recursion over the edges of each tile in their order."""
+    return f"""{s} AS MATERIALIZED (SELECT tile, pid, gid, row_number() OVER (PARTITION BY tile ORDER BY conf DESC NULLS LAST, pid, iou DESC, gid) AS k FROM pairs WHERE iou >= {least}),
+{r}(tile, k, up, ug) AS (
+  SELECT tile, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM {s} GROUP BY tile
   UNION ALL
-  SELECT r.tile, s.k,
-    CASE WHEN list_contains(up, s.pid) OR list_contains(ug, s.gid) THEN up ELSE list_append(up, s.pid) END,
-    CASE WHEN list_contains(up, s.pid) OR list_contains(ug, s.gid) THEN ug ELSE list_append(ug, s.gid) END
-  FROM r JOIN s ON s.tile = r.tile AND s.k = r.k + 1
+  SELECT {r}.tile, {s}.k,
+    CASE WHEN list_contains(up, {s}.pid) OR list_contains(ug, {s}.gid) THEN up ELSE list_append(up, {s}.pid) END,
+    CASE WHEN list_contains(up, {s}.pid) OR list_contains(ug, {s}.gid) THEN ug ELSE list_append(ug, {s}.gid) END
+  FROM {r} JOIN {s} ON {s}.tile = {r}.tile AND {s}.k = {r}.k + 1
 ),
-taken AS MATERIALIZED (SELECT unnest(up) AS pid, unnest(ug) AS gid FROM (SELECT arg_max(up, k) AS up, arg_max(ug, k) AS ug FROM r GROUP BY tile)),
+{taken} AS MATERIALIZED (SELECT unnest(up) AS pid, unnest(ug) AS gid FROM (SELECT arg_max(up, k) AS up, arg_max(ug, k) AS ug FROM {r} GROUP BY tile))"""
+
+
+MATCHED = f"""{PAIRS}{taken_sql(LEAST)},
 by_truth AS (SELECT t.gid, t.pid, d.conf FROM taken t JOIN det d ON d.id = t.pid),
 best AS (
   SELECT p.pid, max(p.iou) AS iou FROM pairs p LEFT JOIN by_truth b ON b.gid = p.gid
@@ -194,6 +213,16 @@ FROM (SELECT count(*) AS predictions, count(*) FILTER (status = 'true_positive')
 run AS (SELECT *, sum(CASE WHEN status = 'true_positive' THEN 1 ELSE 0 END) OVER o AS tp, row_number() OVER o AS n FROM told WINDOW o AS (ORDER BY conf DESC NULLS LAST, id)),
 env AS (SELECT *, max(tp::DOUBLE / n) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS best FROM run)
 SELECT count(*) AS true_positives, (SELECT count(*) FROM gt) AS truths, round(coalesce(sum(best), 0.0) / (SELECT count(*) FROM gt), 6) AS average_precision FROM env WHERE status = 'true_positive'""",
+    "q_map": PAIRS
+    + ", ".join(taken_sql(t, f"s{i}", f"r{i}", f"taken{i}") for i, t in enumerate(matching.THRESHOLDS))
+    + ", hits AS ("
+    + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS t, pid FROM taken{i}" for i, t in enumerate(matching.THRESHOLDS))
+    + f"""), every AS (SELECT unnest([{", ".join(map(str, matching.THRESHOLDS))}])::DOUBLE AS t),
+told AS (SELECT e.t, d.id, d.conf, h.pid IS NOT NULL AS hit FROM every e CROSS JOIN det d LEFT JOIN hits h ON h.t = e.t AND h.pid = d.id),
+run AS (SELECT *, sum(hit::INTEGER) OVER o AS tp, row_number() OVER o AS n FROM told WINDOW o AS (PARTITION BY t ORDER BY conf DESC NULLS LAST, id)),
+env AS (SELECT *, max(tp::DOUBLE / n) OVER (PARTITION BY t ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS best FROM run),
+ap AS (SELECT t AS iou_threshold, count(*) FILTER (hit) AS true_positives, (SELECT count(*) FROM gt) AS truths, round(coalesce(sum(best) FILTER (hit), 0.0) / (SELECT count(*) FROM gt), 6) AS average_precision FROM env GROUP BY t)
+SELECT *, round(avg(average_precision) OVER (), 6) AS mean_ap FROM ap""",
     "q_dup_pairs": f"""WITH {D}, p AS (SELECT round({I.iou("a", "b")}, 6) AS iou FROM det a JOIN det b ON a.id < b.id AND a.tile <> b.tile AND {I.apart("a", "b")})
 SELECT count(*) AS pairs, min(iou) AS min_iou, median(iou) AS median_iou, max(iou) AS max_iou FROM p WHERE iou > 0""",
     "q_nms": f"{SUPPRESSED}{suppressed_sql('a', 0.3)} SELECT id, tile, conf FROM ranked WHERE rk NOT IN (SELECT rk FROM gone_a)",
@@ -206,19 +235,22 @@ FROM ranked r LEFT JOIN n ON n.kept_id = r.id WHERE r.id NOT IN (SELECT id FROM
     + ", n AS (SELECT count(*) AS raw FROM det), c AS ("
     + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS iou_threshold, (SELECT count(*) FROM gone_t{i}) AS suppressed" for i, t in enumerate((0.3, 0.4, 0.5, 0.6, 0.7)))
     + ") SELECT iou_threshold, raw, raw - suppressed AS kept, suppressed, round(100.0 * suppressed / raw::DOUBLE, 6) AS percent_suppressed FROM c, n",
-    "q_diverse": f"""{WINDOWS}, ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY conf DESC NULLS LAST, id) AS rk FROM w), {DIVERSE}{suppressed_sql("a", 0)}
-SELECT row_number() OVER (ORDER BY rk) AS rank, id, conf FROM ranked WHERE rk NOT IN (SELECT rk FROM gone_a) ORDER BY rk LIMIT 30""",
-    "q_refill": f"""{WINDOWS}, seeds AS (SELECT * FROM w WHERE id % 1000 = 7 ORDER BY id LIMIT 5),
-free AS (SELECT * FROM w a WHERE id % 7 <> 0 AND id NOT IN (SELECT id FROM seeds) AND NOT EXISTS (SELECT 1 FROM seeds b WHERE {I.inter("a", "b")} / 4096.0 > 0.25)),
-ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY conf DESC NULLS LAST, id) AS rk FROM free), {DIVERSE}{suppressed_sql("a", 0)}
-SELECT row_number() OVER (ORDER BY rk) AS rank, id, conf FROM ranked WHERE rk NOT IN (SELECT rk FROM gone_a) ORDER BY rk LIMIT (SELECT 30 - count(*) FROM seeds)""",
+    "q_diverse": f"""{WINDOWS}, ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY conf DESC NULLS LAST, id) AS rk FROM w), {DIVERSE}{suppressed_sql("a", 0)},
+t AS (SELECT row_number() OVER (ORDER BY rk) AS rank, * FROM ranked WHERE rk NOT IN (SELECT rk FROM gone_a) ORDER BY rk LIMIT 30)
+SELECT a.rank, a.id, a.conf, coalesce(max({I.inter("a", "b")} / 4096.0::DOUBLE) FILTER (b.rank IS NOT NULL), 0.0) AS max_overlap FROM t a LEFT JOIN t b ON b.rank < a.rank GROUP BY a.rank, a.id, a.conf""",
+    "q_refill": f"""{WINDOWS}, seeds AS (SELECT * FROM w ORDER BY id LIMIT 5),
+free AS (SELECT * FROM w a WHERE id NOT IN (SELECT id FROM seeds) AND NOT EXISTS (SELECT 1 FROM seeds b WHERE {I.inter("a", "b")} / 4096.0 > 0.25)),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY conf DESC NULLS LAST, id) AS rk FROM free), {DIVERSE}{suppressed_sql("a", 0)},
+t AS (SELECT row_number() OVER (ORDER BY rk) AS rank, * FROM ranked WHERE rk NOT IN (SELECT rk FROM gone_a) ORDER BY rk LIMIT (SELECT 30 - count(*) FROM seeds)),
+u AS (SELECT rank, x0, y0, x1, y1 FROM t UNION ALL SELECT 0, x0, y0, x1, y1 FROM seeds)
+SELECT a.rank, a.id, a.conf, coalesce(max({I.inter("a", "b")} / 4096.0::DOUBLE) FILTER (b.rank IS NOT NULL), 0.0) AS max_overlap FROM t a LEFT JOIN u b ON b.rank < a.rank GROUP BY a.rank, a.id, a.conf""",
     "q_threshold_sweep": f"""WITH {D}, m AS (SELECT max(conf) AS top, count(*) AS raw FROM det), t AS (SELECT unnest([0.05, 0.1, 0.25, 0.5])::DOUBLE AS threshold)
 SELECT threshold, count(*) FILTER (conf >= threshold * top) AS n, any_value(raw) AS raw FROM det, m, t GROUP BY threshold""",
     "q_tile_scores": f"""WITH {D}, n AS (SELECT floor(x0 / 256)::BIGINT AS cell, count(*) AS n, count(*) FILTER (conf >= 5) AS n_5, count(*) FILTER (conf >= 25) AS n_25, count(*) FILTER (conf >= 50) AS n_50, count(*) FILTER (conf >= 100) AS n_100, max(conf) AS max_conf FROM det GROUP BY 1)
 SELECT c.cell, coalesce(n, 0) AS n, coalesce(n_5, 0) AS n_5, coalesce(n_25, 0) AS n_25, coalesce(n_50, 0) AS n_50, coalesce(n_100, 0) AS n_100, coalesce(max_conf, 0.0) AS max_conf FROM (SELECT unnest(range(40)) AS cell) c LEFT JOIN n USING (cell)""",
-    "q_topk": f"WITH {D} SELECT id, conf, x0, y0 FROM det WHERE tile = 3 ORDER BY conf DESC NULLS LAST, id LIMIT 12",
-    "q_pages": f"""WITH {D}, t AS (SELECT id, row_number() OVER (ORDER BY conf DESC NULLS LAST, id) - 1 AS n FROM det WHERE tile = 2)
-SELECT id, n // 10 AS page, n % 10 AS place FROM t WHERE n < 50""",
+    "q_topk": f"WITH {D}, t AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY conf DESC NULLS LAST, id) AS n FROM det) SELECT tile, id, conf, x0, y0 FROM t WHERE n <= 12",
+    "q_pages": f"""WITH {D}, t AS (SELECT tile, id, row_number() OVER (PARTITION BY tile ORDER BY conf DESC NULLS LAST, id) - 1 AS n FROM det)
+SELECT tile, id, n // 10 AS page, n % 10 AS place FROM t WHERE n < 50""",
     "q_georef": f"""WITH {D}, m AS (SELECT id, tile * 3200.0::DOUBLE + x0 * 10 AS map_x0, 40000.0::DOUBLE - tile * 100.0::DOUBLE - y1 * 10 AS map_y0, tile * 3200.0::DOUBLE + x1 * 10 AS map_x1, 40000.0::DOUBLE - tile * 100.0::DOUBLE - y0 * 10 AS map_y1 FROM det)
 SELECT *, map_x1 - map_x0 AS width_m, map_y1 - map_y0 AS height_m, (map_x1 - map_x0) * (map_y1 - map_y0) AS box_area_m2 FROM m""",
     "q_positional": f"""WITH {D}, {T},

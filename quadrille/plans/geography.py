@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quadrille.functions import boxes as B
 from quadrille.operators import audit, grouping, spatial, tiles
 from quadrille.plans import inputs as I
+from quadrille.sources.shared import written
 
 # The areas up to which objects are small and from which they are large, for the synthetic areas.
 SMALL, LARGE = 150_000.0, 300_000.0
@@ -14,8 +15,12 @@ CLASSES, THIRDS = ["small", "medium", "large"], ["west", "middle", "east"]
 CELL = 2_000.0
 
 
-def grid(spark):
-    return tiles.grid(I.regions(spark), height=I.HEIGHT, width=I.WIDTH, size=I.SIZE, step=I.STEP, left=I.LEFT, top=I.TOP, resolution=I.RESOLUTION)
+#: Tiles of the audits of tiles without labels, of which the large ones have none: side and step.
+FINE = 64
+
+
+def grid(spark, size=I.SIZE, step=I.STEP):
+    return tiles.grid(I.regions(spark), height=I.HEIGHT, width=I.WIDTH, size=size, step=step, left=I.LEFT, top=I.TOP, resolution=I.RESOLUTION)
 
 
 def split(spark, sf):
@@ -77,9 +82,9 @@ def q_quartile_table(spark, sf):
     return grouping.quantile_table(o, "area", at, "all").unionAll(grouping.quantile_table(o.where("status = 'F'"), "area", at, "finished"))
 
 
-def thirds(spark, sf):
+def thirds(spark, sf, base=None):
     """Objects with distance from the west edge and the third of the range they lie in, right-closed."""
-    o = recalled(spark, sf).withColumn("cx", (F.col("x0") + F.col("x1")) / 2)
+    o = (recalled(spark, sf) if base is None else base).withColumn("cx", (F.col("x0") + F.col("x1")) / 2)
     ends = o.agg(F.min("cx").alias("west"), F.max("cx").alias("east"))
     placed = o.crossJoin(F.broadcast(ends)).withColumn("distance_km", (F.col("cx") - F.col("west")) / 1000).withColumn("relative", B.ratio(F.col("cx") - F.col("west"), F.col("east") - F.col("west")))
     return placed.withColumn("third", grouping.by_bounds(F.col("relative"), [F.lit(1.0) / 3, F.lit(2.0) / 3], THIRDS, right_closed=True))
@@ -93,8 +98,9 @@ thirds AS (SELECT *, CASE WHEN relative <= 1.0::DOUBLE / 3 THEN 'west' WHEN rela
 
 def q_thirds(spark, sf):
     """Recall by third; the joined table must not repeat an object."""
-    places = thirds(spark, sf).select("id", "third")
-    joined = audit.lookup(recalled(spark, sf).select("id", "detected"), places, ["id"], one_to_one=True)
+    base = written(recalled(spark, sf).select("id", "x0", "x1", "detected"), "recalled")  # read three times
+    places = thirds(spark, sf, base).select("id", "third")
+    joined = audit.lookup(base.select("id", "detected"), places, ["id"], one_to_one=True)
     return joined.groupBy("third").agg(F.count("*").alias("objects"), F.count_if("detected").alias("detected"), F.round(F.avg(F.col("detected").cast("double")), 6).alias("recall"))
 
 
@@ -104,8 +110,11 @@ def q_thirds_size(spark, sf):
 
 
 def q_location(spark, sf):
-    t = thirds(spark, sf)
-    return t.groupBy(F.when(F.col("detected"), "detected").otherwise("missed").alias("status")).agg(F.count("*").alias("objects"), F.round(F.avg("distance_km"), 6).alias("mean_km"), F.round(F.median("distance_km"), 6).alias("median_km"), F.round(F.avg("relative"), 6).alias("mean_relative"))
+    base = written(recalled(spark, sf).select("id", "x0", "x1", "detected"), "recalled")
+    t = thirds(spark, sf, base).withColumn("status", F.when(F.col("detected"), "detected").otherwise("missed"))
+    middle = grouping.quantiles(t, F.col("distance_km"), [0.5], by="status").select("status", F.round(F.col("q")[0], 6).alias("median_km"))
+    out = t.groupBy("status").agg(F.count("*").alias("objects"), F.round(F.avg("distance_km"), 6).alias("mean_km"), F.round(F.avg("relative"), 6).alias("mean_relative"))
+    return out.join(F.broadcast(middle), "status")
 
 
 def q_crosstab(spark, sf):
@@ -131,7 +140,7 @@ def q_grid_corr(spark, sf):
 def q_agreement(spark, sf):
     """Two by two: whether a detection's box holds a known point, against whether its confidence is high."""
     d = I.detections(spark, sf)
-    points = I.objects(spark, sf).where("id % 3 = 0").select((F.col("x0") % 8192).alias("px"), (F.col("y0") % 4096).alias("py"))
+    points = I.objects(spark, sf).select((F.col("x0") % 2048).alias("px"), (F.col("y0") % 2048).alias("py"))
     hit = spatial.points_in_boxes(points, d, cell=64.0).select("id").distinct().withColumn("site", F.lit(True))
     told = d.join(hit, "id", "left").select(F.when(F.col("conf") >= 50, "yes").otherwise("no").alias("label"), F.coalesce("site", F.lit(False)).alias("site"))
     out = told.groupBy("label").agg(F.count_if("site").alias("site_inside"), F.count_if(~F.col("site")).alias("no_site"))
@@ -158,14 +167,9 @@ def q_coverage(spark, sf):
     return audit.coverage(I.split_objects(spark, sf), seen)
 
 
-def sparse(spark, sf):
-    """About one in a hundred of the objects (id % 97 = 3), as in the SQL, so that some tiles have no label."""
-    return I.split_objects(spark, sf).where("id % 97 = 3")
-
-
 def q_contamination(spark, sf):
-    g = grid(spark)
-    found = audit.contamination(g, tiles.seen(g, sparse(spark, sf), cell=CELL, same_split=False))
+    g = grid(spark, FINE, FINE)
+    found = audit.contamination(g, tiles.seen(g, I.split_objects(spark, sf), cell=1_000.0, same_split=False))
     any_ = (F.col("same_split_partial") > 0) | (F.col("other_split") > 0) | (F.col("excluded_boundary") > 0)
     aggs = [F.count("*").alias("background_tiles"), F.count_if(F.col("same_split_partial") > 0).alias("partial_tiles"), F.count_if(F.col("other_split") > 0).alias("cross_split_tiles"), F.count_if(F.col("excluded_boundary") > 0).alias("boundary_tiles"), F.count_if(any_).alias("any_tiles"), F.round(F.max("max_visible"), 6).alias("max_visible"), F.max("partial_ids").alias("last_partial_ids")]
     out = grouping.with_total(found, "split", aggs, "ALL")
@@ -174,8 +178,8 @@ def q_contamination(spark, sf):
 
 def q_hidden_positive(spark, sf):
     """Tiles of each split that only show parts of objects, and those saved to the dataset (even columns)."""
-    g = grid(spark)
-    seen = tiles.seen(g, sparse(spark, sf), cell=CELL)
+    g = grid(spark, FINE, FINE)
+    seen = tiles.seen(g, I.split_objects(spark, sf), cell=1_000.0)
     n = seen.groupBy(F.col("l_tile_name").alias("tile_name")).agg(F.count_if(F.col("visible") >= 0.5).alias("labelled"), F.count_if(F.col("visible") < 0.5).alias("partial"))
     saved = g.where("col_start % 2 = 0").select("split", "row_start", "col_start").withColumn("saved", F.lit(True))
     told = g.join(n, "tile_name", "left").join(saved, ["split", "row_start", "col_start"], "left")
@@ -191,15 +195,15 @@ def q_aoi(spark, sf):
     return out.crossJoin(F.broadcast(q)).select("*", *(F.round(F.col("q")[i], 6).alias(f"q{i + 1}") for i in range(3))).drop("q")
 
 
+#: Side of the windows that are mined, tries, and windows wanted.
+MINED, TRIES, POOL = 32, 50_000, 400
+
+
 def q_clean_pool(spark, sf):
-    """Windows at every 700th pixel that touch no object with id % 397 = 5, as in the SQL, numbered in order: the first 40."""
-    step = F.sequence(F.lit(0).cast("bigint"), F.lit(9_400).cast("bigint"), F.lit(700).cast("bigint"))
-    w = spark.range(5).select((F.col("id") * 700).alias("row_start"), F.explode(step).alias("col_start"))
-    bounds = B.window_bounds(F.col("row_start"), F.col("col_start"), I.SIZE, I.LEFT, I.TOP, I.RESOLUTION)
-    w = w.select("row_start", "col_start", (F.col("row_start") * 100_000 + F.col("col_start")).alias("id"), *(c.alias(n) for c, n in zip(bounds, ("x0", "y0", "x1", "y1"), strict=True)))
-    inside = w.where((F.col("x0") >= I.LEFT) & (F.col("x1") <= I.FIRST))
-    free = spatial.without_overlap(inside, I.objects(spark, sf).where("id % 397 = 5"), "id", cell=CELL)
-    return free.orderBy("id").limit(40).select("id", "row_start", "col_start")
+    """The first 400 of 50,000 hashed windows that lie in the first region and touch no object."""
+    tried = tiles.mined(spark, TRIES, 42, width=I.WIDTH, height=I.HEIGHT, size=MINED)
+    pool = tiles.clean_windows(tried, I.objects(spark, sf), POOL, region=(I.LEFT, I.FIRST), size=MINED, left=I.LEFT, top=I.TOP, resolution=I.RESOLUTION, cell=500.0)
+    return pool.select("attempt", "row_start", "col_start")
 
 
 def q_dataset_check(spark, sf):
@@ -219,7 +223,7 @@ QUERIES = {f.__name__: f for f in (q_split, q_size_class, q_object_recall, q_siz
 
 SEEN = f"{I.SPLIT_OBJECTS}, {I.TILES}, {I.SEEN}"
 LAB = "lab AS (SELECT * FROM seen WHERE split = osplit AND visible >= 0.5)"
-SPARSE = SEEN.replace("FROM obj\n)", "FROM obj WHERE id % 97 = 3\n)")
+FINE_SEEN = f"{I.SPLIT_OBJECTS}, {I.tiles_sql(FINE, FINE)}, {I.SEEN}"
 SUMMARY = "nl AS (SELECT tile_name, count(*) AS n FROM lab GROUP BY tile_name), summ AS (SELECT split, count(*) AS tiles, count(*) FILTER (coalesce(n, 0) > 0) AS positive_tiles, count(*) FILTER (coalesce(n, 0) = 0) AS background_tiles, sum(coalesce(n, 0))::BIGINT AS labels FROM tiles LEFT JOIN nl USING (tile_name) GROUP BY split)"
 COVER = "cov AS (SELECT split, count(*) AS assigned, count(*) FILTER (id IN (SELECT id FROM lab)) AS covered, count(*) FILTER (id NOT IN (SELECT id FROM lab)) AS missing FROM sobj GROUP BY split)"
 
@@ -244,7 +248,7 @@ FROM d LEFT JOIN thirds t ON t.third = d.third AND t.size_class = d.size_class G
     "q_grid_corr": f"""WITH {RECALLED}, n AS (SELECT least(9, floor(x0 / 10000))::BIGINT AS gx, least(9, floor(y0 / 4000))::BIGINT AS gy, count(*) AS n, count(*) FILTER (detected) AS d FROM rec GROUP BY 1, 2),
 g AS (SELECT gx, gy FROM (SELECT unnest(range(10)) AS gx), (SELECT unnest(range(10)) AS gy))
 SELECT count(*) AS cells, sum(coalesce(n, 0))::BIGINT AS objects, round(corr(coalesce(n, 0), coalesce(d, 0)), 6) AS r FROM g LEFT JOIN n USING (gx, gy)""",
-    "q_agreement": f"""WITH {I.DETECTIONS}, {I.OBJECTS}, p AS (SELECT x0 % 8192 AS px, y0 % 4096 AS py FROM obj WHERE id % 3 = 0),
+    "q_agreement": f"""WITH {I.DETECTIONS}, {I.OBJECTS}, p AS (SELECT x0 % 2048 AS px, y0 % 2048 AS py FROM obj),
 hit AS (SELECT DISTINCT d.id FROM det d JOIN p ON d.x0 <= px AND px <= d.x1 AND d.y0 <= py AND py <= d.y1),
 t AS (SELECT CASE WHEN conf >= 50 THEN 'yes' ELSE 'no' END AS label, h.id IS NOT NULL AS site FROM det d LEFT JOIN hit h ON h.id = d.id)
 SELECT label, count(*) FILTER (site) AS site_inside, count(*) FILTER (NOT site) AS no_site, round(count(*) FILTER (site) / count(*)::DOUBLE, 6) AS site_share FROM t GROUP BY label""",
@@ -253,14 +257,14 @@ SELECT label, count(*) FILTER (site) AS site_inside, count(*) FILTER (NOT site)
 SELECT tile_name, row_number() OVER (PARTITION BY tile_name ORDER BY id) - 1 AS label_index, id, ((cx0 + cx1) / 2 - x0) / (x1 - x0) AS x_center, (y1 - (cy0 + cy1) / 2) / (y1 - y0) AS y_center, (cx1 - cx0) / (x1 - x0) AS width, (cy1 - cy0) / (y1 - y0) AS height FROM lab""",
     "q_tile_summary": f"WITH {SEEN}, {LAB}, {SUMMARY} SELECT * FROM summ",
     "q_coverage": f"WITH {SEEN}, {LAB}, {COVER} SELECT * FROM cov",
-    "q_contamination": f"""WITH {SPARSE},
+    "q_contamination": f"""WITH {FINE_SEEN},
 f AS (SELECT tile_name, count(*) FILTER (split = osplit AND visible >= 0.5) AS labelable, count(*) FILTER (split = osplit AND visible < 0.5) AS part, count(*) FILTER (split <> osplit AND osplit <> 'exclude_boundary') AS other,
   count(*) FILTER (osplit = 'exclude_boundary') AS bound, max(visible) AS most, string_agg(CASE WHEN split = osplit AND visible < 0.5 THEN id::VARCHAR END, ';' ORDER BY id) AS ids FROM seen GROUP BY tile_name),
 b AS (SELECT split, coalesce(part, 0) AS part, coalesce(other, 0) AS other, coalesce(bound, 0) AS bound, coalesce(most, 0.0) AS most, coalesce(ids, '') AS ids FROM tiles LEFT JOIN f USING (tile_name) WHERE coalesce(labelable, 0) = 0),
 a AS (SELECT * FROM b UNION ALL SELECT 'ALL', part, other, bound, most, ids FROM b)
 SELECT split, count(*) AS background_tiles, count(*) FILTER (part > 0) AS partial_tiles, count(*) FILTER (other > 0) AS cross_split_tiles, count(*) FILTER (bound > 0) AS boundary_tiles, count(*) FILTER (part + other + bound > 0) AS any_tiles,
   round(max(most), 6) AS max_visible, max(ids) AS last_partial_ids, round(100.0 * count(*) FILTER (part + other + bound > 0) / count(*)::DOUBLE, 6) AS any_percent FROM a GROUP BY split""",
-    "q_hidden_positive": f"""WITH {SPARSE}, f AS (SELECT tile_name, count(*) FILTER (visible >= 0.5) AS labelled, count(*) FILTER (visible < 0.5) AS part FROM seen WHERE split = osplit GROUP BY tile_name),
+    "q_hidden_positive": f"""WITH {FINE_SEEN}, f AS (SELECT tile_name, count(*) FILTER (visible >= 0.5) AS labelled, count(*) FILTER (visible < 0.5) AS part FROM seen WHERE split = osplit GROUP BY tile_name),
 h AS (SELECT split, coalesce(labelled, 0) = 0 AND coalesce(part, 0) > 0 AS hidden, col_start % 2 = 0 AS saved FROM tiles LEFT JOIN f USING (tile_name))
 SELECT split, count(*) AS tiles, count(*) FILTER (hidden) AS hidden, count(*) FILTER (hidden AND saved) AS hidden_saved, count(*) FILTER (NOT hidden AND NOT saved) AS unsaved FROM h GROUP BY split""",
     "q_aoi": f"""WITH {I.OBJECTS}, a AS (SELECT 20000.0::DOUBLE AS x0, 10000.0::DOUBLE AS y0, 60040.0::DOUBLE AS x1, 30040.0::DOUBLE AS y1),
@@ -268,8 +272,12 @@ s AS (SELECT o.*, {I.inter("o", "a")} / {I.area("o")} AS share, o.x0 <= a.x1 AND
   a.x0 <= (o.x0 + o.x1) / 2 AND (o.x0 + o.x1) / 2 <= a.x1 AND a.y0 <= (o.y0 + o.y1) / 2 AND (o.y0 + o.y1) / 2 <= a.y1 AS mid, a.x0 <= o.x0 AND a.y0 <= o.y0 AND o.x1 <= a.x1 AND o.y1 <= a.y1 AS whole FROM obj o, a)
 SELECT count(*) FILTER (meets) AS intersects, count(*) FILTER (mid) AS centre_inside, count(*) FILTER (share >= 0.5) AS half_inside, count(*) FILTER (whole) AS fully_inside, count(*) FILTER (NOT meets) AS outside, count(*) AS n,
   round(avg(share), 6) AS mean, round(stddev_samp(share), 6) AS sd, min(share) AS least, max(share) AS most, round(quantile_cont(share, 0.25), 6) AS q1, round(quantile_cont(share, 0.5), 6) AS q2, round(quantile_cont(share, 0.75), 6) AS q3 FROM s""",
-    "q_clean_pool": f"""WITH {I.OBJECTS}, w AS (SELECT r * 700 AS row_start, c * 700 AS col_start, r * 700 * 100000 + c * 700 AS id FROM (SELECT unnest(range(5)) AS r), (SELECT unnest(range(14)) AS c)),
-b AS (SELECT *, col_start * 10.0::DOUBLE AS x0, 40000.0::DOUBLE - (row_start + {I.SIZE}) * 10.0::DOUBLE AS y0, (col_start + {I.SIZE}) * 10.0::DOUBLE AS x1, 40000.0::DOUBLE - row_start * 10.0::DOUBLE AS y1 FROM w)
-SELECT id, row_start, col_start FROM b WHERE x1 <= {I.FIRST} AND NOT EXISTS (SELECT 1 FROM obj o WHERE o.id % 397 = 5 AND o.x0 <= b.x1 AND b.x0 <= o.x1 AND o.y0 <= b.y1 AND b.y0 <= o.y1) ORDER BY id LIMIT 40""",
+    "q_clean_pool": f"""WITH {I.OBJECTS}, h AS (SELECT i, ('0x' || substr(md5('42/1/' || i), 1, 8))::BIGINT % {I.HEIGHT - MINED + 1} AS row_start, ('0x' || substr(md5('42/2/' || i), 1, 8))::BIGINT % {I.WIDTH - MINED + 1} AS col_start FROM range({TRIES}) t(i)),
+b AS (SELECT min(i) AS attempt, row_start, col_start, {I.LEFT} + col_start * {I.RESOLUTION}::DOUBLE AS x0, {I.TOP} - (row_start + {MINED}) * {I.RESOLUTION}::DOUBLE AS y0, {I.LEFT} + (col_start + {MINED}) * {I.RESOLUTION}::DOUBLE AS x1, {I.TOP} - row_start * {I.RESOLUTION}::DOUBLE AS y1 FROM h GROUP BY row_start, col_start),
+hit AS (SELECT DISTINCT b.attempt FROM b JOIN obj o ON o.x0 <= b.x1 AND b.x0 <= o.x1 AND o.y0 <= b.y1 AND b.y0 <= o.y1 WHERE b.x1 <= {I.FIRST})
+SELECT attempt, row_start, col_start FROM b WHERE x1 <= {I.FIRST} AND attempt NOT IN (SELECT attempt FROM hit) ORDER BY attempt LIMIT {POOL}""",
+    "q_sample": f"""WITH {RECALLED}, s AS (SELECT concat_ws('/', size_class, detected::VARCHAR) AS stratum, id, detected FROM rec),
+n AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('42/' || id), id) AS n FROM s)
+SELECT stratum, id FROM n WHERE n <= CASE WHEN detected THEN 4 ELSE 2 END""",
     "q_dataset_check": f"WITH {SEEN}, {LAB}, {SUMMARY}, {COVER} SELECT split, tiles, labels, assigned, covered, missing FROM summ JOIN cov USING (split)",
 }

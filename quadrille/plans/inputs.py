@@ -20,15 +20,15 @@ def _mod(c: Column, n: int) -> Column:
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, tile, x0, y0, x1, y1, conf of each event."""
     e = read(spark, sf_dir, "events")
-    x, y, s = _mod(F.col("event_id") * 37, 8192), _mod(F.col("event_id") * 53 + F.col("user_id") * 17, 4096), 20 + F.col("user_id") % 40
+    x, y, s = _mod(F.col("event_id") * 37, 2048), _mod(F.col("event_id") * 53 + F.col("user_id") * 17, 2048), 20 + F.col("user_id") % 40
     return e.select(F.col("event_id").alias("id"), (F.col("user_id") % 8).alias("tile"), x.alias("x0"), y.alias("y0"), (x + s).alias("x1"), (y + s).alias("y1"), F.col("value").alias("conf"))
 
 
 DETECTIONS = """
 det AS (
   SELECT event_id AS id, user_id % 8 AS tile,
-    CAST((event_id * 37) % 8192 AS DOUBLE) AS x0, CAST((event_id * 53 + user_id * 17) % 4096 AS DOUBLE) AS y0,
-    CAST((event_id * 37) % 8192 AS DOUBLE) + 20 + user_id % 40 AS x1, CAST((event_id * 53 + user_id * 17) % 4096 AS DOUBLE) + 20 + user_id % 40 AS y1,
+    CAST((event_id * 37) % 2048 AS DOUBLE) AS x0, CAST((event_id * 53 + user_id * 17) % 2048 AS DOUBLE) AS y0,
+    CAST((event_id * 37) % 2048 AS DOUBLE) + 20 + user_id % 40 AS x1, CAST((event_id * 53 + user_id * 17) % 2048 AS DOUBLE) + 20 + user_id % 40 AS y1,
     value AS conf
   FROM events
 )"""
@@ -86,19 +86,23 @@ def regions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("train", LEFT, FIRST), ("val", FIRST, SECOND), ("test", SECOND, LEFT + WIDTH * RESOLUTION)], "split string, x0 double, x1 double")
 
 
-TILES = f"""
+def tiles_sql(size: int, step: int) -> str:
+    return f"""
 reg AS (SELECT * FROM (VALUES ('train', {LEFT}, {FIRST}), ('val', {FIRST}, {SECOND}), ('test', {SECOND}, {LEFT + WIDTH * RESOLUTION})) t(split, a, b)),
 cr AS (SELECT split, greatest(0, floor((a - {LEFT}) / {RESOLUTION}))::BIGINT AS c0, least({WIDTH}, ceil((b - {LEFT}) / {RESOLUTION}))::BIGINT AS c1 FROM reg),
-cols AS (SELECT split, unnest(list_concat(range(c0, c1 - {SIZE} + 1, {STEP}), [c1 - {SIZE}])) AS col_start FROM cr WHERE c1 - {SIZE} >= c0),
-rws AS (SELECT unnest(list_concat(range(0, {HEIGHT - SIZE} + 1, {STEP}), [{HEIGHT - SIZE}])) AS row_start),
+cols AS (SELECT split, unnest(list_concat(range(c0, c1 - {size} + 1, {step}), [c1 - {size}])) AS col_start FROM cr WHERE c1 - {size} >= c0),
+rws AS (SELECT unnest(list_concat(range(0, {HEIGHT - size} + 1, {step}), [{HEIGHT - size}])) AS row_start),
 cells AS (SELECT DISTINCT split, row_start::BIGINT AS row_start, col_start::BIGINT AS col_start FROM cols, rws),
 tiles AS (
   SELECT split, split || '_' || lpad((row_number() OVER (PARTITION BY split ORDER BY row_start, col_start) - 1)::VARCHAR, 4, '0') || '_' || row_start || '_' || col_start AS tile_name, row_start, col_start,
-    {LEFT} + col_start * {RESOLUTION}::DOUBLE AS x0, {TOP} - (row_start + {SIZE}) * {RESOLUTION}::DOUBLE AS y0, {LEFT} + (col_start + {SIZE}) * {RESOLUTION}::DOUBLE AS x1, {TOP} - row_start * {RESOLUTION}::DOUBLE AS y1
+    {LEFT} + col_start * {RESOLUTION}::DOUBLE AS x0, {TOP} - (row_start + {size}) * {RESOLUTION}::DOUBLE AS y0, {LEFT} + (col_start + {size}) * {RESOLUTION}::DOUBLE AS x1, {TOP} - row_start * {RESOLUTION}::DOUBLE AS y1
   FROM cells
 )"""
 
 
+TILES = tiles_sql(SIZE, STEP)
+
+
 def inter(a: str, b: str) -> str:
     return f"(greatest(0.0, least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0)) * greatest(0.0, least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0)))"
 

@@ -40,13 +40,13 @@ def q_block(spark, sf):
 
 def q_raster_window(spark, sf):
     """The 12 x 12 pixels from the one that holds a map point, and their mean."""
-    at = raster.pixel_at(F.lit(455.0), F.lit(1_705.0), 0.0, 3_000.0, 10.0)
-    w = I.pixels(spark, sf).withColumns({"r": F.col("row") - at[0], "c": F.col("col") - at[1]}).where("r BETWEEN 0 AND 11 AND c BETWEEN 0 AND 11")
+    row, col = raster.pixel_of(455.0, 1_705.0, 0.0, 3_000.0, 10.0)
+    w = raster.window(I.pixels(spark, sf), row, col, 12, 12).withColumns({"r": F.col("row") - row, "c": F.col("col") - col})
     return w.groupBy("band", "r", "c").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 def q_metadata(spark, sf):
-    m = raster.metadata(I.pixels(spark, sf), 10.0, 0.0, 3_000.0)
+    m = raster.metadata(I.pixels(spark, sf), 10.0, 0.0, 3_000.0, "EPSG:32638")
     first = B.pixel_centre(F.lit(0), 0.0, 10.0)
     return m.withColumn("first_centre", first).withColumn("square", B.close(F.col("right") - F.col("left"), F.col("width") * 10.0))
 
@@ -71,5 +71,5 @@ SELECT row_offset, col_offset, count(*) FILTER (one) AS constant_blocks, count(*
     "q_raster_window": f"""WITH {I.PIXELS}, w AS (SELECT band, row - floor((3000.0 - 1705.0) / 10)::BIGINT AS r, col - floor(455.0 / 10)::BIGINT AS c, value FROM px)
 SELECT band, r, c, count(*) AS n, round(avg(value), 6) AS mean FROM w WHERE r BETWEEN 0 AND 11 AND c BETWEEN 0 AND 11 GROUP BY band, r, c""",
     "q_metadata": f"""WITH {I.PIXELS}, m AS (SELECT 'scene' AS raster_id, count(DISTINCT band) AS bands, max(row) + 1 AS height, max(col) + 1 AS width FROM px)
-SELECT raster_id, bands, height, width, 0.0::DOUBLE AS "left", 3000.0::DOUBLE - height * 10.0::DOUBLE AS bottom, width * 10.0::DOUBLE AS "right", 3000.0::DOUBLE AS top, 5.0::DOUBLE AS first_centre, true AS square FROM m""",
+SELECT raster_id, bands, height, width, 'double' AS dtype, 10.0::DOUBLE AS resolution, 'EPSG:32638' AS crs, 0.0::DOUBLE AS "left", 3000.0::DOUBLE - height * 10.0::DOUBLE AS bottom, width * 10.0::DOUBLE AS "right", 3000.0::DOUBLE AS top, 5.0::DOUBLE AS first_centre, true AS square FROM m""",
 }

@@ -68,6 +68,29 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.createDataFrame(rows, "path string, length bigint").select("path", stem(F.col("path")).alias("stem"), "length")
 
 
+def image_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """path, stem, width and height of PNG files, from the header; null where a file is no PNG."""
+    files = spark.read.format("binaryFile").load(path)
+    number = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("int")
+    is_png = F.hex(F.substring("content", 1, 8)) == "89504E470D0A1A0A"
+    return files.select("path", stem(F.col("path")).alias("stem"), F.when(is_png, number(17)).alias("width"), F.when(is_png, number(21)).alias("height"))
+
+
+def orphans(files: DataFrame, known: DataFrame) -> DataFrame:
+    """Files (path, stem) whose stem the other table lacks."""
+    return files.join(known.select("stem"), "stem", "left_anti")
+
+
+def prune(spark: SparkSession, files: DataFrame) -> int:
+    """Remove the files of a table (path) from their file system; how many there were. The list comes to the driver in parts."""
+    from quadrille.sources.shared import remove
+
+    n = 0
+    for n, row in enumerate(files.select("path").toLocalIterator(), 1):
+        remove(spark, row["path"])
+    return n
+
+
 def write_table(frame: DataFrame, path: str, header: bool = True) -> None:
     frame.write.mode("overwrite").csv(path, header=header)
 
@@ -79,7 +102,8 @@ def write_matrix(pixels: DataFrame, path: str) -> None:
 
 
 def write_report(frame: DataFrame, path: str) -> None:
-    """Rows as JSON documents that keep their nulls."""
+    """Rows as JSON documents that keep their nulls; NaN, which JSON lacks, is null in numbers of the top level."""
+    frame = frame.select(*(F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")).alias(c) if kind in ("double", "float") else F.col(f"`{c}`") for c, kind in frame.dtypes))
     frame.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": "true"}).alias("value")).write.mode("overwrite").text(path)
 
 

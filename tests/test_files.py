@@ -5,12 +5,13 @@ import math
 import sqlite3
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from quadrille.functions import polygons as P
 from quadrille.operators import audit, inference
 from quadrille.sources import files
-from quadrille.sources.shared import drop_written, written
+from quadrille.sources.shared import drop_written, shared_folder, written
 from quadrille.streaming import tables
 
 L_SHAPE = [(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (2.0, 2.0), (2.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
@@ -37,7 +38,7 @@ def test_labels_keep_their_order(spark, tmp_path):
 
 
 def test_reports_and_matrices(spark, tmp_path):
-    files.write_report(spark.createDataFrame([(1, None)], "a int, b double"), str(tmp_path / "r"))
+    files.write_report(spark.createDataFrame([(1, float("nan"))], "a int, b double"), str(tmp_path / "r"))
     text = "".join(p.read_text() for p in (tmp_path / "r").glob("part*"))
     assert json.loads(text) == {"a": 1, "b": None}
     assert files.read_report(spark, str(tmp_path / "r"), "a int, b double").first().a == 1
@@ -73,6 +74,52 @@ def test_polygon_measures(spark):
     assert math.isclose(rows[0].c.x, (12 * 5 / 3 - 1) / 11) and rows[1].a is None
 
 
+def test_polygons_that_overlap(spark):
+    """An L with a hole, a square over its corner, and a star whose edges cross."""
+    square = [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0), (1.0, 1.0)]
+    assert math.isclose(P.common_area([L_SHAPE, HOLE], [square]), 3.0 - 0.25) and math.isclose(P.common_area([L_SHAPE, HOLE], [L_SHAPE, HOLE]), 11.0)
+    assert P.common_area([square], [[(5.0, 5.0), (6.0, 5.0), (5.0, 6.0)]]) == 0.0
+    diamond = [(2.0, 0.0), (4.0, 2.0), (2.0, 4.0), (0.0, 2.0)]
+    assert math.isclose(P.common_area([diamond], [square]), 4.0) and math.isclose(P.common_area([diamond], [[(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0)]]), 4.0)
+    f = spark.createDataFrame([(files.polygon(L_SHAPE, HOLE), files.polygon(square)), (files.polygon([(0.0, 0.0), (4.0, 4.0), (4.0, 0.0), (0.0, 4.0), (0.0, 0.0)]), None)], "a binary, b binary")
+    rows = f.select(P.shared_area("a", "b").alias("s"), P.polygon_iou("a", "b").alias("i"), P.polygon_fault("a").alias("fa"), P.polygon_fault("b").alias("fb")).collect()
+    assert math.isclose(rows[0].s, 2.75) and math.isclose(rows[0].i, 2.75 / (11 + 4 - 2.75)) and (rows[0].fa, rows[0].fb) == (None, None)
+    assert (rows[1].s, rows[1].i, rows[1].fa, rows[1].fb) == (None, None, "no area", "empty")
+    assert P.fault([[(0.0, 0.0), (6.0, 5.0), (4.0, 0.0), (0.0, 4.0), (0.0, 0.0)]]) == "edges cross" and P.fault([[(0.0, 0.0), (1.0, 1.0), (0.0, 0.0)]]) == "too few corners"
+
+
+def test_image_sizes_and_orphans(spark, tmp_path):
+    (tmp_path / "i").mkdir()
+    head = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR"
+    (tmp_path / "i" / "tile_1.png").write_bytes(head + struct.pack(">II", 512, 384) + b"rest")
+    (tmp_path / "i" / "tile_2.png").write_bytes(b"no image")
+    sizes = files.image_sizes(spark, str(tmp_path / "i"))
+    assert {r.stem: (r.width, r.height) for r in sizes.collect()} == {"tile_1": (512, 384), "tile_2": (None, None)}
+    lone = files.orphans(files.list_files(spark, str(tmp_path / "i")), spark.createDataFrame([("tile_1",)], "stem string"))
+    assert files.prune(spark, lone) == 1 and [p.name for p in (tmp_path / "i").iterdir() if p.suffix == ".png"] == ["tile_1.png"]
+
+
+def test_label_files(spark, tmp_path):
+    rows = [("t1", 1, 0.5, 0.25, 0.1, 0.1), ("t1", 0, 0.1, 0.2, 0.3, 0.4)]
+    files.write_labels(spark.createDataFrame(rows, "tile_name string, label_index int, x_center double, y_center double, width double, height double"), str(tmp_path / "out"))
+    text = "".join(p.read_text() for p in (tmp_path / "out" / "tile_name=t1").glob("part*"))
+    assert text == "0 0.100000 0.200000 0.300000 0.400000\n0 0.500000 0.250000 0.100000 0.100000\n"
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(ValueError, match=r"spark.checkpoint.dir"):
+        shared_folder(Session())
+    Session.conf = {"spark.checkpoint.dir": "hdfs://host/shared/"}
+    assert shared_folder(Session()) == "hdfs://host/shared"
+
+
 def test_layers_and_written_tables(spark, tmp_path):
     f = spark.range(5)
     files.write_layers({"a": f, "b": f.limit(2)}, str(tmp_path / "layers"))

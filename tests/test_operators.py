@@ -119,10 +119,130 @@ def test_same_tile_never_suppresses(spark):
 def test_diverse_with_seeds(spark):
     rows = [(i, 0, float(x), 0.0, float(x + 10), 10.0, 1 - i / 100) for i, x in enumerate((0, 2, 9, 20, 22, 40))]
     frame = boxes(spark, rows)
-    got = [r.id for r in suppress.diverse(frame, 3, most=0.25, tile_area=100.0, cell=16.0).orderBy("rank").collect()]
+    got = [r.id for r in suppress.diverse(frame, 3, most=0.25, tile_area=100.0).orderBy("rank").collect()]
     assert got == [0, 2, 3]
     seeds = frame.where("id = 3")
-    assert [r.id for r in suppress.diverse(frame, 3, most=0.25, tile_area=100.0, cell=16.0, seeds=seeds).orderBy("rank").collect()] == [0, 2]
+    assert [r.id for r in suppress.diverse(frame, 3, most=0.25, tile_area=100.0, seeds=seeds).orderBy("rank").collect()] == [0, 2]
+
+
+@pytest.mark.parametrize(("k", "step", "seeds"), [(12, 5, 0), (500, 7, 2), (3, 4_096, 3), (9, 40, 1)])
+def test_diverse_equals_sequential_scan(spark, monkeypatch, k, step, seeds):
+    """The running maximum of the overlap with what was chosen before, and steps that end before k rows are found."""
+    monkeypatch.setattr(suppress, "STEP_ROWS", step)
+    rows = [*scene(90, 21), (900, 0, None, 0.0, 5.0, 5.0, 0.95)]
+    known = rows[:seeds]
+    taken, want = list(known), []
+    share = lambda r: max((0.0 if None in (a[2], r[2]) else overlap(a, r) / 400 for a in taken), default=0.0)
+    for r in sorted(rows[seeds:], key=order):
+        if share(r) <= 0.25 and len(taken) < k:
+            want.append((len(want) + 1, r[0], share(r)))
+            taken.append(r)
+    got = suppress.diverse(boxes(spark, rows), k, most=0.25, tile_area=400.0, seeds=boxes(spark, known) if known else None)
+    assert [(r["rank"], r.id, r.max_overlap) for r in got.orderBy("rank").collect()] == want
+    assert suppress.diverse(boxes(spark, []), k, most=0.25, tile_area=400.0).count() == 0
+
+
+def test_sweep_equals_one_suppression_a_threshold(spark):
+    frame = boxes(spark, scene(80, 31))
+    got = {r.iou_threshold: (r.raw, r.kept, r.suppressed) for r in suppress.sweep(frame, [0.1, 0.3, 0.95], cell=16.0).collect()}
+    kept = {t: suppress.nms(frame, least=t, cell=16.0).count() for t in (0.1, 0.3, 0.95)}
+    assert got == {t: (80, n, 80 - n) for t, n in kept.items()}
+
+
+def plain_ap(hits, truths):
+    tp, precision = 0, []
+    for n, hit in enumerate(hits, 1):
+        tp += hit
+        precision.append(tp / n)
+    return round(sum(max(precision[i:]) for i, hit in enumerate(hits) if hit) / truths, 6)
+
+
+def test_average_precision_over_ranges(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([None, 0.2, 0.5, 0.9, rng.random()]), rng.random() < 0.4) for i in range(300)]
+    told = spark.createDataFrame([(i, c, "true_positive" if h else "false_positive") for i, c, h in rows], "id long, conf double, status string").repartition(5)
+    hits = [h for _, c, h in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))]
+    truths = spark.range(400)
+    row = matching.average_precision(told, truths).first()
+    assert (row.true_positives, row.truths, row.average_precision) == (sum(hits), 400, plain_ap(hits, 400))
+    none = matching.average_precision(told.limit(0), truths).first()
+    assert (none.true_positives, none.average_precision) == (0, 0.0)
+
+
+def test_mean_average_precision_equals_one_matching_a_threshold(spark):
+    preds, truths = boxes(spark, scene(60, 2)), boxes(spark, scene(50, 12))
+    got = {r.iou_threshold: (r.true_positives, r.average_precision) for r in matching.mean_average_precision(preds, truths, thresholds=(0.2, 0.5, 0.99), cell=16.0).collect()}
+    for t, found in got.items():
+        row = matching.average_precision(matching.outcomes(preds, truths, least=t, cell=16.0), truths).first()
+        assert found == (row.true_positives, row.average_precision)
+    assert len(got) == 3 and got[0.2][0] > got[0.99][0]
+
+
+def test_within_leaves_out_contact_of_the_edge(spark):
+    rows = [(1.0, 1.0, 2.0, 2.0), (0.0, 0.0, 9.0, 9.0), (0.0, 3.0, 0.0, 4.0), (0.0, 3.0, 0.0, 3.0), (3.0, 3.0, 3.0, 3.0), (8.0, 8.0, 10.0, 9.0)]
+    f = spark.createDataFrame(rows, "x0 double, y0 double, x1 double, y1 double")
+    outer = tuple(F.lit(v) for v in (0.0, 0.0, 9.0, 9.0))
+    got = f.select(B.within(B.box(), outer), B.covers(outer, B.box())).collect()
+    assert [tuple(r) for r in got] == [(True, True), (True, True), (False, True), (False, True), (True, True), (False, False)]
+
+
+def test_unit_boxes_and_clipped_labels(spark):
+    f = spark.createDataFrame([(0.5, 0.5, 0.2, 0.4), (0.0, 0.5, 0.5, 0.5), (1.5, 0.5, 0.5, 0.5)], "x double, y double, w double, h double")
+    c = [F.col(n) for n in "xywh"]
+    got = f.select(F.array(*B.unit_to_pixel(*c, 100.0, 50.0)).alias("p"), B.clip_label(*c).alias("l")).collect()
+    assert [round(v, 9) for v in got[0].p] == [40.0, 15.0, 60.0, 35.0]
+    assert [r.l and tuple(round(v, 9) for v in r.l) for r in got] == [(0.5, 0.5, 0.2, 0.4), (0.125, 0.5, 0.25, 0.5), None]
+
+
+def test_decoding_fails_on_an_unknown_value(spark):
+    f = spark.createDataFrame([("True",), ("false",), (None,)], "v string")
+    known = {"True": True, "true": True, "False": False, "false": False}
+    assert [r[0] for r in f.select(audit.decoded(F.col("v"), known)).collect()] == [True, False, None]
+    with pytest.raises(Exception, match="unknown value: 1.0"):
+        spark.createDataFrame([("1.0",)], "v string").select(audit.decoded(F.col("v"), known)).collect()
+
+
+def test_windows_that_touch_nothing(spark):
+    tried = tiles.mined(spark, 300, 42, width=60, height=40, size=8)
+    places = tried.collect()
+    assert tried.columns[2] == "attempt" and len({(r.row_start, r.col_start) for r in places}) == len(places) <= 300
+    assert all(0 <= r.row_start <= 32 and 0 <= r.col_start <= 52 for r in places)
+    objects = spark.createDataFrame([(1, 100.0, 100.0, 200.0, 200.0), (2, 300.0, 0.0, 310.0, 400.0)], "id long, x0 double, y0 double, x1 double, y1 double")
+    used = spark.createDataFrame([(places[0].row_start, places[0].col_start)], "row_start long, col_start long")
+    want = []
+    for r in sorted(places, key=lambda r: r.attempt):
+        x0, x1, y0, y1 = r.col_start * 10.0, (r.col_start + 8) * 10.0, 400.0 - (r.row_start + 8) * 10.0, 400.0 - r.row_start * 10.0
+        meets = any(a <= x1 and x0 <= c and b <= y1 and y0 <= d for a, b, c, d in ((100, 100, 200, 200), (300, 0, 310, 400)))
+        if x1 <= 500 and not meets and r != places[0]:
+            want.append(r.attempt)
+    got = tiles.clean_windows(tried, objects, 20, region=(0.0, 500.0), size=8, left=0.0, top=400.0, resolution=10.0, cell=80.0, used=used)
+    assert [r.attempt for r in got.orderBy("attempt").collect()] == want[:20] and len(want) > 0
+
+
+def test_contamination_of_tiles_without_labels(spark):
+    """Tile a shows a fifth of object 1, tile b half of object 2 (a label), tile c nothing, tile d an object of another split and one on a boundary."""
+    t = [("a", "train", 0.0), ("b", "train", 100.0), ("c", "train", 200.0), ("d", "test", 300.0)]
+    frame = spark.createDataFrame([(n, s, x, 0.0, x + 50, 50.0) for n, s, x in t], "tile_name string, split string, x0 double, y0 double, x1 double, y1 double")
+    o = [(1, "train", 42.0, 82.0), (2, "train", 130.0, 170.0), (3, "train", 310.0, 320.0), (4, "exclude_boundary", 340.0, 380.0)]
+    objects = spark.createDataFrame([(i, x, 0.0, y, 10.0, s) for i, s, x, y in o], "id long, x0 double, y0 double, x1 double, y1 double, split string")
+    got = {r.tile_name: r for r in audit.contamination(frame, tiles.seen(frame, objects, cell=40.0, same_split=False)).collect()}
+    assert set(got) == {"a", "c", "d"}
+    assert (got["a"].same_split_partial, got["a"].max_visible, got["a"].partial_ids) == (1, 0.2, "1")
+    assert (got["c"].max_visible, got["c"].partial_ids) == (0.0, "") and (got["d"].other_split, got["d"].excluded_boundary) == (1, 1)
+
+
+def test_a_window_s_ranges_reach_the_scan(spark, tmp_path):
+    px = spark.range(20 * 30).selectExpr("'r' AS raster_id", "'x' AS band", "id div 30 AS row", "id % 30 AS col", "cast(id AS double) AS value")
+    raster.write_raster(px, str(tmp_path / "raster"), {"x": "near infrared"})
+    back = raster.window(spark.read.parquet(str(tmp_path / "raster")), 3, 4, 5, 6)
+    assert sorted(r.value for r in back.collect()) == [r * 30.0 + c for r in range(3, 8) for c in range(4, 10)]
+    assert {r.description for r in back.collect()} == {"near infrared"}
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    plan = back.select("*")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert all(f in plan for f in ("GreaterThanOrEqual(row,3)", "LessThanOrEqual(row,7)", "GreaterThanOrEqual(col,4)", "LessThanOrEqual(col,9)"))
+    row = raster.metadata(px, 10.0, 0.0, 200.0, "EPSG:32638").first()
+    assert (row.height, row.width, row.dtype, row.resolution, row.crs) == (20, 30, "double", 10.0, "EPSG:32638") and raster.pixel_of(45.0, 165.0, 0.0, 200.0, 10.0) == (3, 4)
 
 
 def grid_counts(spark, size, step):
@@ -137,17 +257,9 @@ def grid_counts(spark, size, step):
     return {r.split: r["count"] for r in g.groupBy("split").count().collect()}
 
 
-def expected_starts(end, size, step):
-    return len({*range(0, end - size + 1, step), end - size}) if end >= size else 0
-
-
-@pytest.mark.parametrize(("size", "step"), [(512, 384), (320, 240)])
-def test_grid_counts(spark, size, step):
-    rows = expected_starts(10_980, size, step)
-    for split, n in grid_counts(spark, size, step).items():
-        columns = {"train": 68_317_560 // 10_980, "test": 39_846_420 // 10_980}.get(split)
-        if columns:
-            assert n == rows * expected_starts(columns, size, step)
+def test_grid_counts(spark):
+    """The published numbers of tiles of 512 pixels at steps of 384, a split."""
+    assert grid_counts(spark, 512, 384) == {"train": 464, "val": 87, "test": 290}
 
 
 def test_external_grid_has_42_by_42_tiles(spark):
@@ -236,9 +348,40 @@ def test_upsert_is_idempotent(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, selection.upserted(once, n, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
 
 
-def test_quantiles_equal_sorted_values(spark):
+def test_upsert_of_a_repeated_key(spark):
+    t, n = spark.createDataFrame([(1, 5)], "k int, v int"), spark.createDataFrame([(1, 7), (1, 9), (2, 3)], "k int, v int")
+    with pytest.raises(Exception, match="a key repeats"):
+        selection.upserted(t, n, ["k"]).collect()
+    assert sorted(map(tuple, selection.upserted(t, n, ["k"], [F.col("v")]).collect())) == [(1, 9), (2, 3)]
+    lists = [spark.createDataFrame([(k,)], "k int") for k in (1, 2)]
+    assert [tuple(r) for r in selection.excluded(n.unionAll(t), "k", *lists).collect()] == []
+
+
+def test_pages_and_selections_a_group(spark):
+    f = spark.range(20).selectExpr("id", "id % 2 AS g")
+    got = {(r.g, r.id): (r.page, r.place) for r in selection.paged(selection.top(f, 7, [F.col("id")], ["g"]), 3, [F.col("id")], ["g"]).collect()}
+    assert got == {(g, 2 * i + g): (i // 3, i % 3) for g in (0, 1) for i in range(7)}
+    first = selection.top(f, 3, [F.col("id")], ["g"]).withColumn("decision", F.when(F.col("id").isin(0, 2, 4), "exclude").otherwise("keep"))
+    filled = selection.refilled(first, f, 3, [F.col("id")], by=["g"])
+    ranks = {(r.g, r.id): r.final_rank for r in selection.locked(filled, [F.col("id")], by=["g"]).collect()}
+    assert ranks == {(0, 6): 1, (0, 8): 2, (0, 10): 3, (1, 1): 1, (1, 3): 2, (1, 5): 3}
+
+
+@pytest.mark.parametrize("few", [8_000, 200_000])
+def test_quantiles_a_group(spark, monkeypatch, few):
+    """Sorted at once, and between brackets."""
+    monkeypatch.setattr(grouping, "FEW", few)
+    f = spark.range(30_000).selectExpr("id % 3 AS g", "cast(id * id % 10007 AS double) AS v")
+    values = {g: sorted(float(i * i % 10_007) for i in range(g, 30_000, 3)) for g in range(3)}
+    got = {r.g: r.q for r in grouping.quantiles(f, F.col("v"), [0.5, 0.1], by="g").collect()}
+    assert {g: [round(x, 9) for x in q] for g, q in got.items()} == {g: [round((v[4_999] + v[5_000]) / 2, 9), round(v[999] + 0.9 * (v[1_000] - v[999]), 9)] for g, v in values.items()}
+
+
+@pytest.mark.parametrize("few", [8_000, 200_000])
+def test_quantiles_equal_sorted_values(spark, monkeypatch, few):
+    monkeypatch.setattr(grouping, "FEW", few)
     rng = random.Random(4)
-    for values in ([], [3.0], [1.0, 2.0], [rng.choice([1.0, 2.0, 2.5]) for _ in range(101)], [rng.gauss(0, 1) for _ in range(4_001)]):
+    for values in ([], [3.0], [1.0, 2.0], [rng.choice([1.0, 2.0, 2.5]) for _ in range(101)], [rng.gauss(0, 1) for _ in range(4_001)], [rng.gauss(0, 1) for _ in range(20_002)]):
         f = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
         at, ordered = [0.0, 0.25, 0.5, 0.7, 0.999, 1.0], sorted(values)
         want = []
@@ -246,7 +389,7 @@ def test_quantiles_equal_sorted_values(spark):
             place = p * (len(ordered) - 1)
             i = math.floor(place)
             want.append(None if not ordered else ordered[i] + (ordered[min(i + 1, len(ordered) - 1)] - ordered[i]) * (place - i))
-        assert grouping.quantiles(f, F.col("v"), at).first().q == want
+        assert grouping.quantiles(f, F.col("v"), at).first().q == pytest.approx(want, rel=1e-12) if ordered else want
 
 
 def test_numbers_over_partitions(spark):
