@@ -26,7 +26,7 @@ TREES, BUCKET, BLOCK = 4, 400, 1_024
 #: New neighbours that a node gets from one join at most.
 OFFERS = 8
 #: Nodes that a query keeps open in a graph of up to BEAM_NODES nodes, and the power of the nodes by which they grow beyond.
-BEAM, BEAM_NODES, BEAM_POWER = 128, 25_000, 0.5
+BEAM, BEAM_NODES, BEAM_POWER = 192, 50_000, 0.5
 #: The part of its beam that a query expands in a step: fewer nodes are met if a step is small, and more steps are taken.
 STEP = 1 / 4
 #: Nodes whose joins are one task's group.
