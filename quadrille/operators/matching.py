@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import boxes as B
 from quadrille.operators.spatial import overlap_pairs
-from quadrille.sources.shared import written
+from quadrille.sources.shared import drop_written, written
 
 
 def edges(detections: DataFrame, truths: DataFrame, *, cell: float) -> DataFrame:
@@ -85,7 +85,9 @@ def average_precision(told: DataFrame, truths: DataFrame, by: str | None = None)
     key = (F.col(by) if by else F.lit(0)).alias("k")
     order = [F.col("conf").desc_nulls_last(), F.col("id")]
     hit = (F.col("status") == "true_positive").alias("hit")
-    dealt = written(told.select(key, "id", "conf", hit).repartitionByRange(F.col("k"), *order).withColumn("part", F.spark_partition_id()), "precision")
+    whole = written(told.select(key, "id", "conf", hit), "precision")  # read twice, by the sampling of the ranges too
+    dealt = written(whole.repartitionByRange(F.col("k"), *order).withColumn("part", F.spark_partition_id()), "precision")
+    drop_written(whole)
     before = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy("k", "part").agg(F.count("*").alias("rows"), F.count_if("hit").alias("hits"))
     offsets = sizes.select("k", "part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("rows", "hits")))
@@ -94,7 +96,7 @@ def average_precision(told: DataFrame, truths: DataFrame, by: str | None = None)
     hits = written(run.where("hit").select("k", "part", "n", (F.col("tp") / F.col("n")).alias("precision")), "precision")
     after = Window.partitionBy("k").orderBy("part").rowsBetween(1, Window.unboundedFollowing)
     later = hits.groupBy("k", "part").agg(F.max("precision").alias("top")).select("k", "part", F.max("top").over(after).alias("later"))
-    own = F.max("precision").over(Window.partitionBy("k", "part").orderBy("n").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    own = F.max("precision").over(Window.partitionBy("k", "part").orderBy(F.col("n").desc()))  # backwards, in linear time
     best = hits.withColumn("own", own).join(F.broadcast(later), ["k", "part"]).select("k", F.greatest("own", F.coalesce("later", F.lit(0.0))).alias("best"))
     gained = best.groupBy("k").agg(F.sum("best").alias("total"), F.count("*").alias("true_positives"))
     keys = sizes.select("k").distinct() if by else told.sparkSession.createDataFrame([(0,)], "k int")
