@@ -2,11 +2,13 @@
 
 Detections in order of confidence each take the free truth of the highest overlap. That equals taking edges in one
 total order whenever both ends are free, and an edge is taken for certain once it comes first at both of its ends. A
-round takes all such edges and drops those that share an end with one; the rounds end when no edge is left.
+round takes all such edges and drops those that share an end with one; the rounds end when few enough edges are left
+for one task, which scans them in order.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,10 @@ from quadrille.operators.spatial import overlap_pairs
 from quadrille.sources.shared import drop_written, written
 
 
+#: Open edges that one task scans; more are decided in rounds.
+TAIL_ROWS = 2_000_000
+
+
 def edges(detections: DataFrame, truths: DataFrame, *, cell: float) -> DataFrame:
     """Overlapping pairs within a tile: tile, pid, conf, gid, iou."""
     pairs = overlap_pairs(detections, truths, cell=cell, also=F.col("l_tile") == F.col("r_tile"))
@@ -26,13 +32,14 @@ def greedy(pairs: DataFrame, least: float, by: str | None = None) -> DataFrame:
 
     Order: confidence falling, pid, overlap falling, gid; null confidence last. Ids are unique over all tiles; by names
     a column whose values are scenes of their own. A round is one job, with one window an end; it writes the edges it
-    takes and those that stay open. No tile is gathered into a row.
+    takes and those that stay open, until at most TAIL_ROWS are, which a task a scene scans in order. No tile is
+    gathered into a row.
     """
     keys = [by] if by else []
     left = written(pairs.where(F.col("iou") >= least), "match-edges")
     columns, out = left.columns, left.limit(0)
     order = [F.col("conf").desc_nulls_last(), F.col("pid"), F.col("iou").desc(), F.col("gid")]
-    while not left.isEmpty():
+    while left.count() > TAIL_ROWS:
         first = lambda end: F.row_number().over(Window.partitionBy(*keys, end).orderBy(*order)) == 1
         flagged = left.withColumn("_p", first("pid")).withColumn("_g", first("gid")).withColumn("_taken", F.col("_p") & F.col("_g")).drop("_p", "_g")
         took = lambda end: F.max("_taken").over(Window.partitionBy(*keys, end))
@@ -40,7 +47,21 @@ def greedy(pairs: DataFrame, least: float, by: str | None = None) -> DataFrame:
         after = written(told.where(F.col("_taken") | ~(F.col("_pid") | F.col("_gid"))).select(*columns, "_taken"), "match-edges")
         out = out.unionAll(after.where("_taken").select(columns))
         left = after.where("NOT _taken").select(columns)
-    return out
+    scene = F.col(by) if by else F.lit(0)
+    placed = left.withColumn("_scene", scene).withColumn("_n", F.row_number().over(Window.partitionBy("_scene").orderBy(*order)))
+    return out.unionAll(placed.groupBy("_scene").applyInArrow(_scanned, placed.schema).select(columns))
+
+
+def _scanned(edges: pa.Table) -> pa.Table:
+    """The edges whose ends are both free when a scan by _n comes to them."""
+    edges = edges.sort_by("_n")
+    pids, gids, taken = set(), set(), []
+    for pid, gid in zip(edges["pid"].to_pylist(), edges["gid"].to_pylist(), strict=True):
+        taken.append(pid not in pids and gid not in gids)
+        if taken[-1]:
+            pids.add(pid)
+            gids.add(gid)
+    return edges.filter(pa.array(taken, pa.bool_()))
 
 
 def outcomes(detections: DataFrame, truths: DataFrame, *, least: float = 0.5, cell: float = 64.0) -> DataFrame:

@@ -1,7 +1,8 @@
 """Overlap joins of boxes over a grid of cells, so that a join of box tables is an equi-join.
 
 Each box goes to the cells it touches and meets there the boxes of the other side; a pair counts only in the cell of
-the lower left corner of what the two share, so no pair comes twice and none needs a distinct.
+the lower left corner of what the two share, so no pair comes twice and none needs a distinct. A crowded cell is dealt to
+parts, so that no task holds all its boxes.
 """
 
 from __future__ import annotations
@@ -22,6 +23,31 @@ def in_cells(frame: DataFrame, cell: float, prefix: str) -> DataFrame:
     return cells.select("_cx", "_cy", *(F.col(c).alias(f"{prefix}{c}") for c in frame.columns))
 
 
+#: Boxes of a cell from one side that are one part, and crowded cells of a side that are dealt to parts at most; beyond
+#: these a cell has less than a thousandth of the side's rows.
+PART_ROWS, MOST_CELLS = 50_000, 1_000
+
+
+def dealt(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides, and the columns by which each pair of a cell's rows meets once: the cell, and its parts if any is crowded.
+
+    A crowded side's rows are dealt to parts, and the other side's rows go to each of them.
+    """
+    cell = ["_cx", "_cy"]
+    crowded = lambda f, n: f.groupBy(*cell).agg(F.count("*").alias(n)).where(F.col(n) > PART_ROWS).orderBy(F.col(n).desc(), *cell).limit(MOST_CELLS)
+    found = crowded(left, "_l").join(crowded(right, "_r"), cell, "full").collect()
+    if not found:
+        return left, right, cell
+    parts = left.sparkSession.createDataFrame([(*r[:2], *(-(-(n or 1) // PART_ROWS) for n in r[2:])) for r in found], "_cx long, _cy long, _l long, _r long")
+
+    def side(frame: DataFrame, own: str, other: str, keys: tuple[str, str]) -> DataFrame:
+        known = frame.join(F.broadcast(parts), cell, "left")
+        part = F.pmod(F.xxhash64(*frame.columns), F.coalesce(own, F.lit(1)))
+        return known.withColumn(keys[0], part).withColumn(keys[1], F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1)) - 1))).drop("_l", "_r")
+
+    return side(left, "_l", "_r", ("_p", "_q")), side(right, "_r", "_l", ("_q", "_p")), [*cell, "_p", "_q"]
+
+
 def overlap_pairs(left: DataFrame, right: DataFrame, *, cell: float, closed: bool = False, also: Column | None = None) -> DataFrame:
     """Pairs of overlapping boxes, columns prefixed l_ and r_; closed: touching boxes too. also: a further condition.
 
@@ -29,12 +55,12 @@ def overlap_pairs(left: DataFrame, right: DataFrame, *, cell: float, closed: boo
     corner match nothing.
     """
     known = lambda f: f.where(" AND ".join(f"{c} IS NOT NULL" for c in CORNERS))
-    a, b = in_cells(known(left), cell, "l_"), in_cells(known(right), cell, "r_")
+    a, b, keys = dealt(in_cells(known(left), cell, "l_"), in_cells(known(right), cell, "r_"))
     lb, rb = B.box("l_"), B.box("r_")
     once = [F.floor(F.greatest(lb[i], rb[i]) / cell) == F.col(c) for i, c in enumerate(("_cx", "_cy"))]
-    found = a.join(b, ["_cx", "_cy"]).where(once[0] & once[1] & B.overlaps(lb, rb, closed))
+    found = a.join(b, keys).where(once[0] & once[1] & B.overlaps(lb, rb, closed))
     found = found if also is None else found.where(also)
-    return found.drop("_cx", "_cy")
+    return found.drop(*keys)
 
 
 def self_pairs(frame: DataFrame, *, cell: float, also: Column | None = None) -> DataFrame:
@@ -51,5 +77,6 @@ def without_overlap(left: DataFrame, right: DataFrame, key: str, *, cell: float,
 
 def points_in_boxes(points: DataFrame, frame: DataFrame, *, cell: float) -> DataFrame:
     """Pairs of a point (px, py) and a box that holds it, edges included."""
-    dealt = points.where("px IS NOT NULL AND py IS NOT NULL").withColumn("_cx", F.floor(F.col("px") / cell)).withColumn("_cy", F.floor(F.col("py") / cell))
-    return dealt.join(in_cells(frame, cell, ""), ["_cx", "_cy"]).where(B.holds_point(B.box(), F.col("px"), F.col("py"))).drop("_cx", "_cy")
+    placed = points.where("px IS NOT NULL AND py IS NOT NULL").withColumn("_cx", F.floor(F.col("px") / cell)).withColumn("_cy", F.floor(F.col("py") / cell))
+    a, b, keys = dealt(placed, in_cells(frame, cell, ""))
+    return a.join(b, keys).where(B.holds_point(B.box(), F.col("px"), F.col("py"))).drop(*keys)

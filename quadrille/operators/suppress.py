@@ -1,11 +1,14 @@
 """Suppression among overlapping boxes: which rows a scan by rank keeps, and what suppressed the others.
 
 A row is kept if no row above it that conflicts with it is kept. A round decides every row that has no undecided
-conflict above it, and all that lie below those; the work is in the conflicts only, never in a sequential scan.
+conflict above it, and all that lie below those; the work is in the conflicts only. Rounds go on until few enough
+conflicts are open for one task, which scans them from the top, so a long chain of few boxes costs no round a link.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,23 +34,51 @@ def conflicts(frame: DataFrame, measure, least: float, *, cell: float, strict: b
     return pairs.where(F.col("value") > least if strict else F.col("value") >= least)
 
 
+#: Open conflicts that one task scans; more are decided in rounds.
+TAIL_ROWS = 2_000_000
+
+
+def fallen(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """The ends that a scan from the top suppresses, from distinct conflicts of which no chain leads back to its start."""
+    ends, names = pd.factorize(np.concatenate([hi, lo]))
+    hi, lo = ends[: len(hi)], ends[len(hi) :]
+    below, first = lo[np.argsort(hi, kind="stable")], np.append(0, np.cumsum(np.bincount(hi, minlength=len(names))))
+    above, fell = np.bincount(lo, minlength=len(names)), np.zeros(len(names), bool)
+    ready = np.nonzero(above == 0)[0].tolist()
+    while ready:
+        row = ready.pop()
+        under = below[first[row] : first[row + 1]]
+        if not fell[row]:
+            fell[under] = True
+        above[under] -= 1
+        ready.extend(under[above[under] == 0].tolist())
+    return names[fell]
+
+
 def suppressed(pairs: DataFrame, by: str | None = None) -> DataFrame:
     """Ids that a scan by rank suppresses, from conflicts (hi, lo); by: a column whose values are scenes of their own.
 
-    A round is one job: it writes the conflicts that are open after it and those whose lower end fell in it.
+    A round is one job: it writes the conflicts that are open after it and those whose lower end fell in it. At most
+    TAIL_ROWS that are open are left to a task a scene.
     """
     keys = [by] if by else []
     left = written(pairs.select(*keys, "hi", "lo").distinct(), "conflicts")
     found = left.limit(0).select(*keys, F.col("lo").alias("id"))
-    while not left.isEmpty():
+    while left.count() > TAIL_ROWS:
         lows = left.select(*keys, F.col("lo").alias("hi")).distinct().withColumn("_low", F.lit(True))
         flagged = left.join(lows, [*keys, "hi"], "left")
-        fallen = flagged.where("_low IS NULL").select(*keys, "lo").distinct()
-        told = flagged.join(fallen.withColumn("_fell", F.lit(True)), [*keys, "lo"], "left").join(fallen.select(*keys, F.col("lo").alias("hi"), F.lit(True).alias("_out")), [*keys, "hi"], "left")
+        out = flagged.where("_low IS NULL").select(*keys, "lo").distinct()
+        told = flagged.join(out.withColumn("_fell", F.lit(True)), [*keys, "lo"], "left").join(out.select(*keys, F.col("lo").alias("hi"), F.lit(True).alias("_out")), [*keys, "hi"], "left")
         after = written(told.where("_fell OR _out IS NULL").select(*keys, "hi", "lo", F.col("_fell").isNotNull().alias("fell")), "conflicts")
         found = found.unionAll(after.where("fell").select(*keys, F.col("lo").alias("id")).distinct())
         left = after.where("NOT fell").drop("fell")
-    return found
+
+    def scan(scene: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        ids = fallen(rows["hi"].to_numpy(), rows["lo"].to_numpy())
+        return pd.DataFrame({**{k: [scene[0]] * len(ids) for k in keys}, "id": ids})
+
+    scenes = left.withColumn("_scene", F.col(by) if by else F.lit(0)).groupBy("_scene")
+    return found.unionAll(scenes.applyInPandas(scan, found.schema))
 
 
 def nms(frame: DataFrame, *, least: float, cell: float = 64.0) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,18 @@ def test_overlap_pairs_equal_nested_loop(spark, cell):
     assert spatial.self_pairs(boxes(spark, rows).limit(0), cell=cell).count() == 0
 
 
+@pytest.mark.parametrize("part", [1, 4])
+def test_crowded_cells_lose_and_repeat_no_pair(spark, monkeypatch, part):
+    monkeypatch.setattr(spatial, "PART_ROWS", part)
+    left, right = scene(60, 41), scene(9, 42)
+    left += [(500 + i, 0, 3.0, 3.0, 9.0, 9.0, 0.5) for i in range(20)]
+    got = sorted((r.l_id, r.r_id) for r in spatial.overlap_pairs(boxes(spark, left), boxes(spark, right), cell=64.0).collect())
+    assert got == sorted((a[0], b[0]) for a in left for b in right if overlap(a, b) > 0)
+    points = spark.createDataFrame([(i, float(i % 7), 4.0) for i in range(30)], "p long, px double, py double")
+    held = sorted((r.p, r.id) for r in spatial.points_in_boxes(points, boxes(spark, left), cell=64.0).select("p", "id").collect())
+    assert held == sorted((i, b[0]) for i in range(30) for b in left if b[2] <= i % 7 <= b[4] and b[3] <= 4.0 <= b[5])
+
+
 def test_touching_boxes_meet_only_when_closed(spark):
     a = boxes(spark, [(1, 0, 0.0, 0.0, 10.0, 10.0, 1.0)])
     b = boxes(spark, [(2, 0, 10.0, 0.0, 20.0, 10.0, 1.0)])
@@ -67,8 +80,10 @@ def test_touching_boxes_meet_only_when_closed(spark):
     assert spatial.without_overlap(a, b, "id", cell=8.0).count() == 0
 
 
-@pytest.mark.parametrize("seed", [2, 3])
-def test_greedy_matching_equals_sequential_scan(spark, seed):
+@pytest.mark.parametrize(("seed", "tail"), [(2, 0), (3, 9), (2, 2_000_000), (3, 2_000_000)])
+def test_greedy_matching_equals_sequential_scan(spark, monkeypatch, seed, tail):
+    """By rounds to the end, by some rounds, and by one scan."""
+    monkeypatch.setattr(matching, "TAIL_ROWS", tail)
     preds, truths = scene(60, seed), scene(50, seed + 10)
     free, want = {t[0]: t for t in truths}, {}
     for p in sorted(preds, key=order):
@@ -93,8 +108,10 @@ def test_matching_without_rows(spark):
     assert (row.precision, row.recall, row.false_positives) == (0.0, 0.0, 4)
 
 
-@pytest.mark.parametrize("seed", [5, 6])
-def test_suppression_and_lineage_equal_sequential_scan(spark, seed):
+@pytest.mark.parametrize(("seed", "tail"), [(5, 0), (6, 9), (5, 2_000_000), (6, 2_000_000)])
+def test_suppression_and_lineage_equal_sequential_scan(spark, monkeypatch, seed, tail):
+    """By rounds to the end, by some rounds, and by one scan."""
+    monkeypatch.setattr(suppress, "TAIL_ROWS", tail)
     rows = scene(70, seed)
     kept, by = [], {}
     for r in sorted(rows, key=order):
@@ -111,6 +128,13 @@ def test_suppression_and_lineage_equal_sequential_scan(spark, seed):
     assert counts == {k[0]: 1 + sum(v == k[0] for v in by.values()) for k in kept}
 
 
+def test_a_long_chain_is_one_scan():
+    """Of boxes each of which conflicts with the next, every other one falls."""
+    top = np.arange(100_000)
+    assert sorted(suppress.fallen(top, top + 1).tolist()) == list(range(1, 100_001, 2))
+    assert suppress.fallen(top[:0], top[:0]).tolist() == []
+
+
 def test_same_tile_never_suppresses(spark):
     frame = boxes(spark, [(1, 0, 0.0, 0.0, 9.0, 9.0, 0.9), (2, 0, 0.0, 0.0, 9.0, 9.0, 0.8), (3, 1, 0.0, 0.0, 9.0, 9.0, 0.8)])
     assert {r.id for r in suppress.nms(frame, least=0.5).collect()} == {1, 2}
@@ -245,21 +269,26 @@ def test_a_window_s_ranges_reach_the_scan(spark, tmp_path):
     assert (row.height, row.width, row.dtype, row.resolution, row.crs) == (20, 30, "double", 10.0, "EPSG:32638") and raster.pixel_of(45.0, 165.0, 0.0, 200.0, 10.0) == (3, 4)
 
 
-def grid_counts(spark, size, step):
-    """Tiles of three regions, one each way, of the published layout: 10,982 columns of 10 m split at two boundaries."""
-    # The boundaries are where the published pixel counts put them.
-    train, val, test = 68_317_560 // 10_980, 10_982 - 68_317_560 // 10_980 - 39_846_420 // 10_980, 39_846_420 // 10_980
-    assert (train + val + test) == 10_982
-    left = 0.0
-    rows = [("train", left, train * 10.0), ("val", train * 10.0, (train + val) * 10.0), ("test", (train + val) * 10.0, 109_820.0)]
-    regions = spark.createDataFrame(rows, "split string, x0 double, x1 double")
-    g = tiles.grid(regions, height=10_980, width=10_982, size=size, step=step, left=left, top=109_800.0, resolution=10.0)
-    return {r.split: r["count"] for r in g.groupBy("split").count().collect()}
+# The published raster's left and right edge, pixel, rows, and the two boundaries between its splits.
+LEFT, RIGHT, PIXEL, ROWS, WEST, EAST = 499_960.0, 609_780.0, 10.0, 10_980, 562_178.8103648677, 573_493.2756031455
+
+
+@pytest.mark.parametrize(
+    ("size", "step", "want"),
+    [(512, 384, {"train": 464, "val": 87, "test": 290}), (320, 240, {"train": 1196, "val": 230, "test": 690})],
+)
+def test_published_tile_counts(spark, size, step, want):
+    regions = spark.createDataFrame([("train", LEFT, WEST), ("val", WEST, EAST), ("test", EAST, RIGHT)], "split string, x0 double, x1 double")
+    g = tiles.grid(regions, height=ROWS, width=10_982, size=size, step=step, left=LEFT, top=3_600_010.0, resolution=PIXEL)
+    assert {r.split: r["count"] for r in g.groupBy("split").count().collect()} == want
 
 
-def test_grid_counts(spark):
-    """The published numbers of tiles of 512 pixels at steps of 384, a split."""
-    assert grid_counts(spark, 512, 384) == {"train": 464, "val": 87, "test": 290}
+def test_published_pixel_counts(spark):
+    """A pixel is of the split in which the middle of its column lies."""
+    columns = spark.range(10_982).select("id", B.pixel_centre(F.col("id"), LEFT, PIXEL).alias("x"))
+    train, test = columns.where(F.col("x") < WEST), columns.where(F.col("x") >= EAST)
+    assert (train.count() * ROWS, test.count() * ROWS) == (68_317_560, 39_846_420)
+    assert train.agg(F.max("id")).first()[0] == 6_221 and test.agg(F.min("id")).first()[0] == 7_353
 
 
 def test_external_grid_has_42_by_42_tiles(spark):
@@ -280,12 +309,37 @@ def test_classes_at_their_bounds(spark):
     assert [r[0] for r in t.select(left).collect()] == ["a", "b", "b", "c"]
 
 
-def test_recall_totals(spark):
-    """70 of 201 found, as small, medium and large, and in all."""
-    rows = [("small", i < 10) for i in range(60)] + [("medium", i < 40) for i in range(100)] + [("large", i < 20) for i in range(41)]
-    f = spark.createDataFrame(rows, "size_class string, detected boolean")
-    got = grouping.with_total(f, "size_class", [F.count("*").alias("n"), F.count_if("detected").alias("d"), F.round(F.avg(F.col("detected").cast("double")), 4).alias("recall")], "overall")
-    assert {r.size_class: (r.n, r.d, r.recall) for r in got.collect()}["overall"] == (201, 70, 0.3483)
+# Published groups, objects and those found, in order, and the recall of each and of all.
+PUBLISHED_RECALL = {
+    "size": [("small", 49, 0, 0.0), ("medium", 101, 37, 0.36633663366336633), ("large", 51, 33, 0.6470588235294118)],
+    "third": [("western third", 114, 36, 0.3157894736842105), ("middle third", 45, 13, 0.28888888888888886), ("eastern third", 42, 21, 0.5)],
+}
+
+
+@pytest.mark.parametrize("groups", PUBLISHED_RECALL.values(), ids=PUBLISHED_RECALL)
+def test_published_recall_of_groups_and_all(spark, groups):
+    rows = [(name, i < found) for name, n, found, _ in groups for i in range(n)]
+    f = spark.createDataFrame(rows, "name string, detected boolean")
+    aggregates = [F.count("*").alias("n"), F.count_if("detected").alias("d"), F.avg(F.col("detected").cast("double")).alias("recall")]
+    got = {r.name: (r.n, r.d, r.recall) for r in grouping.with_total(f, "name", aggregates, "overall").collect()}
+    assert got == {name: (n, found, recall) for name, n, found, recall in groups} | {"overall": (201, 70, 0.3482587064676617)}
+
+
+# The published selection of 30 windows of 512 pixels, by rank: first row, first column, and the largest
+# share that a window has in common with one before it, where there is any.
+SELECTED = [
+    (3357, 749), (3231, 5265), (7315, 5266), (3894, 5090), (470, 5279), (10276, 5518), (9868, 130), (6554, 2385),
+    (4494, 1501), (3339, 1447), (9988, 1102), (8078, 3766), (8139, 633), (6449, 2933), (2728, 1188), (100, 5156),
+    (4399, 3220), (4, 5538), (8743, 1678), (10467, 715), (3616, 3587), (5227, 1976), (9787, 5295), (6102, 5223),
+    (5240, 1499), (10434, 3698), (10443, 1402), (7333, 3712), (7759, 408), (9600, 827),
+]
+SHARES = {16: 0.21071624755859375, 18: 0.206298828125, 20: 0.015735626220703125, 23: 0.025356292724609375, 25: 0.06662368774414062, 27: 0.0460968017578125, 29: 0.1445159912109375, 30: 0.1121063232421875}
+
+
+def test_published_selection_and_its_largest_overlaps(spark):
+    rows = [(i, 0, float(c), float(r), c + 512.0, r + 512.0, 1 - i / 100) for i, (r, c) in enumerate(SELECTED, 1)]
+    got = suppress.diverse(boxes(spark, rows), 30, most=0.25, tile_area=512.0 * 512.0).orderBy("rank").collect()
+    assert [(r["rank"], r.id, r.max_overlap) for r in got] == [(i, i, SHARES.get(i, 0.0)) for i in range(1, 31)]
 
 
 def test_dense_groups_and_quantiles(spark):
