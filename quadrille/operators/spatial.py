@@ -58,6 +58,8 @@ def overlap_pairs(left: DataFrame, right: DataFrame, *, cell: float, closed: boo
     a, b, keys = dealt(in_cells(known(left), cell, "l_"), in_cells(known(right), cell, "r_"))
     lb, rb = B.box("l_"), B.box("r_")
     once = [F.floor(F.greatest(lb[i], rb[i]) / cell) == F.col(c) for i, c in enumerate(("_cx", "_cy"))]
+    if left is right:  # a broadcast would leave all comparisons to the tasks that scan the table, of which a small file gives one
+        b = b.hint("merge")
     found = a.join(b, keys).where(once[0] & once[1] & B.overlaps(lb, rb, closed))
     found = found if also is None else found.where(also)
     return found.drop(*keys)
