@@ -26,18 +26,26 @@ def in_cells(frame: DataFrame, cell: float, prefix: str) -> DataFrame:
 #: Boxes of a cell from one side that are one part, and crowded cells of a side that are dealt to parts at most; beyond
 #: these a cell has less than a thousandth of the side's rows.
 PART_ROWS, MOST_CELLS = 50_000, 1_000
+#: Rows of the smaller side up to which it may be broadcast. A broadcast leaves all comparisons to the tasks that scan the
+#: larger side, of which a small file gives one.
+FEW_ROWS = 10_000
 
 
 def dealt(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides, and the columns by which each pair of a cell's rows meets once: the cell, and its parts if any is crowded.
 
-    A crowded side's rows are dealt to parts, and the other side's rows go to each of them.
+    A crowded side's rows are dealt to parts, and the other side's rows go to each of them. Sides that both have more
+    than FEW_ROWS are joined by sort and merge.
     """
     cell = ["_cx", "_cy"]
-    crowded = lambda f, n: f.groupBy(*cell).agg(F.count("*").alias(n)).where(F.col(n) > PART_ROWS).orderBy(F.col(n).desc(), *cell).limit(MOST_CELLS)
+    sizes = lambda f: f.groupBy(*cell).agg(F.count("*").alias("n"))
+    total = lambda f: sizes(f).agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+    totals = total(left).unionAll(total(right)).collect()
+    met = lambda f: f.hint("merge") if min(r.rows for r in totals) > FEW_ROWS else f
+    if max(r.most for r in totals) <= PART_ROWS:
+        return left, met(right), cell
+    crowded = lambda f, n: sizes(f).where(F.col("n") > PART_ROWS).orderBy(F.col("n").desc(), *cell).limit(MOST_CELLS).withColumnRenamed("n", n)
     found = crowded(left, "_l").join(crowded(right, "_r"), cell, "full").collect()
-    if not found:
-        return left, right, cell
     parts = left.sparkSession.createDataFrame([(*r[:2], *(-(-(n or 1) // PART_ROWS) for n in r[2:])) for r in found], "_cx long, _cy long, _l long, _r long")
 
     def side(frame: DataFrame, own: str, other: str, keys: tuple[str, str]) -> DataFrame:
@@ -45,7 +53,7 @@ def dealt(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, list
         part = F.pmod(F.xxhash64(*frame.columns), F.coalesce(own, F.lit(1)))
         return known.withColumn(keys[0], part).withColumn(keys[1], F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1)) - 1))).drop("_l", "_r")
 
-    return side(left, "_l", "_r", ("_p", "_q")), side(right, "_r", "_l", ("_q", "_p")), [*cell, "_p", "_q"]
+    return side(left, "_l", "_r", ("_p", "_q")), met(side(right, "_r", "_l", ("_q", "_p"))), [*cell, "_p", "_q"]
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, *, cell: float, closed: bool = False, also: Column | None = None) -> DataFrame:
@@ -58,8 +66,6 @@ def overlap_pairs(left: DataFrame, right: DataFrame, *, cell: float, closed: boo
     a, b, keys = dealt(in_cells(known(left), cell, "l_"), in_cells(known(right), cell, "r_"))
     lb, rb = B.box("l_"), B.box("r_")
     once = [F.floor(F.greatest(lb[i], rb[i]) / cell) == F.col(c) for i, c in enumerate(("_cx", "_cy"))]
-    if left is right:  # a broadcast would leave all comparisons to the tasks that scan the table, of which a small file gives one
-        b = b.hint("merge")
     found = a.join(b, keys).where(once[0] & once[1] & B.overlaps(lb, rb, closed))
     found = found if also is None else found.where(also)
     return found.drop(*keys)
