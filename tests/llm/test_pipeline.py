@@ -1,9 +1,12 @@
 """The stages of the corpus pipeline, held against brute force on small tables."""
 
 import re
+from collections import Counter
 
 import corpus_pipeline
 import pytest
+from test_dedup import near, plain_fingerprint
+from test_mix_and_pack import plain_ids, plain_mix
 from quadrille.llm import exact_dedup, packing, toxicity
 
 
@@ -48,9 +51,29 @@ def test_stages_in_order(spark, folder, monkeypatch):
     assert sum(r.length for r in packed) == sum(len(ids(r.text)) // 2 + 1 for r in mixed.collect())
 
 
-def test_run_gives_sequences(spark, folder):
-    packed = corpus_pipeline.run(spark, folder[0])
-    assert packed.count() > 0 and {"doc_id", "sequence_id", "offset", "length"} <= set(packed.columns)
+def test_run_equals_plain_steps(spark, folder, monkeypatch):
+    """The documents, the tokens of each and the sequences, by plain computation from the tables."""
+    monkeypatch.setattr(toxicity, "SURPRISE", 4.0)
+    path, rows = folder
+    clean = {r[0]: r for r in rows if not r[5]}
+    once = sorted({exact_dedup.normalised(r[1]): i for i, r in sorted(clean.items())}.values())
+    apart = sorted(set(near([plain_fingerprint(clean[i][1]) for i in once], once)))
+    want = Counter()
+    for i, words, _, _, taken in plain_mix([(i, clean[i][1], clean[i][3]) for i in apart]):
+        text = clean[i][1]
+        cut = re.match(r"(?:[^ ]+ *){%d}" % (taken % words), text).group() if taken % words else None
+        tokens = taken // words * len(plain_ids(text)) + (len(plain_ids(cut)) if cut else 0)
+        want += Counter({i: tokens})  # documents of no tokens are left out
+    packed = corpus_pipeline.run(spark, path).collect()
+    got = Counter()
+    for r in packed:
+        got[r.doc_id] += r.length
+    assert got == want and len(apart) < len(once) < len(clean) < len(rows)
+    at = Counter()
+    for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at[r.sequence_id]
+        at[r.sequence_id] += r.length
+    assert max(at.values()) <= 4_096
 
 
 def test_stages_of_empty_tables(spark, folder, tmp_path):
