@@ -141,7 +141,7 @@ def q_agreement(spark, sf):
     """Two by two: whether a detection's box holds a known point, against whether its confidence is high."""
     d = I.detections(spark, sf)
     points = I.objects(spark, sf).select((F.col("x0") % 2048).alias("px"), (F.col("y0") % 2048).alias("py"))
-    hit = spatial.points_in_boxes(points, d, cell=64.0).select("id").distinct().withColumn("site", F.lit(True))
+    hit = spatial.boxes_with_points(points, d, "id", cell=64.0).withColumn("site", F.lit(True))
     told = d.join(hit, "id", "left").select(F.when(F.col("conf") >= 50, "yes").otherwise("no").alias("label"), F.coalesce("site", F.lit(False)).alias("site"))
     out = told.groupBy("label").agg(F.count_if("site").alias("site_inside"), F.count_if(~F.col("site")).alias("no_site"))
     return out.withColumn("site_share", F.round(B.ratio(F.col("site_inside").cast("double"), (F.col("site_inside") + F.col("no_site")).cast("double")), 6))

@@ -451,3 +451,15 @@ def test_numbers_over_partitions(spark):
     got = [(r.n, r.k, r.id) for r in grouping.numbered(f, "n", F.col("k").desc(), F.col("id")).orderBy("n").collect()]
     assert [n for n, _, _ in got] == list(range(1, 1_001)) and [(-k, i) for _, k, i in got] == sorted((-k, i) for _, k, i in got)
     assert grouping.numbered(f.limit(0), "n", F.col("id")).count() == 0
+
+
+def test_boxes_that_hold_points_are_found_without_pairs(spark, monkeypatch):
+    """Points that repeat, lie on edges or are null, in cells that are crowded or not."""
+    left = scene(300, 8)
+    points = spark.createDataFrame([(float(i % 40), float(3 * (i % 13))) for i in range(2_000)] + [(None, 1.0)], "px double, py double")
+    want = sorted(b[0] for b in left if any(b[2] <= i % 40 <= b[4] and b[3] <= 3 * (i % 13) <= b[5] for i in range(520)))
+    for part in (50_000, 20):
+        monkeypatch.setattr(spatial, "PART_ROWS", part)
+        found = spatial.boxes_with_points(points, boxes(spark, left), "id", cell=64.0)
+        assert sorted(r.id for r in found.collect()) == want
+        assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
