@@ -1,18 +1,22 @@
-"""Greedy matching of detections to truths, set at a time.
+"""Greedy matching of detections to truths.
 
-Detections in order of confidence each take the free truth of the highest overlap. That equals taking edges in one
-total order whenever both ends are free, and an edge is taken for certain once it comes first at both of its ends. A
-round takes all such edges and drops those that share an end with one; the rounds end when few enough edges are left
-for one task, which scans them in order.
+Detections in order of confidence each take the free truth of the highest overlap. A task scans a tile of up to
+SCENE_ROWS boxes so and makes no table of pairs. In larger tiles edges are taken in one total order whenever both ends
+are free, which comes to the same: an edge is taken for certain once it comes first at both of its ends. A round takes
+all such edges and drops those that share an end with one; the rounds end when few enough edges are left for one task,
+which scans them in order.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quadrille.functions import boxes as B
+from quadrille.operators import scans
 from quadrille.operators.spatial import overlap_pairs
 from quadrille.sources.shared import drop_written, written
 
@@ -64,19 +68,75 @@ def _scanned(edges: pa.Table) -> pa.Table:
     return edges.filter(pa.array(taken, pa.bool_()))
 
 
+#: Boxes of a scene, detections and truths, that one task scans; larger scenes are matched by joins and rounds.
+SCENE_ROWS = 2_000_000
+
+_CORNERS = ("x0", "y0", "x1", "y1")
+
+
+def _scenes(detections: DataFrame, truths: DataFrame) -> tuple[DataFrame, list]:
+    """Rows of both sides for a scan a tile, and the tiles that are too large for one."""
+    corner = [F.col(c).cast("double").alias(c) for c in _CORNERS]
+    d = detections.select("tile", "id", F.col("conf").cast("double").alias("conf"), *corner, F.lit(False).alias("truth"))
+    both = d.unionAll(truths.select("tile", "id", F.lit(None).cast("double").alias("conf"), *corner, F.lit(True).alias("truth")))
+    large = both.groupBy("tile").agg(F.count("*").alias("n")).where((F.col("n") > SCENE_ROWS) & F.col("tile").isNotNull()).collect()
+    return both, [r.tile for r in large]
+
+
+def _arrays(scene: pa.Table) -> tuple:
+    """Boxes, ids, detections in their order, usable truths, and the order's flags of null confidence."""
+    column = lambda c: scene[c].to_numpy()
+    boxes = np.stack([scene[c].cast(pa.float64()).to_numpy() for c in _CORNERS])
+    ids, truth = column("id"), column("truth")
+    known, none = np.zeros(len(ids), bool), not scene["tile"][0].is_valid
+    if not none:
+        known[scans.usable(boxes)] = True
+    missing = scene["conf"].is_null().to_numpy()
+    rows = np.nonzero(~truth)[0]
+    rows = rows[scans.in_order(scene["conf"].to_numpy()[rows], missing[rows], ids[rows])]
+    return boxes, ids, rows, known, np.nonzero(truth & known)[0], missing
+
+
+def _told(least: float, schema: pa.Schema):
+    def run(scene: pa.Table) -> pa.Table:
+        boxes, ids, rows, known, truths, missing = _arrays(scene)
+        seen = rows[known[rows]]
+        took, value = scans.matched(boxes, ids, seen, truths, least, missing[seen])
+        gid, best = np.full(len(ids), -1), np.zeros(len(ids))
+        gid[seen], best[seen] = took, value
+        gid, best, out = gid[rows], best[rows], scene.take(rows)
+        status = np.where(gid >= 0, "true_positive", "false_positive")
+        named = pa.array(ids[gid], mask=gid < 0)
+        return pa.table([out["id"], out["tile"], out["conf"], status, named, best], names=["id", "tile", "conf", "status", "gid", "best_iou"]).cast(schema)
+
+    return run
+
+
 def outcomes(detections: DataFrame, truths: DataFrame, *, least: float = 0.5, cell: float = 64.0) -> DataFrame:
     """Each detection's fate: id, tile, conf, status, gid, best_iou.
 
     A match has its truth and overlap. A false positive has the largest overlap with the truths that no detection
-    before it took, 0.0 if there is none.
+    before it took, 0.0 if there is none. A task scans a tile of up to SCENE_ROWS boxes, and no table of pairs is made;
+    larger tiles go through joins and rounds.
     """
-    pairs = written(edges(detections, truths, cell=cell), "match-pairs")
-    taken = greedy(pairs, least)
+    both, large = _scenes(detections, truths)
+    schema = detections.select("id", "tile", F.col("conf").cast("double").alias("conf"), F.lit("").alias("status")).crossJoin(truths.select(F.col("id").alias("gid"))).withColumn("best_iou", F.lit(0.0)).schema
+    small = both.where(~F.col("tile").isin(large) | F.col("tile").isNull()) if large else both
+    told = small.groupBy("tile").applyInArrow(_told(least, to_arrow_schema(schema)), schema)
+    if large:
+        told = told.unionAll(_by_joins(detections.where(F.col("tile").isin(large)), truths, least, cell))
+    return told
+
+
+def _by_joins(detections: DataFrame, truths: DataFrame, least: float, cell: float) -> DataFrame:
+    """Outcomes by joins and rounds. Only overlaps of at least least are written; the others are met again in a second join."""
+    taken = written(greedy(edges(detections, truths, cell=cell), least), "matched")
     by = taken.select("gid", F.col("conf").alias("_conf"), F.col("pid").alias("_pid"))
     earlier = (F.col("_conf") > F.col("conf")) | ((F.col("_conf") == F.col("conf")) & (F.col("_pid") < F.col("pid")))
-    open_ = pairs.join(by, "gid", "left").where(F.col("_pid").isNull() | ~F.coalesce(earlier, F.lit(False)))
+    rest = detections.join(taken.select(F.col("pid").alias("id")), "id", "left_anti")
+    open_ = edges(rest, truths, cell=cell).join(by, "gid", "left").where(F.col("_pid").isNull() | ~F.coalesce(earlier, F.lit(False)))
     best = open_.groupBy(F.col("pid").alias("id")).agg(F.max("iou").alias("_open"))
-    told = detections.select("id", "tile", "conf").join(taken.select(F.col("pid").alias("id"), "gid", "iou"), "id", "left").join(best, "id", "left")
+    told = detections.select("id", "tile", F.col("conf").cast("double").alias("conf")).join(taken.select(F.col("pid").alias("id"), "gid", "iou"), "id", "left").join(best, "id", "left")
     status = F.when(F.col("gid").isNotNull(), "true_positive").otherwise("false_positive")
     return told.select("id", "tile", "conf", status.alias("status"), "gid", F.coalesce("iou", "_open", F.lit(0.0)).alias("best_iou"))
 
@@ -97,48 +157,79 @@ def precision_recall(told: DataFrame, truths: DataFrame) -> DataFrame:
     )
 
 
-def average_precision(told: DataFrame, truths: DataFrame, by: str | None = None) -> DataFrame:
-    """Area under the precision envelope over recall, and the counts it comes from; by: a row for each value of a column.
+def _areas(told: DataFrame, hits: list[Column]) -> list[tuple[int, float]]:
+    """For each of the columns hits of told (id, conf): its true values, and the sum of the precision envelope at them.
 
-    Rows are dealt to ranges of confidence; a range's numbers continue those before it, and its envelope is the larger
-    of its own and the ranges' after it, of which there is a row each. A value of by without rows has no row.
+    Rows are dealt to ranges of confidence once for all columns; a range's numbers continue those before it, and its
+    envelope is the larger of its own and the ranges' after it, of which there is a row each.
     """
-    key = (F.col(by) if by else F.lit(0)).alias("k")
+    h, p = ([f"{c}{i}" for i in range(len(hits))] for c in "hp")
     order = [F.col("conf").desc_nulls_last(), F.col("id")]
-    hit = (F.col("status") == "true_positive").alias("hit")
-    whole = written(told.select(key, "id", "conf", hit), "precision")  # read twice, by the sampling of the ranges too
-    dealt = written(whole.repartitionByRange(F.col("k"), *order).withColumn("part", F.spark_partition_id()), "precision")
+    whole = written(told.select("id", "conf", *(c.alias(n) for c, n in zip(hits, h, strict=True))), "precision")  # read twice, by the sampling of the ranges too
+    dealt = written(whole.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "precision")
     drop_written(whole)
-    before = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy("k", "part").agg(F.count("*").alias("rows"), F.count_if("hit").alias("hits"))
-    offsets = sizes.select("k", "part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("rows", "hits")))
-    within = Window.partitionBy("k", "part").orderBy(*order)
-    run = dealt.join(F.broadcast(offsets), ["k", "part"]).select("k", "part", "hit", (F.col("rows") + F.row_number().over(within)).alias("n"), (F.col("hits") + F.sum(F.col("hit").cast("long")).over(within)).alias("tp"))
-    hits = written(run.where("hit").select("k", "part", "n", (F.col("tp") / F.col("n")).alias("precision")), "precision")
-    after = Window.partitionBy("k").orderBy("part").rowsBetween(1, Window.unboundedFollowing)
-    later = hits.groupBy("k", "part").agg(F.max("precision").alias("top")).select("k", "part", F.max("top").over(after).alias("later"))
-    own = F.max("precision").over(Window.partitionBy("k", "part").orderBy(F.col("n").desc()))  # backwards, in linear time
-    best = hits.withColumn("own", own).join(F.broadcast(later), ["k", "part"]).select("k", F.greatest("own", F.coalesce("later", F.lit(0.0))).alias("best"))
-    gained = best.groupBy("k").agg(F.sum("best").alias("total"), F.count("*").alias("true_positives"))
-    keys = sizes.select("k").distinct() if by else told.sparkSession.createDataFrame([(0,)], "k int")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("rows"), *(F.count_if(c).alias(c) for c in h))
+    offsets = sizes.select("part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in ("rows", *h)))
+    within = Window.partitionBy("part").orderBy(*order)
+    run = dealt.join(F.broadcast(offsets), "part").withColumn("n", F.col("_rows") + F.row_number().over(within))
+    run = run.select("part", "n", *(F.when(F.col(c), (F.col(f"_{c}") + F.sum(F.col(c).cast("long")).over(within)) / F.col("n")).alias(q) for c, q in zip(h, p, strict=True)))
+    run = written(run.where(F.coalesce(*p).isNotNull()), "precision")
+    drop_written(dealt)
+    after = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    later = run.groupBy("part").agg(*(F.max(q).alias(q) for q in p)).select("part", *(F.max(q).over(after).alias(f"_{q}") for q in p))
+    backwards = Window.partitionBy("part").orderBy(F.col("n").desc())  # in linear time
+    own = run.join(F.broadcast(later), "part").select(*p, *(F.greatest(F.max(q).over(backwards), f"_{q}").alias(f"best_{q}") for q in p))
+    row = own.agg(*(F.count(q).alias(f"n_{q}") for q in p), *(F.sum(F.when(F.col(q).isNotNull(), F.col(f"best_{q}"))).alias(f"sum_{q}") for q in p)).first()
+    drop_written(run)
+    return [(row[f"n_{q}"], row[f"sum_{q}"] or 0.0) for q in p]
+
+
+def _precisions(areas: list[tuple], truths: DataFrame, names: str) -> DataFrame:
     t = truths.agg(F.count("*").alias("truths"))
-    all_ = keys.join(F.broadcast(gained), "k", "left").crossJoin(F.broadcast(t))
-    area = F.round(B.ratio(F.coalesce("total", F.lit(0.0)), F.col("truths").cast("double")), 6)
-    return all_.select(*([F.col("k").alias(by)] if by else []), F.coalesce("true_positives", F.lit(0)).alias("true_positives"), "truths", area.alias("average_precision"))
+    all_ = truths.sparkSession.createDataFrame(areas, f"{names}true_positives long, total double").crossJoin(F.broadcast(t))
+    area = F.round(B.ratio(F.col("total"), F.col("truths").cast("double")), 6)
+    return all_.withColumn("average_precision", area).drop("total")
+
+
+def average_precision(told: DataFrame, truths: DataFrame) -> DataFrame:
+    """Area under the precision envelope over recall, and the counts it comes from."""
+    return _precisions(_areas(told, [F.col("status") == "true_positive"]), truths, "")
 
 
 #: The overlaps over which the mean average precision is taken.
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 
 
+def _hits(thresholds: tuple[float, ...]):
+    def run(scene: pa.Table) -> pa.Table:
+        boxes, ids, rows, known, truths, _ = _arrays(scene)
+        seen = rows[known[rows]]
+        found = np.zeros((len(thresholds), len(ids)), bool)
+        for i, t in enumerate(thresholds):
+            found[i, seen] = scans.matched(boxes, ids, seen, truths, t)[0] >= 0
+        out = scene.take(rows)
+        return pa.table([out["id"], out["conf"], *(pa.array(f[rows]) for f in found)], names=["id", "conf", *(f"t{i}" for i in range(len(thresholds)))])
+
+    return run
+
+
 def mean_average_precision(detections: DataFrame, truths: DataFrame, *, thresholds: tuple[float, ...] = THRESHOLDS, cell: float = 64.0) -> DataFrame:
     """Average precision at each least overlap, and the mean of all at each row: iou_threshold, true_positives, truths, average_precision, mean_ap.
 
-    The overlaps are found once, and the thresholds' matchings share their rounds.
+    A task scans a tile of up to SCENE_ROWS boxes at each threshold; for larger tiles the overlaps of at least the
+    smallest are found once, and the thresholds' matchings share their rounds.
     """
-    every = F.array(*(F.lit(t) for t in thresholds))
-    pairs = edges(detections, truths, cell=cell).withColumn("t", F.explode(F.filter(every, lambda t: F.col("iou") >= t)))
-    taken = greedy(pairs, min(thresholds), "t").select("t", F.col("pid").alias("id"), F.lit("true_positive").alias("status"))
-    told = detections.select("id", "conf", F.explode(every).alias("t")).join(taken, ["t", "id"], "left")
-    rows = average_precision(told, truths, "t").withColumnRenamed("t", "iou_threshold")
+    names = [f"t{i}" for i in range(len(thresholds))]
+    both, large = _scenes(detections, truths)
+    small = both.where(~F.col("tile").isin(large) | F.col("tile").isNull()) if large else both
+    told = small.groupBy("tile").applyInArrow(_hits(thresholds), detections.select("id", F.col("conf").cast("double").alias("conf"), *(F.lit(True).alias(n) for n in names)).schema)
+    if large:
+        rows = detections.where(F.col("tile").isin(large))
+        every = F.array(*(F.lit(t) for t in thresholds))
+        pairs = edges(rows, truths, cell=cell).withColumn("t", F.explode(F.filter(every, lambda t: F.col("iou") >= t)))
+        taken = greedy(pairs, min(thresholds), "t").groupBy(F.col("pid").alias("id")).agg(*(F.bool_or(F.col("t") == t).alias(n) for t, n in zip(thresholds, names, strict=True)))
+        told = told.unionAll(rows.select("id", "conf").join(taken, "id", "left").select("id", F.col("conf").cast("double"), *(F.coalesce(n, F.lit(False)).alias(n) for n in names)))
+    found = _areas(told, [F.col(n) for n in names])
+    rows = _precisions([(float(t), *a) for t, a in zip(thresholds, found, strict=True)], truths, "iou_threshold double, ")
     return rows.withColumn("mean_ap", F.round(F.avg("average_precision").over(Window.partitionBy()), 6))

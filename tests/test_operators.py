@@ -463,3 +463,35 @@ def test_boxes_that_hold_points_are_found_without_pairs(spark, monkeypatch):
         found = spatial.boxes_with_points(points, boxes(spark, left), "id", cell=64.0)
         assert sorted(r.id for r in found.collect()) == want
         assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(("limit", "tail"), [(2_000_000, 0), (0, 0), (0, 9), (40, 2_000_000)])
+def test_matching_by_scans_and_by_joins(spark, monkeypatch, limit, tail):
+    """Tiles that a task scans, tiles that are too large for it, and both, with null corners and tiles; no pair is written by a scan."""
+    monkeypatch.setattr(matching, "SCENE_ROWS", limit)
+    monkeypatch.setattr(matching, "TAIL_ROWS", tail)
+    monkeypatch.setattr(matching.scans, "BATCH", 7)
+    monkeypatch.setattr(matching.scans, "CHUNK", 50)
+    labels, wrote = [], matching.written
+    monkeypatch.setattr(matching, "written", lambda frame, label: (labels.append(label), wrote(frame, label))[1])
+    preds = [*scene(90, 4), (900, 0, None, 0.0, 5.0, 5.0, 0.95), (901, None, 1.0, 1.0, 99.0, 99.0, 0.9), (902, 1, 3.0, 3.0, 9.0, 9.0, math.nan), (903, 0, 0.0, 0.0, 5_000.0, 5_000.0, 0.7)]
+    preds += [(1_000 + r[0], 9, *r[2:]) for r in preds[:12]]
+    truths = [*scene(80, 14), (904, None, 1.0, 1.0, 99.0, 99.0, None), (905, 0, 0.0, 0.0, 4_900.0, 5_000.0, None)]
+    none = lambda r: None in r[1:6]
+    key = lambda r: (r[6] is None, not (r[6] is not None and math.isnan(r[6])), 0 if r[6] is None or math.isnan(r[6]) else -r[6], r[0])
+    free, want = {t[0]: t for t in truths if not none(t)}, {}
+    for p in sorted(preds, key=key):
+        among = truths if p[6] is None else free.values()
+        near = min(((-iou(p, t), t[0]) for t in free.values() if not none(p) and t[1] == p[1] and iou(p, t) > 0), default=(0.0, None))
+        if -near[0] >= 0.5:
+            want[p[0]] = ("true_positive", near[1], -near[0])
+            del free[near[1]]
+        else:
+            want[p[0]] = ("false_positive", None, max((iou(p, t) for t in among if not none(p) and not none(t) and t[1] == p[1]), default=0.0))
+    told = matching.outcomes(boxes(spark, preds), boxes(spark, truths), cell=64.0).collect()
+    assert {r.id: (r.status, r.gid, r.best_iou) for r in told} == want
+    assert limit < 2_000_000 or labels == []
+    assert len(told) == len(preds)
+    row = matching.mean_average_precision(boxes(spark, preds), boxes(spark, truths), thresholds=(0.5, 0.8), cell=64.0).orderBy("iou_threshold").first()
+    hits = [want[p[0]][0] == "true_positive" for p in sorted(preds, key=key)]
+    assert (row.true_positives, row.average_precision) == (sum(hits), plain_ap(hits, len(truths)))
