@@ -58,3 +58,15 @@ def test_sample_keeps_its_sizes(spark):
 def test_entry_imports_without_the_training_subpackage():
     code = "import sys; sys.modules['quadrille.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'q_pr' in q and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, env=os.environ | {"PYTHONPATH": str(ROOT)})
+
+
+@pytest.mark.parametrize("name", ["q_pr", "q_match", "q_ap", "q_map", "q_size_quartile"])
+def test_matching_writes_no_table_of_pairs(spark, monkeypatch, name):
+    from quadrille.operators import grouping, matching
+
+    labels = []
+    for module in (matching, grouping):
+        wrote = module.written
+        monkeypatch.setattr(module, "written", lambda frame, label, wrote=wrote: (labels.append(label), wrote(frame, label))[1])
+    catalogue.QUERIES[name](spark, str(FOLDER)).collect()
+    assert not {"match-edges", "match-pairs"} & set(labels)
