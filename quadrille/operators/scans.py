@@ -7,6 +7,7 @@ chunks of a bounded number of pairs, so no scan ever holds all its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 
@@ -149,3 +150,67 @@ def _best(near: Near, boxes: np.ndarray, rows: np.ndarray, place: np.ndarray, to
         at = place[i]
         still = taken_at[j] > at
         np.maximum.at(told, at[still], iou(boxes[:, i[still]], boxes[:, j[still]]))
+
+
+#: Boxes on a side of a square of pairs.
+SQUARE = 256
+
+
+def overlaps(boxes: np.ndarray, copies: np.ndarray, tile: np.ndarray, corner: tuple[float, float], cell: float) -> dict[float, int]:
+    """How many pairs of rows of different tiles overlap by each value, rounded to six digits, 0 left out.
+
+    Boxes are distinct with their number of copies. Only pairs whose shared lower left corner lies in the cell at corner
+    count, so each counts in one cell. Neighbours in the plane are compared square by square.
+    """
+    fine = cell / 16
+    x, y = (np.floor((np.maximum(boxes[i], corner[i]) - corner[i]) / fine) for i in (0, 1))
+    order = np.lexsort((boxes[0], x, y))
+    boxes, copies, tile = boxes[:, order], copies[order].astype(np.float64), tile[order]
+    # squares end where x or y jumps to another fine cell
+    moved = np.nonzero(np.append(True, (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])))[0]
+    cuts = np.concatenate([np.arange(a, b, SQUARE) for a, b in zip(moved, np.append(moved[1:], len(order)), strict=True)]) if len(order) else np.zeros(0, int)
+    ends = np.append(cuts[1:], len(order))
+    low = np.stack([np.minimum.reduceat(boxes[i], cuts) for i in (0, 1)]) if len(cuts) else np.zeros((2, 0))
+    high = np.stack([np.maximum.reduceat(boxes[i], cuts) for i in (2, 3)]) if len(cuts) else np.zeros((2, 0))
+    begin = np.stack([np.maximum.reduceat(boxes[i], cuts) for i in (0, 1)]) if len(cuts) else np.zeros((2, 0))
+    size, counts, odd = area(boxes), np.zeros(1_000_001), {}
+    for s in range(len(cuts)):
+        a = slice(cuts[s], ends[s])
+        p = boxes[:, a, None]
+        met = (low[0, s:] < high[0, s]) & (high[0, s:] > low[0, s]) & (low[1, s:] < high[1, s]) & (high[1, s:] > low[1, s])
+        for o in (np.nonzero(met)[0] + s).tolist():
+            b = slice(cuts[o], ends[o])
+            q = boxes[:, None, b]
+            left, down = np.maximum(p[0], q[0]), np.maximum(p[1], q[1])
+            w, h = np.minimum(p[2], q[2]) - left, np.minimum(p[3], q[3]) - down
+            good = (w > 0) & (h > 0) & (tile[a, None] != tile[None, b])
+            for i, lower in enumerate((left, down)):
+                if max(low[i, s], low[i, o]) < corner[i]:
+                    good &= lower >= corner[i]
+                if max(begin[i, s], begin[i, o]) >= corner[i] + cell:
+                    good &= lower < corner[i] + cell
+            if o == s:
+                good &= np.arange(len(tile[a]))[:, None] < np.arange(len(tile[b]))[None]
+            shared = (w * h)[good]
+            total = (size[a, None] + size[None, b])[good]
+            value = shared / (total - shared)
+            weight = (copies[a, None] * copies[None, b])[good]
+            scaled = value * 1e6
+            whole = np.floor(scaled + 0.5)
+            near = np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6  # halves are rounded in decimals, as Spark does
+            if near.any():
+                for v, n in _sums(value[near], weight[near]):
+                    odd[v] = odd.get(v, 0) + n
+                whole, weight = whole[~near], weight[~near]
+            np.add.at(counts, whole.astype(np.int64), weight)
+    out = {n / 1e6: int(counts[n]) for n in np.nonzero(counts)[0].tolist() if n}
+    for v, n in odd.items():
+        v = float(Decimal(repr(v)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+        if v:
+            out[v] = out.get(v, 0) + int(n)
+    return out
+
+
+def _sums(values: np.ndarray, weights: np.ndarray) -> list[tuple[float, float]]:
+    known, at = np.unique(values, return_inverse=True)
+    return list(zip(known.tolist(), np.bincount(at, weights).tolist(), strict=True))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import boxes as B
@@ -34,10 +35,13 @@ def q_map(spark, sf):
 
 
 def q_dup_pairs(spark, sf):
-    pairs = spatial.self_pairs(I.detections(spark, sf), cell=CELL, also=F.col("l_tile") != F.col("r_tile")).select(F.round(B.iou(B.box("l_"), B.box("r_")), 6).alias("iou"))
-    pairs = written(pairs.where("iou > 0"), "pairs")
-    middle = grouping.quantiles(pairs, F.col("iou"), [0.5]).select(F.col("q")[0].alias("median_iou"))
-    return pairs.agg(F.count("*").alias("pairs"), F.min("iou").alias("min_iou"), F.max("iou").alias("max_iou")).crossJoin(F.broadcast(middle))
+    counts = written(spatial.overlap_counts(I.detections(spark, sf), cell=CELL), "overlaps")
+    end = F.sum("n").over(Window.orderBy("iou"))  # at most a million values, of six digits
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.min("iou").alias("min_iou"), F.max("iou").alias("max_iou"))
+    value_at = lambda rank: F.min(F.when(F.col("end") > F.floor(rank), F.col("iou")))
+    placed = counts.withColumn("end", end).crossJoin(F.broadcast(total.select("pairs")))
+    middle = placed.agg(((value_at((F.col("pairs") - 1) / 2) + value_at(F.col("pairs") / 2)) / 2).alias("median_iou"))
+    return total.crossJoin(F.broadcast(middle)).select("pairs", "min_iou", "max_iou", "median_iou")
 
 
 def q_nms(spark, sf):

@@ -495,3 +495,15 @@ def test_matching_by_scans_and_by_joins(spark, monkeypatch, limit, tail):
     row = matching.mean_average_precision(boxes(spark, preds), boxes(spark, truths), thresholds=(0.5, 0.8), cell=64.0).orderBy("iou_threshold").first()
     hits = [want[p[0]][0] == "true_positive" for p in sorted(preds, key=key)]
     assert (row.true_positives, row.average_precision) == (sum(hits), plain_ap(hits, len(truths)))
+
+
+@pytest.mark.parametrize("square", [3, 256])
+def test_overlaps_are_counted_without_pairs(spark, monkeypatch, square):
+    """Copies, halves in the seventh digit, negative and null corners, and boxes over many blocks."""
+    monkeypatch.setattr(spatial.scans, "SQUARE", square)
+    rows = [(i, r[1], *(c - 60 for c in r[2:6]), 1.0) for i, r in enumerate(scene(90, 17) * 2)]
+    rows += [(500, 0, 200.0, 200.0, 201.0, 201.0, 1.0), (501, 1, 200.0, 200.0, 232.0, 220.0, 1.0), (502, 2, None, 0.0, 5.0, 5.0, 1.0), (503, 1, -90.0, -90.0, 400.0, 400.0, 1.0)]
+    pairs = spatial.self_pairs(boxes(spark, rows), cell=64.0, also=F.col("l_tile") != F.col("r_tile")).select(F.round(B.iou(B.box("l_"), B.box("r_")), 6).alias("iou")).where("iou > 0")
+    want = {r.iou: r["count"] for r in pairs.groupBy("iou").count().collect()}
+    assert {r.iou: r.n for r in spatial.overlap_counts(boxes(spark, rows), cell=16.0).collect()} == want
+    assert 0.001563 in want  # 1 / 640
