@@ -214,3 +214,74 @@ def overlaps(boxes: np.ndarray, copies: np.ndarray, tile: np.ndarray, corner: tu
 def _sums(values: np.ndarray, weights: np.ndarray) -> list[tuple[float, float]]:
     known, at = np.unique(values, return_inverse=True)
     return list(zip(known.tolist(), np.bincount(at, weights).tolist(), strict=True))
+
+
+UNKNOWN, KEPT, GONE = 0, 1, 2
+
+
+class Growing:
+    """An index to which boxes are added: few parts, each about twice as large as the next."""
+
+    def __init__(self, boxes: np.ndarray):
+        self.boxes, self.levels = boxes, []
+
+    def add(self, ids: np.ndarray) -> None:
+        while self.levels and len(self.levels[-1][0]) <= 2 * len(ids):
+            ids = np.concatenate([self.levels.pop()[0], ids])
+        self.levels.append((ids, Near(self.boxes, ids)))
+
+    def pairs(self, rows: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, near in self.levels:
+            yield from near.pairs(rows, least)
+
+
+def _conflicts(boxes: np.ndarray, tile: np.ndarray, pairs: Iterator, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for i, j in pairs:
+        other = tile[i] != tile[j]
+        i, j = i[other], j[other]
+        value = iou(boxes[:, i], boxes[:, j])
+        enough = (value >= least) & (value > 0 if least > 0 else _meet(boxes[:, i], boxes[:, j]))
+        yield i[enough], j[enough], value[enough]
+
+
+def survived(boxes: np.ndarray, tile: np.ndarray, state: np.ndarray, whole: np.ndarray, least: float) -> np.ndarray:
+    """The state of each box after a scan in their order: kept, gone, or unknown.
+
+    A box is gone if a kept one of another tile above it overlaps it by least, and kept if all such are gone. What does
+    not follow stays unknown: where whole is false, boxes that are not here may reach a box. Given states stay.
+    """
+    state, kept, unsure = state.copy(), Growing(boxes), Growing(boxes)
+    for begin in range(0, len(state), BATCH):
+        batch = np.arange(begin, min(begin + BATCH, len(state)))
+        doubt = ~whole[batch]
+        for share in ((1 + least) / 2, least):  # most that fall have a kept box close by
+            for i, _, _ in _conflicts(boxes, tile, kept.pairs(batch[state[batch] == UNKNOWN], share), least):
+                state[i] = GONE
+        for i, _, _ in _conflicts(boxes, tile, unsure.pairs(batch[(state[batch] == UNKNOWN) & ~doubt], least), least):
+            doubt[i - begin] = True
+        rest = batch[state[batch] != GONE]
+        own = [[] for _ in batch]
+        for i, j, _ in _conflicts(boxes, tile, Near(boxes, rest).pairs(rest, least), least):
+            for lo, hi in zip(i[j < i].tolist(), j[j < i].tolist(), strict=True):
+                own[lo - begin].append(hi)
+        for r in rest.tolist():
+            if state[r] == UNKNOWN:
+                above = {state[h] for h in own[r - begin]}
+                state[r] = GONE if KEPT in above else UNKNOWN if UNKNOWN in above or doubt[r - begin] else KEPT
+        for told, index in ((KEPT, kept), (UNKNOWN, unsure)):
+            if (left := rest[state[rest] == told]).size:
+                index.add(left)
+    return state
+
+
+def first_reaching(boxes: np.ndarray, tile: np.ndarray, kept: np.ndarray, rows: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The first kept box above each of rows that overlaps it by least, -1 if none, and the overlap; boxes are in order."""
+    near, first, told = Near(boxes, kept), np.full(boxes.shape[1], boxes.shape[1]), np.zeros(boxes.shape[1])
+    for begin in range(0, len(rows), BATCH):
+        for i, j, value in _conflicts(boxes, tile, near.pairs(rows[begin : begin + BATCH], least), least):
+            i, j, value = i[j < i], j[j < i], value[j < i]
+            np.minimum.at(first, i, j)
+            best = first[i] == j
+            told[i[best]] = value[best]
+    found = first[rows]
+    return np.where(found < boxes.shape[1], found, -1), told[rows]

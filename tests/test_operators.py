@@ -507,3 +507,29 @@ def test_overlaps_are_counted_without_pairs(spark, monkeypatch, square):
     want = {r.iou: r["count"] for r in pairs.groupBy("iou").count().collect()}
     assert {r.iou: r.n for r in spatial.overlap_counts(boxes(spark, rows), cell=16.0).collect()} == want
     assert 0.001563 in want  # 1 / 640
+
+
+@pytest.mark.parametrize(("limit", "cells", "side"), [(2_000_000, 8, 300), (2_000_000, 0, 300), (2_000_000, 0, 900), (0, 8, 300)])
+def test_suppression_in_blocks_equals_sequential_scan(spark, monkeypatch, limit, cells, side):
+    """Many small blocks over several rounds, one block, and blocks that are too crowded; a block writes no conflicts."""
+    monkeypatch.setattr(suppress, "BLOCK_ROWS", limit)
+    monkeypatch.setattr(suppress, "BLOCK_CELLS", cells)
+    monkeypatch.setattr(suppress, "MARGIN_CELLS", cells / 4)
+    labels, wrote = [], suppress.written
+    monkeypatch.setattr(suppress, "written", lambda frame, label: (labels.append(label), wrote(frame, label))[1])
+    rows = [*((r[0], r[1], *(c - 40 for c in r[2:6]), r[6]) for r in scene(900, 41, side=side)), (950, 0, None, 0.0, 5.0, 5.0, 0.95), (951, None, 1.0, 1.0, 9.0, 9.0, 0.99), (952, 2, 3.0, 3.0, 9.0, 9.0, math.nan)]
+    rows = [r for r in rows if not (r[2] is not None and 2 < r[2] < 10 and r[0] % 2)]
+    key = lambda r: (r[6] is None, not (r[6] is not None and math.isnan(r[6])), 0 if r[6] is None or math.isnan(r[6]) else -r[6], r[0])
+    kept, by = [], {}
+    for r in sorted(rows, key=key):
+        above = [k for k in kept if None not in (*k[1:6], *r[1:6]) and k[1] != r[1] and iou(k, r) >= 0.2]
+        if above:
+            by[r[0]] = (above[0][0], iou(above[0], r))
+        else:
+            kept.append(r)
+    frame = boxes(spark, rows)
+    assert {r.id for r in suppress.nms(frame, least=0.2, cell=16.0).collect()} == {k[0] for k in kept}
+    assert limit == 0 or cells or labels.count("blocks") > 1
+    assert {r.id: (r.kept_id, r.iou) for r in suppress.lineage(frame, least=0.2, cell=16.0).collect()} == by
+    assert {r.iou_threshold: r.suppressed for r in suppress.sweep(frame, [0.2, 0.6], cell=16.0).collect()}[0.2] == len(by)
+    assert limit == 0 or not {"conflicts"} & set(labels)
