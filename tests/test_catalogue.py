@@ -70,3 +70,13 @@ def test_matching_writes_no_table_of_pairs(spark, monkeypatch, name):
         monkeypatch.setattr(module, "written", lambda frame, label, wrote=wrote: (labels.append(label), wrote(frame, label))[1])
     catalogue.QUERIES[name](spark, str(FOLDER)).collect()
     assert not {"match-edges", "match-pairs"} & set(labels)
+
+
+@pytest.mark.parametrize("name", ["q_nms", "q_lineage", "q_candidates", "q_nms_sweep"])
+def test_suppression_writes_no_table_of_conflicts(spark, monkeypatch, name):
+    from quadrille.operators import suppress
+
+    labels, wrote = [], suppress.written
+    monkeypatch.setattr(suppress, "written", lambda frame, label: (labels.append(label), wrote(frame, label))[1])
+    catalogue.QUERIES[name](spark, str(FOLDER)).collect()
+    assert "blocks" in labels and "conflicts" not in labels
