@@ -55,8 +55,11 @@ class Near:
             order = np.argsort(key, kind="stable")
             self.parts.append((own[order], key[order], width, height, step, left, b[0].max(), low, b[1].max(), wide))
 
-    def pairs(self, rows: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Chunks (i, j) of rows of the boxes and indexed ones that may share area and overlap by least; none is missed."""
+    def pairs(self, rows: np.ndarray, least: float, few: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Chunks (i, j) of rows of the boxes and indexed ones that may share area and overlap by least; none is missed.
+
+        few: only so many in the middle of each band, for a first look.
+        """
         b = self.boxes[:, rows]
         for own, key, width, height, step, left, right, low, top, wide in self.parts:
             x, y = self._range(b[0], b[2], width, least), self._range(b[1], b[3], height, least)
@@ -68,6 +71,9 @@ class Near:
             i = i[at]
             start = np.searchsorted(key, band * wide + (np.maximum(x[0][i], left) - left), "left")
             end = np.searchsorted(key, band * wide + (np.minimum(x[1][i], right) - left), "right")
+            if few is not None:
+                start = np.maximum(start, (start + end - few) // 2)
+                end = np.minimum(end, start + few)
             size = np.cumsum(np.maximum(0, end - start))
             cuts = np.searchsorted(size, np.arange(CHUNK, size[-1] + CHUNK, CHUNK), "left") + 1 if len(size) and size[-1] else []
             begin = 0
@@ -230,9 +236,22 @@ class Growing:
             ids = np.concatenate([self.levels.pop()[0], ids])
         self.levels.append((ids, Near(self.boxes, ids)))
 
-    def pairs(self, rows: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(self, rows: np.ndarray, least: float, few: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for _, near in self.levels:
-            yield from near.pairs(rows, least)
+            yield from near.pairs(rows, least, few)
+
+
+def copies(boxes: np.ndarray, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each box of a tile, in order, and for every row the number of its first one among them."""
+    order = np.lexsort((tile, *boxes))  # stable
+    b, t = boxes[:, order], tile[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (b[:, 1:] != b[:, :-1]).any(0) | (t[1:] != t[:-1])
+    first = np.zeros(len(order), bool)
+    first[order[new]] = True
+    rows, of = np.nonzero(first)[0], np.zeros(len(order), np.int64)
+    of[order] = np.searchsorted(rows, order[new])[np.cumsum(new) - 1]
+    return rows, of
 
 
 def _conflicts(boxes: np.ndarray, tile: np.ndarray, pairs: Iterator, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -251,11 +270,12 @@ def survived(boxes: np.ndarray, tile: np.ndarray, state: np.ndarray, whole: np.n
     not follow stays unknown: where whole is false, boxes that are not here may reach a box. Given states stay.
     """
     state, kept, unsure = state.copy(), Growing(boxes), Growing(boxes)
-    for begin in range(0, len(state), BATCH):
-        batch = np.arange(begin, min(begin + BATCH, len(state)))
+    step = 4 * BATCH
+    for begin in range(0, len(state), step):
+        batch = np.arange(begin, min(begin + step, len(state)))
         doubt = ~whole[batch]
-        for share in ((1 + least) / 2, least):  # most that fall have a kept box close by
-            for i, _, _ in _conflicts(boxes, tile, kept.pairs(batch[state[batch] == UNKNOWN], share), least):
+        for share, few in (((1 + least) / 2, 2), ((1 + least) / 2, None), (least, None)):  # most that fall have a kept box close by
+            for i, _, _ in _conflicts(boxes, tile, kept.pairs(batch[state[batch] == UNKNOWN], share, few), least):
                 state[i] = GONE
         for i, _, _ in _conflicts(boxes, tile, unsure.pairs(batch[(state[batch] == UNKNOWN) & ~doubt], least), least):
             doubt[i - begin] = True
@@ -276,12 +296,16 @@ def survived(boxes: np.ndarray, tile: np.ndarray, state: np.ndarray, whole: np.n
 
 def first_reaching(boxes: np.ndarray, tile: np.ndarray, kept: np.ndarray, rows: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """The first kept box above each of rows that overlaps it by least, -1 if none, and the overlap; boxes are in order."""
-    near, first, told = Near(boxes, kept), np.full(boxes.shape[1], boxes.shape[1]), np.zeros(boxes.shape[1])
-    for begin in range(0, len(rows), BATCH):
-        for i, j, value in _conflicts(boxes, tile, near.pairs(rows[begin : begin + BATCH], least), least):
-            i, j, value = i[j < i], j[j < i], value[j < i]
-            np.minimum.at(first, i, j)
-            best = first[i] == j
-            told[i[best]] = value[best]
+    first, told = np.full(boxes.shape[1], boxes.shape[1]), np.zeros(boxes.shape[1])
+    left, begin, end = rows, 0, max(BATCH, len(kept) // 32)
+    while begin < len(kept) and len(left):  # who is reached by one of the highest needs no others
+        near = Near(boxes, kept[begin:end])
+        for at in range(0, len(left), BATCH):
+            for i, j, value in _conflicts(boxes, tile, near.pairs(left[at : at + BATCH], least), least):
+                i, j, value = i[j < i], j[j < i], value[j < i]
+                np.minimum.at(first, i, j)
+                best = first[i] == j
+                told[i[best]] = value[best]
+        left, begin, end = left[first[left] == boxes.shape[1]], end, 2 * end
     found = first[rows]
     return np.where(found < boxes.shape[1], found, -1), told[rows]

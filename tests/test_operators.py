@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrille.functions import boxes as B
-from quadrille.operators import audit, grouping, matching, raster, selection, spatial, suppress, tiles
+from quadrille.operators import audit, grouping, matching, raster, scans, selection, spatial, suppress, tiles
 
 BOX = "id long, tile long, x0 double, y0 double, x1 double, y1 double, conf double"
 
@@ -533,3 +533,27 @@ def test_suppression_in_blocks_equals_sequential_scan(spark, monkeypatch, limit,
     assert {r.id: (r.kept_id, r.iou) for r in suppress.lineage(frame, least=0.2, cell=16.0).collect()} == by
     assert {r.iou_threshold: r.suppressed for r in suppress.sweep(frame, [0.2, 0.6], cell=16.0).collect()}[0.2] == len(by)
     assert limit == 0 or not {"conflicts"} & set(labels)
+
+
+def test_copies_share_the_fate_of_their_first():
+    """Of repeated boxes a scan takes the first of each; it is far smaller, and tells what a scan of all tells."""
+    rng = np.random.default_rng(3)
+    corner, side = rng.integers(0, 60, (2, 4_000)), rng.integers(8, 12, 4_000)
+    boxes, tile = np.concatenate([corner, corner + side]).astype(float), rng.integers(0, 3, 4_000)
+    boxes, tile = np.tile(boxes, 3)[:, (at := rng.permutation(12_000))], np.tile(tile, 3)[at]
+    rows, of = scans.copies(boxes, tile)
+    assert len(rows) <= 4_000 and (np.diff(rows) > 0).all() and (rows[of] <= np.arange(12_000)).all()
+    assert (boxes[:, rows][:, of] == boxes).all() and (tile[rows][of] == tile).all()
+    whole = boxes[0] < 50
+    for least in (0.3, 0.7):
+        every = scans.survived(boxes, tile, np.zeros(12_000, int), whole, least)
+        assert (scans.survived(boxes[:, rows], tile[rows], np.zeros(len(rows), int), whole[rows], least)[of] == every).all()
+        kept = np.nonzero(every == scans.KEPT)[0]
+        fell = np.nonzero(every == scans.GONE)[0]
+        first, value = scans.first_reaching(boxes, tile, kept, fell, least)
+        own = {}
+        for r in rng.choice(fell, 50):
+            reach = [k for k in kept.tolist() if k < r and tile[k] != tile[r] and scans.iou(boxes[:, k], boxes[:, r]) >= least]
+            own[r] = reach[0]
+        assert all(first[np.searchsorted(fell, r)] == k and value[np.searchsorted(fell, r)] == scans.iou(boxes[:, r], boxes[:, k]) for r, k in own.items())
+    assert scans.copies(boxes[:, :0], tile[:0])[0].size == 0
