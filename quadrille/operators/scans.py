@@ -107,8 +107,12 @@ def matched(boxes: np.ndarray, ids: np.ndarray, rows: np.ndarray, truths: np.nda
 
     Each takes the free truth of the largest overlap, at least least, the smaller id among equals. Given missing, whether
     a row's confidence is null, the overlap of a row that takes none is its largest with the truths that no row before it
-    took, or for a null confidence with all truths.
+    took, or for a null confidence with all truths. Truths are copied in the order of the index first: what a row meets
+    then lies side by side in memory.
     """
+    lying = np.concatenate([np.zeros(0, np.int64), *(part[0] for part in Near(boxes, truths).parts)])
+    copied = np.concatenate([rows, lying])
+    boxes, ids, rows, truths = boxes[:, copied], ids[copied], np.arange(len(rows)), np.arange(len(rows), len(copied))
     took, told = np.full(len(rows), -1), np.zeros(len(rows))
     taken_at = np.full(boxes.shape[1], len(rows))
     place = np.full(boxes.shape[1], -1)
@@ -144,7 +148,7 @@ def matched(boxes: np.ndarray, ids: np.ndarray, rows: np.ndarray, truths: np.nda
         unknown = rows[missing & (took < 0)]
         for begin in range(0, len(unknown), BATCH):
             _best(near, boxes, unknown[begin : begin + BATCH], place, told, never)
-    return took, told
+    return np.where(took >= 0, copied[took], -1), told
 
 
 def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:

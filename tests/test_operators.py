@@ -557,3 +557,29 @@ def test_copies_share_the_fate_of_their_first():
             own[r] = reach[0]
         assert all(first[np.searchsorted(fell, r)] == k and value[np.searchsorted(fell, r)] == scans.iou(boxes[:, r], boxes[:, k]) for r, k in own.items())
     assert scans.copies(boxes[:, :0], tile[:0])[0].size == 0
+
+
+def test_match_lays_truths_in_the_order_of_its_index(monkeypatch):
+    """What a detection meets lies side by side in memory: the index's truths are numbered as it holds them."""
+    rng = np.random.default_rng(5)
+    corner, side = rng.integers(0, 300, (2, 900)).astype(float), rng.integers(20, 60, 900)
+    boxes, ids, built = np.concatenate([corner, corner + side]), rng.permutation(900) + 7, []
+
+    class Watched(scans.Near):
+        def __init__(self, *given):
+            super().__init__(*given)
+            built.append(np.concatenate([part[0] for part in self.parts]))
+
+    monkeypatch.setattr(scans, "Near", Watched)
+    rows, truths = np.arange(0, 900, 2), np.arange(1, 900, 2)
+    took, told = scans.matched(boxes, ids, rows, truths, 0.3, np.zeros(450, bool))
+    assert (np.diff(built[1]) > 0).all()
+
+    free = truths.tolist()
+    for n, row in enumerate(rows):
+        over = [(-float(scans.iou(boxes[:, [row]], boxes[:, [t]])[0]), ids[t], t) for t in free]
+        best = min(over)
+        assert told[n] == -best[0]
+        assert took[n] == (best[2] if -best[0] >= 0.3 else -1)
+        if took[n] >= 0:
+            free.remove(best[2])
