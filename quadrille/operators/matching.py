@@ -206,8 +206,7 @@ def _hits(thresholds: tuple[float, ...]):
         boxes, ids, rows, known, truths, _ = _arrays(scene)
         seen = rows[known[rows]]
         found = np.zeros((len(thresholds), len(ids)), bool)
-        for i, t in enumerate(thresholds):
-            found[i, seen] = scans.matched(boxes, ids, seen, truths, t)[0] >= 0
+        found[:, seen] = scans.matched_at(boxes, ids, seen, truths, thresholds)
         out = scene.take(rows)
         return pa.table([out["id"], out["conf"], *(pa.array(f[rows]) for f in found)], names=["id", "conf", *(f"t{i}" for i in range(len(thresholds)))])
 
@@ -217,7 +216,7 @@ def _hits(thresholds: tuple[float, ...]):
 def mean_average_precision(detections: DataFrame, truths: DataFrame, *, thresholds: tuple[float, ...] = THRESHOLDS, cell: float = 64.0) -> DataFrame:
     """Average precision at each least overlap, and the mean of all at each row: iou_threshold, true_positives, truths, average_precision, mean_ap.
 
-    A task scans a tile of up to SCENE_ROWS boxes at each threshold; for larger tiles the overlaps of at least the
+    A task scans a tile of up to SCENE_ROWS boxes at all thresholds side by side; for larger tiles the overlaps of at least the
     smallest are found once, and the thresholds' matchings share their rounds.
     """
     names = [f"t{i}" for i in range(len(thresholds))]

@@ -6,7 +6,7 @@ chunks of a bounded number of pairs, so no scan ever holds all its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
@@ -117,7 +117,7 @@ def matched(boxes: np.ndarray, ids: np.ndarray, rows: np.ndarray, truths: np.nda
     taken_at = np.full(boxes.shape[1], len(rows))
     place = np.full(boxes.shape[1], -1)
     place[rows] = np.arange(len(rows))
-    near, free = Near(boxes, truths), len(truths)
+    near, free, best = Near(boxes, truths), len(truths), np.zeros(boxes.shape[1], np.int64)
     open_ = free
     for begin in range(0, len(rows), BATCH):
         if open_ < 0.7 * free:
@@ -134,13 +134,10 @@ def matched(boxes: np.ndarray, ids: np.ndarray, rows: np.ndarray, truths: np.nda
         if found:
             i, j, value = (np.concatenate(c) for c in zip(*found, strict=True))
             order = np.lexsort((ids[j], -value, i))
-            last, gone = -1, set()
-            for n, p, g in zip(order.tolist(), i[order].tolist(), j[order].tolist(), strict=True):
-                if p != last and g not in gone:
-                    last = p
-                    gone.add(g)
-                    took[p], told[p], taken_at[g] = g, value[n], p
-            open_ -= len(gone)
+            i, j, value = i[order], j[order], value[order]
+            n = _settled(i, j, best)
+            took[i[n]], told[i[n]], taken_at[j[n]] = j[n], value[n], i[n]
+            open_ -= len(n)
         if missing is not None:
             _best(near, boxes, batch[(took[begin : begin + BATCH] < 0) & ~missing[begin : begin + BATCH]], place, told, taken_at)
     if missing is not None and missing.any():
@@ -151,6 +148,58 @@ def matched(boxes: np.ndarray, ids: np.ndarray, rows: np.ndarray, truths: np.nda
     return np.where(took >= 0, copied[took], -1), told
 
 
+def _settled(i: np.ndarray, j: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """Which of the pairs, in order by i and then by preference, a scan takes that gives each i its first j still free.
+
+    All ask at once: of those that ask for a j the smallest i holds it for now, and the others ask for their next. What
+    is held when none is refused is what the scan takes, as every j prefers the smallest i. best: room for a number a j.
+    """
+    if not len(i):
+        return np.zeros(0, np.int64)
+    at = np.nonzero(np.append(True, i[1:] != i[:-1]))[0]
+    end, own = np.append(at[1:], len(i)), i[at]
+    while True:
+        asked = j[at]
+        best[asked[::-1]] = own[::-1]  # of repeated places the last one written stays
+        lost = best[asked] != own
+        if not lost.any():
+            return at
+        at = at + lost
+        left = at < end
+        at, end, own = at[left], end[left], own[left]
+
+
+def matched_at(boxes: np.ndarray, ids: np.ndarray, rows: np.ndarray, truths: np.ndarray, leasts: Sequence[float]) -> np.ndarray:
+    """For each of the least overlaps, which of rows take a truth in a scan as matched makes it.
+
+    The scans go side by side: pairs are found, measured and ordered once for all.
+    """
+    lying = np.concatenate([np.zeros(0, np.int64), *(part[0] for part in Near(boxes, truths).parts)])
+    copied = np.concatenate([rows, lying])
+    boxes, ids, rows, truths = boxes[:, copied], ids[copied], np.arange(len(rows)), np.arange(len(rows), len(copied))
+    took, best = np.zeros((len(leasts), len(rows)), bool), np.zeros(boxes.shape[1], np.int64)
+    open_ = np.ones((len(leasts), boxes.shape[1]), bool)
+    near, free, least = Near(boxes, truths), len(truths), min(leasts)
+    for begin in range(0, len(rows), BATCH):
+        if begin % (32 * BATCH) == 0 and len(left := truths[open_[:, truths].any(0)]) < 0.7 * free:
+            near, free = Near(boxes, left), len(left)
+        found = []
+        for i, j in near.pairs(rows[begin : begin + BATCH], least):
+            value = iou(boxes[:, i], boxes[:, j])
+            enough = (value >= least) & (value > 0 if least > 0 else _meet(boxes[:, i], boxes[:, j]))
+            found.append((i[enough], j[enough], value[enough]))
+        if not found:
+            continue
+        i, j, value = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((ids[j], -value, i))
+        i, j, value = i[order], j[order], value[order]
+        for t, least_t in enumerate(leasts):
+            n = np.nonzero((value >= least_t) & open_[t, j])[0]
+            n = n[_settled(i[n], j[n], best)]
+            took[t, i[n]], open_[t, j[n]] = True, False
+    return took
+
+
 def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[0] < b[2]) & (b[0] < a[2]) & (a[1] < b[3]) & (b[1] < a[3])
 

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -583,3 +584,37 @@ def test_match_lays_truths_in_the_order_of_its_index(monkeypatch):
         assert took[n] == (best[2] if -best[0] >= 0.3 else -1)
         if took[n] >= 0:
             free.remove(best[2])
+
+
+def test_the_thresholds_of_a_tile_are_scanned_side_by_side(monkeypatch):
+    rng = np.random.default_rng(41)
+    n, m = 3_000, 2_500
+    x0, y0, side = rng.integers(0, 160, n + m), rng.integers(0, 160, n + m), rng.integers(6, 14, n + m)
+    conf = pa.array([None if i >= n or i % 50 == 0 else float(c) for i, c in enumerate(rng.integers(0, 40, n + m))], pa.float64())
+    corners = {c: pa.array(v.astype(float)) for c, v in zip(("x0", "y0", "x1", "y1"), (x0, y0, x0 + side, y0 + side), strict=True)}
+    scene = pa.table({"tile": pa.array(np.zeros(n + m, int)), "id": rng.permutation(n + m), "conf": conf, **corners, "truth": np.arange(n + m) >= n})
+    looked = []
+
+    class Watched(scans.Near):
+        def pairs(self, *args):
+            for i, j in super().pairs(*args):
+                looked.append(len(i))
+                yield i, j
+
+    monkeypatch.setattr(scans, "Near", Watched)
+    told = matching._hits(matching.THRESHOLDS)(scene)
+    together = sum(looked)
+    looked.clear()
+    matching._hits(matching.THRESHOLDS[:1])(scene)
+    assert together < 3 * sum(looked)  # before: each threshold looked anew
+    boxes, ids, rows, _, truths, _ = matching._arrays(scene)
+    for i, least in enumerate(matching.THRESHOLDS):
+        free, want = set(truths.tolist()), []
+        value = scans.iou(boxes[:, rows][:, :, None], boxes[:, truths][:, None, :])
+        for r in range(len(rows)):
+            near = [(-value[r, t], ids[truths[t]], truths[t]) for t in np.nonzero(value[r] >= least)[0] if truths[t] in free]
+            want.append(bool(near))
+            if near:
+                free.remove(min(near)[2])
+        assert told[f"t{i}"].to_pylist() == want and any(want)
+        assert (scans.matched(boxes, ids, rows, truths, least)[0] >= 0).tolist() == want
