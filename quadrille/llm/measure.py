@@ -31,19 +31,19 @@ def unit_vectors(spark: SparkSession, rows: int, dims: int = 64, seed: int = 5)
 def recall(frame: DataFrame, k: int = 10, every: int = EVERY) -> dict[str, float]:
     """Recall at k against brute force and the nodes that a walk meets on average; for tables that fit the driver."""
     met: list[int] = []
-    walked = neighbours.walked
+    sharded = neighbours.sharded
 
     def counted(*args):
-        found, tables = walked(*args)
-        met.append(sum(t.count() for t in tables))
-        return found, tables
+        found = sharded(*args)
+        met.append(found.select("shard", "q", "met").distinct().agg(F.sum("met")).first()[0] or 0)
+        return found
 
-    neighbours.walked = counted
+    neighbours.sharded = counted
     began = time.perf_counter()
     try:
         rows = neighbours.search(frame, F.col("id") % every == 0, k=k).select("query_id", "vec_id").collect()
     finally:
-        neighbours.walked = walked
+        neighbours.sharded = sharded
     took = time.perf_counter() - began
     known = neighbours.usable(frame, "vec_id", "embedding").toPandas()
     ids, x = known["id"].to_numpy(), np.array(known["vec"].tolist())

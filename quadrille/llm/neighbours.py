@@ -20,17 +20,13 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import drop_written, quoted, read, written
 
 #: Neighbours of a node, reverse neighbours that a round takes besides, and rounds.
-DEGREE, REVERSE, ROUNDS = 32, 16, 5
+DEGREE, REVERSE, ROUNDS = 32, 16, 3
 #: Sets of hyperplanes, nodes a bucket on average, and nodes that are compared with each other at most.
 TREES, BUCKET, BLOCK = 4, 400, 1_024
-#: New neighbours that a node gets from one join at most.
-OFFERS = 8
 #: Nodes that a query keeps open in a graph of up to BEAM_NODES nodes, and the power of the nodes by which they grow beyond.
 BEAM, BEAM_NODES, BEAM_POWER = 192, 50_000, 0.5
 #: The part of its beam that a query expands in a step: fewer nodes are met if a step is small, and more steps are taken.
 STEP = 1 / 4
-#: Nodes whose joins are one task's group.
-GROUP = 128
 #: Copies of a vector that are told apart: one more than any query returns.
 COPIES = 101
 
@@ -70,7 +66,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = _matrix(batch.column("vec"), np.float64)
         if len(x):
             with np.errstate(over="ignore"):
-                single = bool((x.astype(np.float32) == x).all())
+                single = bool(((x.astype(np.float32) == x) & ((x == 0) | (np.abs(x) > 1e-11) & (np.abs(x) < 1e15))).all())  # and squares of differences are normal numbers
             dims = x.shape[1]
             yield pa.RecordBatch.from_pydict({"dim": np.arange(dims), "middle": np.median(x, axis=0), "single": np.full(dims, single), "n": np.full(dims, len(x))})
 
@@ -80,15 +76,13 @@ def _matrix(column: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(items), kind).reshape(len(items), -1) if items else np.zeros((0, 1), kind)
 
 
-def _placed(centre: np.ndarray, planes: np.ndarray, kind: type) -> Callable:
-    """(node, h, bucket of each tree): vectors as floats of kind, and on which sides of the planes through centre they are."""
+def _as(kind: type) -> Callable:
+    """(node, h): vectors as floats of kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column("vec"), np.float64) if batch.num_rows else np.zeros((0, len(centre)))
-            bits = np.einsum("nd,tbd->ntb", x - centre, planes) > 0
-            buckets = (bits * (1 << np.arange(planes.shape[1]))).sum(2).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), pa.array(buckets.tolist(), pa.list_(pa.int64()))], ["node", "h", "buckets"])
+            x = _matrix(batch.column("vec"), np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in x.astype(kind)] if batch.num_rows else [], pa.binary())], ["node", "h"])
 
     return run
 
@@ -99,130 +93,6 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0)
 
 
-def _edges(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> pa.Table:
-    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "d": pa.array(d, pa.float64())})
-
-
-def _bucket(kind: type) -> Callable:
-    """The nearest in a bucket of each of its nodes."""
-
-    def run(table: pa.Table) -> pa.Table:
-        node, x = table.column("node").to_numpy(), _matrix(table.column("h"), kind).astype(np.float64)
-        x = x - np.median(x, axis=0)
-        us, vs, ds = [], [], []
-        k = min(DEGREE, len(node) - 1)
-        for i in range(0, len(node) if k > 0 else 0, 256):
-            d = squared(x[i : i + 256], x)
-            d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
-            near = np.argpartition(d, k - 1, axis=1)[:, :k]
-            us.append(np.repeat(node[i : i + 256], k))
-            vs.append(node[near].ravel())
-            ds.append(np.take_along_axis(d, near, 1).ravel())
-        return _edges(*(np.concatenate(c) if c else np.zeros(0) for c in (us, vs, ds)))
-
-    return run
-
-
-def best(edges: DataFrame, k: int) -> DataFrame:
-    """(u, near): the k nearest of each node's edges (u, v, d), without repetitions."""
-    listed = edges.groupBy("u", "v").agg(F.min("d").alias("d")).groupBy("u").agg(F.collect_list(F.struct("d", "v")).alias("near"))
-    return listed.select("u", F.slice(F.array_sort("near"), 1, k).cast(EDGE).alias("near"))
-
-
-def tag(node: Column) -> Column:
-    """32 bits of a node's number, itself a hash, by which a join knows a neighbour that another node has already.
-
-    Two of a list's nodes share one by chance in 1 of 1e8 lists, which costs one offer of one join.
-    """
-    return node.bitwiseAND(F.lit(0xFFFFFFFF)).cast("long")
-
-
-def tags(near: Column) -> Column:
-    """The tags of a node's neighbours, four bytes each."""
-    return F.unhex(F.array_join(F.transform(near, lambda e: F.lpad(F.hex(tag(e["v"])), 8, "0")), ""))
-
-
-def _join(kind: type) -> Callable:
-    """What the members of each node's list find in each other: the nearest new ones that beat a member's farthest.
-
-    Members lie around their node, so the middle of three of them is a centre that one far member does not move.
-    """
-
-    def run(table: pa.Table) -> pa.Table:
-        m, w = table.column("m").to_numpy(), table.column("w").to_numpy()
-        order = np.lexsort((w, m))
-        keep = np.ones(len(order), bool)
-        keep[1:] = (m[order][1:] != m[order][:-1]) | (w[order][1:] != w[order][:-1])
-        order = order[keep]
-        m, w = m[order], w[order]
-        x = _matrix(table.column("h"), kind)[order].astype(np.float64)
-        far, mine = table.column("far").to_numpy()[order], table.column("mine").to_numpy()[order]
-        had = np.full((len(m), DEGREE), -1, np.int64)
-        told = table.column("tags").to_pylist()
-        for r, i in enumerate(order):
-            had[r, : len(told[i]) // 4] = np.frombuffer(told[i], ">u4")
-        starts = np.nonzero(np.append(True, m[1:] != m[:-1]))[0]
-        sizes = np.diff(np.append(starts, len(m)))
-        us, vs, ds = [], [], []
-        for s in range(0, len(starts), 64):
-            size = sizes[s : s + 64]
-            wide = int(size.max())
-            if wide < 2:
-                continue
-            at = starts[s : s + 64, None] + np.arange(wide)[None]
-            there = np.arange(wide)[None] < size[:, None]
-            at = np.where(there, at, starts[s : s + 64, None])
-            y = x[at]
-            a, b, c = y[:, 0], y[np.arange(len(size)), size // 2], y[np.arange(len(size)), size - 1]
-            y = y - np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[:, None]
-            d = squared(y, y)
-            known = np.zeros(d.shape, bool)
-            for t in range(DEGREE):
-                known |= had[at][:, :, None, t] == mine[at][:, None, :]
-            wrong = known | ~there[:, :, None] | ~there[:, None, :] | (d >= far[at][:, :, None]) | np.eye(wide, dtype=bool)[None]
-            d[wrong] = np.inf
-            k = min(OFFERS, wide - 1)
-            near = np.argpartition(d, k - 1, axis=2)[:, :, :k]
-            got = np.take_along_axis(d, near, 2)
-            g, i, j = np.nonzero(np.isfinite(got))
-            us.append(w[at[g, i]])
-            vs.append(w[at[g, near[g, i, j]]])
-            ds.append(got[g, i, j])
-        return _edges(*(np.concatenate(c) if c else np.zeros(0) for c in (us, vs, ds)))
-
-    return run
-
-
-def graph(nodes: DataFrame, rows: int, kind: type, rounds: int = ROUNDS) -> DataFrame:
-    """(node, h, near): each node's nearest as met in the buckets and then in rounds of NN-descent.
-
-    nodes: (node, h, buckets), h of floats of kind. A bucket that has more than BLOCK nodes is cut at random, and of a
-    node's reverse neighbours a round takes the nearest REVERSE: the joins stay of one size, whatever the data.
-    """
-    placed = nodes.select("node", "h", F.posexplode("buckets").alias("tree", "bucket"))
-    sizes = placed.groupBy("tree", "bucket").agg(F.count("*").alias("n"))
-    cut = placed.join(sizes, ["tree", "bucket"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("n") / BLOCK)))
-    first = best(cut.select("tree", "bucket", "part", "node", "h").groupBy("tree", "bucket", "part").applyInArrow(_bucket(kind), "u long, v long, d double"), DEGREE)
-    empty = F.array().cast(EDGE)
-    state = written(nodes.select("node", "h").join(first.withColumnRenamed("u", "node"), "node", "left").withColumn("near", F.coalesce("near", empty)), "graph")
-    groups = max(1, -(-rows // GROUP))
-    for _ in range(rounds):
-        far = F.when(F.size("near") < DEGREE, F.lit(float("inf"))).otherwise(F.element_at("near", -1)["d"]).cast("double")
-        told = state.select("node", "h", "near", far.alias("far"), tags(F.col("near")).alias("tags"), tag(F.col("node")).alias("mine"))
-        links = state.select("node", F.explode("near").alias("e")).select("node", "e.v", "e.d")
-        nearest = F.row_number().over(Window.partitionBy("v").orderBy("d", "node"))
-        back = links.withColumn("n", nearest).where(F.col("n") <= REVERSE).select(F.col("v").alias("m"), F.col("node").alias("w"))
-        lists = links.select(F.col("node").alias("m"), F.col("v").alias("w")).unionAll(back)
-        members = lists.join(told.withColumnRenamed("node", "w"), "w").select(F.pmod(F.xxhash64("m"), F.lit(groups)).alias("g"), "m", "w", "h", "far", "tags", "mine")
-        met = best(members.groupBy("g").applyInArrow(_join(kind), "u long, v long, d double"), DEGREE)
-        joined = state.join(met.select(F.col("u").alias("node"), F.col("near").alias("more")), "node", "left")
-        both = F.array_distinct(F.array_sort(F.concat("near", F.coalesce("more", empty))))
-        after = written(joined.select("node", "h", F.slice(both, 1, DEGREE).alias("near")), "graph")
-        drop_written(state)
-        state = after
-    return state
-
-
 def _measured(kind: type) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,6 +141,205 @@ def walked(state: DataFrame, queries: DataFrame, beam: int, kind: type, width: i
     return front.select("q", "v", "d"), met
 
 
+#: Nodes of a shard, within these bounds, so that there are PARTS shards or more; and the planes by which a shard's entries are finer than its buckets.
+SHARD_LEAST, SHARD_MOST, PARTS, FINER = 16_384, 65_536, 48, 4
+#: Shards of a small table, so that tasks share the work, and nodes below which there is one.
+FEW_PARTS, WHOLE = 6, 4_096
+#: Neighbours of a node whose neighbours a round looks at, and how many of these; nodes or queries that are looked up at once.
+NEAREST, THEIRS, LOOK = 16, 16, 128
+#: Nodes of a query's bucket in each tree where its walk of a shard starts at most, its beam there, and pairs that are measured at once.
+ENTRIES, SHARD_BEAM, PIECE = 64, 96, 2_048
+
+
+def shards_of(nodes: int) -> int:
+    if nodes <= WHOLE:
+        return 1
+    return max(FEW_PARTS, int(np.ceil(nodes / min(SHARD_MOST, max(SHARD_LEAST, nodes / PARTS)))))
+
+
+def _lengths(x: np.ndarray, a: np.ndarray, b: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
+    """Squared distances of rows a of x and b of y, by their differences: near copies lose no precision."""
+    out = np.empty(len(a))
+    for i in range(0, len(a), PIECE):
+        d = x[a[i : i + PIECE]] - (x if y is None else y)[b[i : i + PIECE]]
+        out[i : i + PIECE] = np.einsum("nd,nd->n", d, d)
+    return out
+
+
+def _nearest(near: np.ndarray, far: np.ndarray, more: np.ndarray, more_far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of two lists of each row, nearest first; absent ones are -1, and what a row holds twice counts once."""
+    v, d = np.concatenate([near, more], 1), np.concatenate([far, more_far], 1)
+    order = np.argsort(v, axis=1, kind="stable")
+    v, d = np.take_along_axis(v, order, 1), np.take_along_axis(d, order, 1)
+    d[:, 1:][v[:, 1:] == v[:, :-1]] = np.inf
+    if d.shape[1] > k:
+        part = np.argpartition(d, k - 1, axis=1)[:, :k]
+        v, d = np.take_along_axis(v, part, 1), np.take_along_axis(d, part, 1)
+    order = np.argsort(d, axis=1, kind="stable")
+    v, d = np.take_along_axis(v, order, 1), np.take_along_axis(d, order, 1)
+    v[~np.isfinite(d)] = -1
+    return v, d
+
+
+def _reverse(near: np.ndarray, far: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest of those whose neighbour a node is, -1 where there are fewer."""
+    u, at = np.nonzero(near >= 0)
+    v, d = near[u, at], far[u, at]
+    order = np.lexsort((u, d, v))
+    u, v = u[order], v[order]
+    place = np.arange(len(v)) - np.searchsorted(v, v)
+    out = np.full((len(near), k), -1)
+    first = place < k
+    out[v[first], place[first]] = u[first]
+    return out
+
+
+def descended(x: np.ndarray, buckets: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """A graph by NN-descent of the rows of x: DEGREE neighbours of each, nearest first, -1 where there are fewer, and their squared distances.
+
+    It starts from the nearest in each tree's bucket. In a round a node meets the neighbours of its nearest and of those
+    whose neighbour it is; the rounds end early when few lists change.
+    """
+    n = len(x)
+    near, far = np.full((n, DEGREE), -1), np.full((n, DEGREE), np.inf)
+    for tree in buckets:
+        order = np.argsort(tree, kind="stable")
+        cuts = np.nonzero(np.append(True, tree[order][1:] != tree[order][:-1]))[0]
+        for begin, end in zip(cuts, np.append(cuts[1:], n), strict=True):
+            parts = -(-(end - begin) // BLOCK)
+            for rows in (order[begin + p : end : parts] for p in range(parts)):
+                if (k := min(DEGREE, len(rows) - 1)) > 0:
+                    y = x[rows] - np.median(x[rows], axis=0)
+                    d = squared(y, y)
+                    np.fill_diagonal(d, np.inf)
+                    at = np.argpartition(d, k - 1, axis=1)[:, :k]
+                    more = rows[at]
+                    near[rows], far[rows] = _nearest(near[rows], far[rows], more, _lengths(x, np.repeat(rows, k), more.ravel()).reshape(more.shape), DEGREE)
+    for _ in range(rounds):
+        around = np.concatenate([near[:, :NEAREST], _reverse(near, far, REVERSE)], 1)
+        again, far_again, changed = near.copy(), far.copy(), 0
+        for begin in range(0, n, LOOK):
+            rows = np.arange(begin, min(begin + LOOK, n))
+            own = around[rows]
+            met = np.where(own[:, :, None] >= 0, near[own, :THEIRS], -1).reshape(len(rows), -1)
+            met = np.sort(np.concatenate([met, own[:, NEAREST:]], 1), axis=1)
+            good = (met >= 0) & (met != rows[:, None])
+            good[:, 1:] &= met[:, 1:] != met[:, :-1]
+            u, at = np.nonzero(good)
+            d = np.full(met.shape, np.inf)
+            d[u, at] = _lengths(x, rows[u], met[u, at])
+            k = min(DEGREE, d.shape[1])
+            part = np.argpartition(d, k - 1, axis=1)[:, :k]
+            again[rows], far_again[rows] = _nearest(near[rows], far[rows], np.take_along_axis(met, part, 1), np.take_along_axis(d, part, 1), DEGREE)
+            changed += (again[rows] != near[rows]).sum()
+        near, far = again, far_again
+        if changed < 0.01 * near.size:
+            break
+    return near, far
+
+
+def _around(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node's neighbours and all whose neighbour it is: where a node's begin, and these side by side."""
+    u, at = np.nonzero(near >= 0)
+    v = near[u, at]
+    a, b = np.concatenate([u, v]), np.concatenate([v, u])
+    return np.append(0, np.cumsum(np.bincount(a, minlength=len(near)))), b[np.argsort(a, kind="stable")]
+
+
+def greedy(x: np.ndarray, around: tuple[np.ndarray, np.ndarray], asked: np.ndarray, starts: list[np.ndarray], beam: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy search of a graph for rows of asked from nodes to start at: (query, node, squared distance) of each query's k nearest met and all tied with the last, and how many each met.
+
+    A step expands the nearest nodes of a query's beam that are not yet expanded; the walk ends when all of them are.
+    """
+    (first, ends), n, m, width = around, len(x), len(asked), max(1, int(np.ceil(beam * STEP)))
+    stamp = np.full(m * n, -1, np.int32)
+    held, far, done = np.full((m, beam), -1), np.full((m, beam), np.inf), np.ones((m, beam), bool)
+    told = []
+    q, v = np.repeat(np.arange(m), [len(s) for s in starts]), np.concatenate(starts)
+    while len(q):
+        flat = q * n + v
+        flat = flat[stamp[flat] < 0]
+        stamp[flat] = np.arange(len(flat))
+        flat = flat[stamp[flat] == np.arange(len(flat))]  # a place's last number stays: each pair once
+        q, v = flat // n, flat % n
+        d = _lengths(x, v, q, asked)
+        told.append((q, v, d))
+        size = np.bincount(q, minlength=m)
+        wide = int(size.max()) if len(q) else 0
+        new, new_far = np.full((m, wide), -1), np.full((m, wide), np.inf)
+        place = np.arange(len(q)) - np.repeat(np.cumsum(size) - size, size)
+        new[q, place], new_far[q, place] = v, d
+        held, far, done = np.concatenate([held, new], 1), np.concatenate([far, new_far], 1), np.concatenate([done, new < 0], 1)
+        part = np.argpartition(far, beam - 1, axis=1)[:, :beam]
+        held, far, done = (np.take_along_axis(c, part, 1) for c in (held, far, done))
+        waits = np.where(done, np.inf, far)
+        at = np.argpartition(waits, width - 1, axis=1)[:, :width] if width < beam else np.broadcast_to(np.arange(beam), (m, beam))
+        going = np.isfinite(np.take_along_axis(waits, at, 1))
+        row, col = np.nonzero(going)
+        col = at[row, col]
+        done[row, col] = True
+        low, size = first[held[row, col]], first[held[row, col] + 1] - first[held[row, col]]
+        q = np.repeat(row, size)
+        v = ends[np.arange(len(q)) - np.repeat(np.cumsum(size) - size - low, size)]
+    q, v, d = (np.concatenate(c) for c in zip(*told, strict=True))
+    last = np.sort(far, axis=1)[:, min(k, beam) - 1]
+    good = d <= last[q]
+    return q[good], v[good], d[good], np.bincount(q, minlength=m)
+
+
+def _shard(kind: type, centre: np.ndarray, planes: np.ndarray, beam: int, k: int) -> Callable:
+    """What all queries find in a shard, whose graph is made here: shard, q, v, d, and the nodes that q met."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        names = table.column("node").to_numpy()
+        x = _matrix(table.column("h"), kind)
+        names, x, asked_names, asked = names[~asks], x[~asks], names[asks], x[asks]
+        order = np.argsort(names)  # the same graph whatever the order of rows
+        names, x = names[order], x[order]
+        cuts = max(0, int(np.ceil(np.log2(len(x) / BUCKET)))) if len(x) > BLOCK else 0
+        used = planes[:, : cuts + FINER]
+        sides = lambda y: np.einsum("nd,tbd->tnb", y - centre, used) > 0
+        power = 1 << np.arange(used.shape[1])
+        own, there = sides(x), sides(asked)
+        near, far = descended(x, (own[:, :, :cuts] * power[:cuts]).sum(2))
+        around = _around(near)
+        fine, wanted = (own * power).sum(2), (there * power).sum(2)
+        orders = [np.argsort(t, kind="stable") for t in fine]
+        entries = np.unique(np.linspace(0, len(x) - 1, min(len(x), 32)).astype(np.int64))
+        out = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0)] + [np.zeros(0, np.int64)]]
+        for begin in range(0, len(asked) if len(x) else 0, LOOK):
+            block = np.arange(begin, min(begin + LOOK, len(asked)))
+            starts = [[entries] for _ in block]
+            for t, o in enumerate(orders):
+                low, high = (np.searchsorted(fine[t][o], wanted[t, block], side) for side in ("left", "right"))
+                for s, a, b in zip(starts, low, high, strict=True):
+                    s.append(o[a:b][:ENTRIES])
+            q, v, d, met = greedy(x, around, asked[block], [np.concatenate(s) for s in starts], beam, k)
+            out.append((asked_names[block[q]], names[v], d, met[q]))
+        q, v, d, met = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"shard": pa.array(np.full(len(q), table.column("shard")[0].as_py()), pa.int32()), "q": pa.array(q, pa.int64()), "v": pa.array(v, pa.int64()), "d": pa.array(d, pa.float64()), "met": pa.array(met, pa.int64())})
+
+    return run
+
+
+def sharded(nodes: DataFrame, queries: DataFrame, count: int, kind: type, centre: np.ndarray, k: int, seed: int) -> DataFrame:
+    """(shard, q, v, d, met): what each query node finds in each shard's graph, the k nearest there and those tied with the last.
+
+    nodes: (node, h), which are dealt to shards at random. Every query walks every shard, so nothing is lost to the
+    dealing; the walks' work grows with the queries times the shards.
+    """
+    shards = shards_of(count)
+    most = -(-count // shards)
+    cuts = max(0, int(np.ceil(np.log2(max(1, 2 * most) / BUCKET)))) + FINER
+    planes = np.random.default_rng(seed).normal(size=(TREES, cuts, len(centre)))
+    dealt = nodes.select(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(shards)).cast("int").alias("shard"), "node", "h", F.lit(False).alias("asks"))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    asks = nodes.join(queries.withColumnRenamed("q", "node"), "node").select(parts, "node", "h", F.lit(True).alias("asks"))
+    every = dealt.unionAll(asks).repartitionByRange(shards, "shard")  # a task a shard
+    return written(every.groupBy("shard").applyInArrow(_shard(kind, centre, planes, SHARD_BEAM if shards > 1 else beam_of(count), k), "shard int, q long, v long, d double, met long"), "found")
+
+
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = (_matrix(batch.column(c), np.float64) for c in ("qvec", "vec"))
@@ -290,16 +359,12 @@ def search(frame: DataFrame, wanted: Column, *, id_col: str = "vec_id", vector_c
     count = int(moments["n"].max()) if len(moments) else 0
     centre = moments["middle"].to_numpy() if count else np.zeros(1)
     kind = np.float32 if count and moments["single"].all() else np.float64
-    cuts = int(np.ceil(np.log2(count / BUCKET))) if count > BLOCK else 0
-    planes = np.random.default_rng(seed).normal(size=(TREES if cuts else 1, cuts, len(centre)))
-    nodes = written(base.select("node", "vec").mapInArrow(_placed(centre, planes, kind), "node long, h binary, buckets array<long>"), "nodes")
-    state = graph(nodes, count, kind)
+    nodes = written(base.select("node", "vec").mapInArrow(_as(kind), "node long, h binary"), "nodes")
     asked = rows.where(wanted).select("id", "vec").distinct()
     packed = asked.mapInArrow(_packed, "id long, vec binary")
     named = written(packed.join(base.select("vec", F.col("node").alias("q")), "vec").select(F.col("id").alias("query_id"), "q"), "queries")
-    found, met = walked(state, named.select("q").distinct(), beam_of(count), kind)
-    for table in met:
-        drop_written(table)
+    found = sharded(nodes, named.select("q").distinct(), count, kind, centre, 4 * k, seed)
+    drop_written(nodes)
     few = written(found.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") <= min(k, count - 1)).select("q"), "few")
     closest = found.withColumn("n", F.rank().over(Window.partitionBy("q").orderBy("d"))).where(F.col("n") <= 4 * k).select("q", "v")
     if not few.isEmpty():  # their part of the graph has no k others: these queries are compared with all nodes

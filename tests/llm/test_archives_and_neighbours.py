@@ -212,3 +212,21 @@ def test_small_groups_that_lie_apart_find_each_other(spark, near, far):
         got[r.query_id].append(r.vec_id)
     want = brute(rows, rows[near - (near == 1) :], 10)
     assert dict(got) == {q: [a for a, _ in found] for q, found in want.items()}
+
+
+def test_a_query_walks_every_shard_in_few_stages(spark):
+    """Each shard's graph and walks are one task; before, every round and step was joins over the whole table."""
+    rng = np.random.default_rng(12)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(5_000, 16)))]
+    assert [neighbours.shards_of(n) for n in (1, 4_096, 4_097, 51_282, 786_432, 3_145_728, 6_553_600)] == [1, 1, 6, 6, 48, 48, 100]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(2)
+    spark.sparkContext.setJobGroup("walks", "walks")
+    found = neighbours.search(frame, F.col("id") % 100 == 0).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("walks")
+    spark.sparkContext.setJobGroup("after", "after")
+    assert 0 < len(jobs) < 40
+    got = defaultdict(set)
+    for r in found:
+        got[r.query_id].add(r.vec_id)
+    want = brute(rows, rows[::100], 10)
+    assert sum(len(got[q] & {a for a, _ in want[q]}) for q in want) >= 0.95 * 10 * len(want)
